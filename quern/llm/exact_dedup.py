@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern import scratch
+
 
 def content_hash(text: Column) -> Column:
     """The 128 bits by which texts are grouped."""
@@ -55,6 +57,8 @@ def mark_duplicates(
         .withColumn("keep_id", F.when(F.col("texts") > 1, F.raise_error(F.lit("different texts share both digests")).cast("long")).otherwise(F.col("keep_id")))
         .drop("texts")
     )
+    # As a table, so that the join reads plain exchanges and adaptive execution can split a hot group's rows.
+    groups = scratch.table(groups, "groups")
     narrow = rows.select("id", "hash", F.sha2("text", 256).alias("sha"))
     return narrow.join(groups, ["hash", "sha"]).select(
         F.col("id").alias(id_col),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, exact_dedup
+from quern import scratch
+from quern.llm import chat_format, decontaminate, exact_dedup, langid, mix, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,53 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+_NORMAL = "list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{}', '{}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')".format(
+    decontaminate.PUNCTUATION.replace("'", "''"), " " * len(decontaminate.PUNCTUATION)
+)
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents), i AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
+ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k+4], ' ')))) AS s FROM d WHERE len(w) > 0),
+isx AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda k: array_to_string(w[k:k+4], ' ')))) AS s FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS item_shingles FROM isx GROUP BY item_id),
+c AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN isx USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_shingles, shared, CAST(shared AS DOUBLE) / item_shingles AS containment
+FROM c JOIN n USING (item_id) WHERE 5 * shared >= 4 * item_shingles
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mixture; a source weighs the square root of its documents."""
+    return mix.interleave(_read(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.folder(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    found = warc.resolve(warc.read(spark, path))
+    scratch.drop(spark, path)  # all that the result needs has been read into a table
+    return found
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d, min(page_id) OVER (PARTITION BY b) AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to
+FROM q
+"""
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -61,11 +109,17 @@ FROM e GROUP BY conv_id
 """
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLES = {
+    "op1_decontaminate": OP1_SQL,
     "op2_exact_dedup": OP2_SQL,
+    "op9_warc": OP9_SQL,
     "op10_chat_format": OP10_SQL,
 }
