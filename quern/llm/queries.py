@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import scratch
-from quern.llm import chat_format, decontaminate, exact_dedup, langid, mix, warc
+from quern.llm import chat_format, decontaminate, exact_dedup, langid, mix, near_dup, ngram_lm, pii, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.listed(pii.find(_read(spark, sf_dir, "documents")))
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model, words = ngram_lm.train(docs.filter(~ngram_lm.is_held_out(F.col("doc_id"))))
+    scored = ngram_lm.score(docs, model, words)
+    return scored.select("doc_id", ngram_lm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture; a source weighs the square root of its documents."""
     return mix.interleave(_read(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -112,6 +132,10 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
+    "op5_lm_score": op5_lm_score,
+    "op6_toxicity": op6_toxicity,
+    "op7_minhash_near_dup": op7_minhash_near_dup,
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_chat_format": op10_chat_format,
