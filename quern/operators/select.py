@@ -38,3 +38,252 @@ def ref_bits(maps: DataFrame, catalog: DataFrame, absolute: bool = False) -> Dat
     )
     score = F.col("total_bits") if absolute else F.col("total_bits") / F.col("seq_len")
     return total.withColumn("bits", score)
+
+
+def limit_hits(hits: DataFrame, most: int = 50_000) -> DataFrame:
+    """Hits of reads with at most ``most`` of them; the count is aggregated before the join back."""
+    few = hits.groupBy("read_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= most).select("read_id")
+    return hits.join(few, "read_id", "left_semi")
+
+
+def exclude(hits: DataFrame, ids: DataFrame, invert: bool = False) -> DataFrame:
+    """Hits of references that are not listed, or with ``invert`` only of those."""
+    return hits.join(ids.select("seq_id").distinct(), "seq_id", "left_semi" if invert else "left_anti")
+
+
+def with_catalog(hits: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Hits with their reference's length and parent; a reference that the catalog lacks is an error."""
+    joined = hits.join(catalog, "seq_id", "left")
+    missing = F.raise_error(F.concat(F.lit("reference not in the catalog: "), F.col("seq_id").cast("string")))
+    return joined.withColumn("seq_len", F.when(F.col("seq_len").isNull(), missing.cast("long")).otherwise(F.col("seq_len")))
+
+
+def second_tier(hits: DataFrame) -> DataFrame:
+    """Hits with ``tier`` 0 at their read's smallest edit distance and 1 at one more."""
+    w = Window.partitionBy("read_id")
+    over = F.col("ed") - F.min("ed").over(w)
+    return hits.withColumn("tier", over).filter("tier <= 1")
+
+
+def split_references(catalog: DataFrame, chunk: int) -> DataFrame:
+    """Chunks of ``chunk`` bases; the last takes the remainder and ends in ``$``."""
+    n = F.greatest(F.floor(F.col("seq_len") / chunk), F.lit(1)).cast("int")
+    rows = catalog.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    last = F.col("k") == F.col("n") - 1
+    return rows.select(
+        "seq_id",
+        F.concat(F.col("seq_id").cast("string"), F.lit("|"), F.col("k").cast("string"), F.when(last, "$").otherwise("")).alias("chunk_id"),
+        (F.col("k") * F.lit(chunk)).cast("long").alias("offset"),
+        F.when(last, F.col("seq_len") - F.col("k") * chunk).otherwise(F.lit(chunk)).cast("long").alias("seq_len"),
+        "parent_id",
+    )
+
+
+def separate_strands(hits: DataFrame) -> DataFrame:
+    """Hits on the reverse strand go to a reference of their own, named with ``|R``."""
+    return hits.withColumn("seq_id", F.when(F.col("strand") < 0, F.concat(F.col("seq_id").cast("string"), F.lit("|R"))).otherwise(F.col("seq_id").cast("string")))
+
+
+def threshold(scored: DataFrame, bit_thresh: float = 0.0, fraction: float = 0.0) -> DataFrame:
+    """References of at least the threshold, or the fraction of the best score if that is more."""
+    top = scored.agg(F.max("bits").alias("_top"))
+    return scored.crossJoin(F.broadcast(top)).filter(F.col("bits") >= F.greatest(F.lit(float(bit_thresh)), F.lit(float(fraction)) * F.col("_top"))).drop("_top")
+
+
+def _pick(rows, thresh: float, absolute: bool) -> list[tuple]:  # noqa: ANN001
+    """Greedy selection within one set of references that share reads.
+
+    A lazy heap: a score only falls, so an entry that is out of date is put back
+    with its present score, and the first that is up to date is the best.
+    """
+    import heapq
+
+    reads: dict = {}
+    refs: dict = {}
+    length, bits = {}, {}
+    for read, ref, b, n in zip(rows["read_id"], rows["seq_id"], rows["bits"], rows["seq_len"], strict=True):
+        reads.setdefault(read, []).append(ref)
+        refs.setdefault(ref, []).append(read)
+        length[ref], bits[read] = (1 if absolute else n), b
+    # Scores are summed in the order of the reads, so that equal inputs give equal sums.
+    score = {k: sum(bits[r] for r in sorted(v)) / length[k] for k, v in refs.items()}
+    heap = [(-s, k) for k, s in score.items()]
+    heapq.heapify(heap)
+    gone, out = set(), []
+    while heap:
+        s, k = heapq.heappop(heap)
+        own = [r for r in refs[k] if r not in gone]
+        now = score[k] if len(own) == len(refs[k]) else sum(bits[r] for r in sorted(own)) / length[k]
+        if -s > now + 1e-12:
+            heapq.heappush(heap, (-now, k))
+            continue
+        if now < thresh or not own:
+            break
+        out.append((k, now))
+        gone.update(own)
+    return out
+
+
+def greedy_select(maps: DataFrame, catalog: DataFrame, bit_thresh: float = 0.0, fraction: float = 0.0, absolute: bool = False) -> DataFrame:
+    """``seq_id, bits``: references taken best first, each with the reads that none before it has.
+
+    References that share no read do not influence each other, so each connected
+    set of references is one group, and groups are selected in parallel. What
+    falls below the threshold can no longer rise, so each group stops there.
+    """
+    from quern.operators.graph import connected_components
+
+    bits = maps.join(read_bits(maps), "read_id").join(catalog.select("seq_id", "seq_len"), "seq_id")
+    first = maps.groupBy("read_id").agg(F.min("seq_id").alias("a"))
+    label = connected_components(maps.join(first, "read_id").select("a", F.col("seq_id").alias("b")).distinct(), "a", "b")
+    top = ref_bits(maps, catalog, absolute).agg(F.max("bits")).first()[0] or 0.0
+    least = max(bit_thresh, fraction * top)
+    kind = dict(maps.dtypes)["seq_id"]
+
+    def select(rows):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.DataFrame(_pick(rows, least, absolute), columns=["seq_id", "bits"])
+
+    grouped = bits.join(label, F.col("seq_id") == F.col("node")).select("component", "read_id", "seq_id", "bits", "seq_len")
+    return grouped.groupBy("component").applyInPandas(select, f"seq_id {kind}, bits double")
+
+
+def remap(hits: DataFrame, selected: DataFrame, second_chance: bool = False) -> DataFrame:
+    """All best hits whose reference was selected; reads left without may use their second tier."""
+    tiers = second_tier(hits).join(selected.select("seq_id"), "seq_id", "left_semi")
+    best = tiers.filter("tier = 0").withColumn("second_chance", F.lit(False))
+    if not second_chance:
+        return best
+    late = tiers.filter("tier = 1").join(best.select("read_id").distinct(), "read_id", "left_anti").withColumn("second_chance", F.lit(True))
+    return best.unionByName(late)
+
+
+def _share(rows) -> dict:  # noqa: ANN001
+    """Sequential abundance of one group: reads by number of references, then id, each split by the abundance so far."""
+    reads: dict = {}
+    for read, ref, n, length in zip(rows["read_id"], rows["seq_id"], rows["map_count"], rows["seq_len"], strict=True):
+        reads.setdefault(read, []).append((ref, n, length))
+    ab: dict = {}
+    for read in sorted(reads, key=lambda r: (len(reads[r]), r)):
+        own = sorted(reads[read])
+        weight = [ab.get(ref, 0.0) * n for ref, n, _ in own]
+        if len(own) == 1 or sum(weight) == 0:
+            weight = [float(n) for _, n, _ in own]
+        total = sum(weight)
+        for (ref, _, length), w in zip(own, weight, strict=True):
+            ab[ref] = ab.get(ref, 0.0) + w / total / length
+    return ab
+
+
+def abundance(maps: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``seq_id, abundance, rel_ab, rd_cnt``: copies of each reference that its share of the reads stands for.
+
+    Reads with one reference count whole; the others are split by the abundance
+    found so far, in the order of their number of references. The order matters
+    only among references that share reads, so connected sets run in parallel.
+    """
+    from quern.operators.graph import connected_components
+
+    first = maps.groupBy("read_id").agg(F.min("seq_id").alias("a"))
+    label = connected_components(maps.join(first, "read_id").select("a", F.col("seq_id").alias("b")).distinct(), "a", "b")
+    kind = dict(maps.dtypes)["seq_id"]
+
+    def run(rows):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.DataFrame(list(_share(rows).items()), columns=["seq_id", "abundance"])
+
+    rows = maps.join(catalog.select("seq_id", "seq_len"), "seq_id").join(label, F.col("seq_id") == F.col("node")).select("component", "read_id", "seq_id", "map_count", "seq_len")
+    found = rows.groupBy("component").applyInPandas(run, f"seq_id {kind}, abundance double")
+    total = found.agg(F.sum("abundance").alias("_all"))
+    return found.crossJoin(F.broadcast(total)).join(catalog.select("seq_id", "seq_len"), "seq_id").select("seq_id", "abundance", (F.col("abundance") / F.col("_all")).alias("rel_ab"), (F.col("abundance") * F.col("seq_len")).alias("rd_cnt"))
+
+
+def tier_abundance(maps: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The order-free form: reads with one reference first, then all others split by that, or evenly where it is nothing."""
+    count = F.count(F.lit(1)).over(Window.partitionBy("read_id"))
+    rows = maps.withColumn("k", count).join(catalog.select("seq_id", "seq_len"), "seq_id")
+    unique = rows.filter("k = 1").groupBy("seq_id").agg((F.count(F.lit(1)) / F.max("seq_len")).alias("ab"))
+    shared = rows.filter("k > 1").join(unique, "seq_id", "left").withColumn("w", F.coalesce("ab", F.lit(0.0)) * F.col("map_count"))
+    by_read = Window.partitionBy("read_id")
+    shared = shared.withColumn("w", F.when(F.sum("w").over(by_read) > 0, F.col("w")).otherwise(F.col("map_count").cast("double")))
+    shared = shared.withColumn("share", F.col("w") / F.sum("w").over(by_read)).groupBy("seq_id").agg((F.sum("share") / F.max("seq_len")).alias("more"))
+    return unique.join(shared, "seq_id", "full_outer").select("seq_id", (F.coalesce("ab", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("abundance"))
+
+
+def shared_edges(maps: DataFrame, min_bits: float = 500.0, min_count: int = 1) -> DataFrame:
+    """References that share reads: ``seq1 < seq2, num, bits``; the self-join is on the read, within its few hits."""
+    rows = maps.join(read_bits(maps).select("read_id", "bits"), "read_id")
+    a = rows.select("read_id", F.col("seq_id").alias("seq1"), "bits")
+    b = rows.select("read_id", F.col("seq_id").alias("seq2"))
+    return a.join(b, "read_id").filter("seq1 < seq2").groupBy("seq1", "seq2").agg(F.count(F.lit(1)).alias("num"), F.sum("bits").alias("bits")).filter((F.col("bits") >= min_bits) & (F.col("num") >= min_count))
+
+
+def mate_edges(maps: DataFrame, min_count: int = 2, min_bits: float = 0.0, strict: bool = False, read_len: int = 50) -> DataFrame:
+    """Edges that mates span: ``kind`` FB, FF, BB or internal, with count, bits and mean position.
+
+    ``maps`` has ``pair_id, mate, seq_id, pos`` (signed by strand) and ``bits``. From
+    the first mate's reference the pair leaves forwards if its read points at the
+    end. With ``strict``, pairs that hit one reference with both mates say nothing
+    about others.
+    """
+    one = maps.filter("mate = 1 AND pos <> 0").select("pair_id", F.col("seq_id").alias("x"), F.col("pos").alias("px"), F.col("bits").alias("bx"))
+    two = maps.filter("mate = 2 AND pos <> 0").select("pair_id", F.col("seq_id").alias("y"), F.col("pos").alias("py"), F.col("bits").alias("by"))
+    if strict:
+        own = one.join(two, "pair_id").filter("x = y").select("pair_id").distinct()
+        both = one.join(two, "pair_id")
+        pairs = both.filter("x = y").unionByName(both.filter("x <> y").join(own, "pair_id", "left_anti"))
+    else:
+        pairs = one.join(two, "pair_id")
+    # Read 1 on the reverse strand, or read 2 on the forward one, looks forwards.
+    leave_x, leave_y = F.col("px") < 0, F.col("py") > 0
+    kind = F.when(F.col("x") == F.col("y"), "internal").when(leave_x & leave_y, "FF").when(~leave_x & ~leave_y, "BB").otherwise("FB")
+    forward = F.when(kind == "FB", leave_x).otherwise(F.col("x") <= F.col("y"))
+    middle = lambda p: (F.abs(p) + read_len // 2).cast("double")
+    rows = pairs.select(
+        kind.alias("kind"),
+        F.when(forward, F.col("x")).otherwise(F.col("y")).alias("n1"),
+        F.when(forward, F.col("y")).otherwise(F.col("x")).alias("n2"),
+        F.when(forward, middle(F.col("px"))).otherwise(middle(F.col("py"))).alias("m1"),
+        F.when(forward, middle(F.col("py"))).otherwise(middle(F.col("px"))).alias("m2"),
+        F.least("bx", "by").alias("b"),
+    )
+    found = rows.groupBy("kind", "n1", "n2").agg(F.count(F.lit(1)).alias("num"), F.sum("b").alias("bits"), F.avg("m1").alias("p1"), F.avg("m2").alias("p2"))
+    return found.filter((F.col("num") >= min_count) & (F.col("bits") >= min_bits))
+
+
+def insert_sizes(maps: DataFrame, cutoff: int = 0, circular: bool = False) -> DataFrame:
+    """Per reference: pairs with both mates on it once and on one strand, mean and deviation of their distance."""
+    once = maps.filter("map_count = 1")
+    one = once.filter("mate = 1").select("pair_id", "seq_id", F.col("pos").alias("p1"), *(["seq_len"] if circular else []))
+    two = once.filter("mate = 2").select("pair_id", "seq_id", F.col("pos").alias("p2"))
+    dist = F.abs(F.abs("p2") - F.abs("p1"))
+    if circular:
+        dist = F.least(dist, F.col("seq_len") - dist)
+    rows = one.join(two, ["pair_id", "seq_id"]).filter(F.signum("p1") == F.signum("p2")).withColumn("d", dist)
+    if cutoff:
+        rows = rows.filter(F.col("d") <= cutoff)
+    return rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("mp_pairs"), F.avg("d").alias("mp_ins_mean"), F.stddev_pop("d").alias("mp_ins_stdev"))
+
+
+def roll_up(refs: DataFrame, thresh: float = 0.0) -> DataFrame:
+    """By parent: means weighted by length, the share of the abundance among parents that pass."""
+    mean = lambda c: (F.sum(F.col(c) * F.col("seq_len")) / F.sum("seq_len")).alias(c)
+    by_parent = refs.groupBy("parent_id").agg(F.count(F.lit(1)).alias("refs"), F.sum("seq_len").alias("seq_len"), *[mean(c) for c in ("bits", "abundance", "cov") if c in refs.columns]).filter(F.col("bits") > thresh)
+    total = by_parent.agg(F.sum("abundance").alias("_all"))
+    return by_parent.crossJoin(F.broadcast(total)).withColumn("rel_ab", F.col("abundance") / F.col("_all")).drop("_all")
+
+
+def run_stats(hits: DataFrame, selected: DataFrame) -> DataFrame:
+    """Reads, reads on selected references, references and selected references."""
+    own = hits.join(selected.select("seq_id"), "seq_id", "left_semi")
+    a = hits.agg(F.countDistinct("read_id").alias("reads"), F.countDistinct("seq_id").alias("refs"))
+    b = own.agg(F.countDistinct("read_id").alias("reads_selected"), F.countDistinct("seq_id").alias("refs_selected"))
+    return a.crossJoin(F.broadcast(b))
+
+
+def matched_reads(reads: DataFrame, hits: DataFrame, selected: DataFrame, invert: bool = False) -> DataFrame:
+    """Reads of which they or their mate hit a selected reference, or with ``invert`` the others."""
+    pairs = hits.join(selected.select("seq_id"), "seq_id", "left_semi").select("pair_id").distinct()
+    return reads.join(pairs, "pair_id", "left_anti" if invert else "left_semi")

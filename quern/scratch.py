@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Narrow rows that one task writes in a second or so.
+ROWS_A_TASK = 250_000
 
 
 def root(spark: SparkSession) -> str:
@@ -33,13 +37,24 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back, cutting its lineage."""
+def table(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and read it back, cutting its lineage.
+
+    Where at most ``most_rows`` rows are known to come, they are written by as many
+    tasks as those need, not by one for each shuffle partition.
+    """
     path = folder(df.sparkSession, name)
+    if most_rows is not None and (tasks := most_rows // ROWS_A_TASK + 1) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(tasks)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(written: DataFrame, most_rows: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most_rows`` rows; joined by a shuffle beyond."""
+    return F.broadcast(written) if written.count() <= most_rows else written
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch folders that no live DataFrame reads any more."""
     for path in paths:
