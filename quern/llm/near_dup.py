@@ -11,21 +11,27 @@ Keys are as long as seven values, so unrelated documents rarely meet, and no
 group is expanded into its pairs:
 
 1. Documents with equal sets are one node from the start.
-2. In each key's group every node is paired with the smallest only.
-3. What the full sets confirm is linked, and components are found.
-4. Pairs of one group that step 3 left in different components, none of them the
-   smallest, are paired if their sizes and one-bit signatures allow it, and
-   confirmed in the same way. Pairs within a component need no look.
+2. Every node is paired with one other: the smallest of those that are the
+   smallest of one of its keys' groups. What the full sets confirm is a link.
+3. Nodes that are still in another component than the smallest of a group are
+   paired with that.
+4. Nodes of one group that are still in different components, none of them the
+   smallest, are paired with each other.
+
+Pairs within a component need no look, and pairs whose sizes or whose values,
+in four bits each, rule out the similarity are dropped before their sets are
+read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import scratch
@@ -34,15 +40,35 @@ from quern.operators.graph import connected_components
 
 CHUNKS, WIDTH = 14, 8
 VALUES = CHUNKS * WIDTH
-#: Of 112 one-bit values a pair at similarity 0.8 differs in 11.2, with a deviation of 3.2.
-BITS_APART = 28
+#: Longs that hold four bits of every value.
+LONGS = VALUES // 16
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT, _LEFT_OUT = (_rng.integers(0, 2**63, (CHUNKS, WIDTH), dtype=np.uint64) for _ in range(2))
-_POWERS = np.uint64(1) << np.arange(VALUES // 2, dtype=np.uint64)
 
-SKETCH = "doc_id long, n long, h1 long, h2 long, s1 long, s2 long, keys array<long>"
+_BITS = [f"s{k}" for k in range(LONGS)]
+SKETCH = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _BITS) + ", keys array<long>, own array<short>"
+
+
+def most_apart(percent: int) -> int:
+    """How many of the four-bit values a pair at the similarity may differ in: the mean and 4.1 deviations."""
+    p = (1 - percent / 100) * 15 / 16
+    return math.ceil(VALUES * p + 4.1 * math.sqrt(VALUES * p * (1 - p)))
+
+
+def values_apart(a: list[Column], b: list[Column]) -> Column:
+    """In how many four-bit values two signatures differ."""
+
+    def differing(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        some = d
+        for k in (1, 2, 3):
+            some = some.bitwiseOR(F.shiftrightunsigned(d, k))
+        return F.bit_count(some.bitwiseAND(F.lit(0x1111111111111111).cast("long")))
+
+    parts = [differing(x, y) for x, y in zip(a, b, strict=True)]
+    return sum(parts[1:], parts[0])
 
 
 def signature(shingles: np.ndarray, step: int = 4096) -> np.ndarray:
@@ -82,52 +108,54 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 digests.append(_digest(own) if len(own) else (None, None))
                 rows.append(signature(own))
             low = np.array(rows, dtype=np.uint64).reshape(-1, VALUES)
-            odd = (low >> np.uint64(16)) & np.uint64(1)
-            s1, s2 = ((odd[:, k :: 2] * _POWERS).sum(axis=1, dtype=np.uint64).astype(np.int64) for k in (0, 1))
-            keys = index_keys(low).astype(np.int64)
+            fours = ((low >> np.uint64(16)) & np.uint64(15)).reshape(-1, LONGS, 16)
+            packed = (fours << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).astype(np.int64)
+            keys, own = index_keys(low).astype(np.int64), (low & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * VALUES)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=["doc_id", "n", "h1", "h2", "s1", "s2", "keys"],
+                [
+                    part.column("doc_id"),
+                    pa.array(n, pa.int64()),
+                    *[pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)],
+                    *[pa.array(packed[:, k]) for k in range(LONGS)],
+                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                    pa.ListArray.from_arrays(offsets, pa.array(own.ravel())),
+                ],
+                names=["doc_id", "n", "h1", "h2", *_BITS, "keys", "own"],
             )
 
 
 def _contents(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The sets of those rows whose digest is the one that is asked for."""
     for batch in batches:
         for part in tokens.pieces(batch):
-            sets = list(_sets(tokens.texts(part), size))
-            digests = [_digest(x) for x in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "h1", "h2", "shingles"],
-            )
-
-
-class _Confirm:
-    """Confirms pairs of set digests on the full sets of their documents."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, broadcast_rows: int) -> None:
-        self.docs, self.classes, self.size, self.percent, self.broadcast_rows = docs, classes, size, percent, broadcast_rows
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """``a, b``: the documents that stand for the sets, where similar."""
-        needed = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
-        nodes = scratch.table(self.classes.join(needed, F.col("h1") == F.col("h")).select(F.col("rep").alias("r")).distinct(), "nodes")
-        if nodes.count() <= self.broadcast_rows:
-            nodes = F.broadcast(nodes)
-        own = self.docs.join(nodes, F.col("doc_id") == F.col("r"), "left_semi").mapInArrow(lambda b, size=self.size: _contents(b, size), "doc_id long, h1 long, h2 long, shingles array<long>")
-        own = own.join(self.classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-        sets = scratch.table(own, "sets")
-        left = sets.select(F.col("h1").alias("ha"), F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("h1").alias("hb"), F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        both = pairs.select("ha", "hb").join(left, "ha").join(right, "hb")
-        similar = both.filter(shared * 100 >= self.percent * (F.size("sa") + F.size("sb") - shared))
-        links = scratch.table(similar.select("a", "b"), "links")
-        scratch.drop_table(sets)
-        return links
+            out = [
+                (doc, h1, own.astype(np.int64))
+                for doc, h1, h2, own in zip(part.column("doc_id").to_pylist(), part.column("h1").to_pylist(), part.column("h2").to_pylist(), _sets(tokens.texts(part), size), strict=True)
+                if _digest(own) == (h1, h2)
+            ]
+            if out:
+                offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in out])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[2] for x in out])))],
+                    names=["doc_id", "h1", "shingles"],
+                )
+
+
+def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """``a, b``: the documents that stand for the sets of ``pairs``, where the full sets are similar."""
+    needed = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
+    nodes = scratch.table(needed.join(classes.select("h1", "h2", "rep"), F.col("h") == F.col("h1")).select(F.col("rep").alias("r"), "h1", "h2"), "nodes")
+    own = docs.join(scratch.sized(nodes, broadcast_rows), F.col("doc_id") == F.col("r")).select("doc_id", "text", "h1", "h2")
+    sets = scratch.table(own.mapInArrow(lambda b: _contents(b, size), "doc_id long, h1 long, shingles array<long>"), "sets")
+    left = sets.select(F.col("h1").alias("ha"), F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("h1").alias("hb"), F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.select("ha", "hb").join(left, "ha").join(right, "hb")
+    similar = both.filter(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared))
+    links = scratch.table(similar.select("a", "b"), "links")
+    scratch.drop_table(sets)
+    return links
 
 
 def near_duplicates(
@@ -156,47 +184,67 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.table(rows.mapInArrow(lambda b: _sketch(b, shingle), SKETCH), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND n > 0")
-    classes = scratch.table(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("s1").alias("s1"), F.max("s2").alias("s2")), "classes")
+    classes = scratch.table(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in _BITS]), "classes")
+    sized = lambda df: scratch.sized(df, broadcast_rows)
 
-    index = known.select(F.explode("keys").alias("key"), F.col("h1").alias("h"))
-    shared = scratch.table(index.groupBy("key").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first < last").select(F.col("key").alias("k"), "first"), "keys")
-    if shared.count() <= broadcast_rows:
-        shared = F.broadcast(shared)
-    group = scratch.table(index.join(shared, F.col("key") == F.col("k")).select("key", "h", "first").distinct(), "groups")
+    shared = known.select(F.explode("keys").alias("key"), F.col("h1").alias("h")).groupBy("key").agg(F.min("h").alias("first"), F.max("h").alias("last"))
+    shared = scratch.table(shared.filter("first < last").select(F.col("key").alias("k"), "first"), "keys")
+    index = known.select(F.col("h1").alias("h"), F.posexplode(F.arrays_zip("keys", "own")).alias("at", "z")).select(F.col("z.keys").alias("key"), "h", (F.col("at") % WIDTH).alias("left_out"), F.col("z.own").alias("value"))
+    group = scratch.table(index.join(sized(shared), F.col("key") == F.col("k")).select("key", "h", "left_out", "value", "first").distinct(), "groups")
 
-    sizes = classes.select(F.col("h1").alias("h"), "n", "s1", "s2")
-    of = lambda x: sizes.select(*[F.col(c).alias(f"{c}{x}") for c in ("h", "n", "s1", "s2")])
+    sizes = sized(classes.select(F.col("h1").alias("h"), "n", *_BITS))
+    of = lambda x: sizes.select(*[F.col(c).alias(f"{c}{x}") for c in ("h", "n", *_BITS)])
     near = (
         (F.col("na") * 100 >= F.col("nb") * percent)
         & (F.col("nb") * 100 >= F.col("na") * percent)
-        & (F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b"))) <= BITS_APART)
+        & (values_apart(*[[F.col(f"{c}{x}") for c in _BITS] for x in "ab"]) <= most_apart(percent))
     )
-    confirm = _Confirm(rows, classes, shingle, percent, broadcast_rows)
-    star = group.filter("h <> first").select(F.col("first").alias("ha"), F.col("h").alias("hb")).distinct()
-    star = scratch.table(star.join(of("a"), "ha").join(of("b"), "hb").filter(near).select("ha", "hb"), "star")
-    links = confirm(star)
+    close = lambda pairs: pairs.join(of("a"), "ha").join(of("b"), "hb").filter(near).select("ha", "hb")
+    confirm = lambda pairs: _confirm(rows, classes, pairs, shingle, percent, broadcast_rows)
+
+    def labels(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components of documents, and of digests."""
+        found = scratch.table(connected_components(links, broadcast_rows=broadcast_rows), "components")
+        by_digest = classes.join(sized(found), F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("h"), F.coalesce("component", "rep").alias("c"))
+        return found, sized(scratch.table(by_digest, "labels"))
+
+    members = group.filter("h <> first")
+    one = scratch.table(close(members.groupBy(F.col("h").alias("hb")).agg(F.min("first").alias("ha"))), "one")
+    links = confirm(one)
 
     # Rows that repeat an id make its sets one document.
-    again = known.join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
-    split = again.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").drop("hi")
-    links = scratch.table(links.unionByName(again.join(split, "doc_id").select(F.col("lo").alias("a"), F.col("rep").alias("b"))), "links")
-
-    found = scratch.table(connected_components(links), "components")
-    # One component per digest: the few digests that two sets share take the smaller, and are paired the more.
-    label = classes.join(found, F.col("rep") == F.col("node"), "left").groupBy(F.col("h1").alias("h")).agg(F.min(F.coalesce("component", "rep")).alias("c"))
-    apart = scratch.table(group.join(label, "h").filter("h <> first"), "apart")
-    mixed = apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = apart.join(mixed, "key", "left_semi").join(sizes, "h").select("key", "h", "c", "n", "s1", "s2")
-    rest = scratch.table(rest, "rest")
-    side = lambda x: rest.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("h", "c", "n", "s1", "s2")])
-    across = side("a").join(side("b"), "key").filter((F.col("ca") < F.col("cb")) & near).select("ha", "hb").distinct()
-    across = scratch.table(across.join(star, ["ha", "hb"], "left_anti").join(star.select(F.col("hb").alias("ha"), F.col("ha").alias("hb")), ["ha", "hb"], "left_anti"), "across")
+    ids = known.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("h2").alias("lo2"), F.max("h2").alias("hi2"))
+    again = scratch.table(ids.filter("lo < hi OR lo2 < hi2").select("doc_id"), "again")
+    if not again.isEmpty():
+        sets = known.join(sized(again), "doc_id", "left_semi").join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+        links = scratch.table(links.unionByName(sets.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
+
+    found, label = labels(links)
+    first_label = label.select(F.col("h").alias("first"), F.col("c").alias("cf"))
+    astray = members.join(label, "h").join(first_label, "first").filter("c <> cf").select(F.col("first").alias("ha"), F.col("h").alias("hb")).distinct()
+    astray = scratch.table(close(astray.join(sized(one), ["ha", "hb"], "left_anti")), "astray")
+    if not astray.isEmpty():
+        links = scratch.table(links.unionByName(confirm(astray)), "links")
+        found, label = labels(links)
+
+    apart = scratch.table(members.join(label, "h").select("key", "h", "left_out", "value", "c"), "apart")
+    mixed = scratch.table(apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
+    rest = scratch.table(apart.join(sized(mixed), "key", "left_semi").join(sizes, "h").select("key", "h", "left_out", "value", "c", "n", *_BITS), "rest")
+    side = lambda x: rest.select("key", "left_out", *[F.col(c).alias(f"{c}{x}") for c in ("h", "value", "c", "n", *_BITS)])
+    # A chunk in which all values agree has eight keys: its pairs are taken from the first.
+    once = (F.col("valuea") != F.col("valueb")) | (F.col("left_out") == 0)
+    across = side("a").join(side("b"), ["key", "left_out"]).filter((F.col("ca") < F.col("cb")) & once & near)
+    across = across.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
+    # The first of a group is the smallest, so the pairs looked at already are in this order too.
+    across = across.join(sized(one), ["ha", "hb"], "left_anti").join(sized(astray), ["ha", "hb"], "left_anti")
+    across = scratch.table(across, "across")
     if not across.isEmpty():
         more = confirm(across)
         if not more.isEmpty():
-            found = scratch.table(connected_components(links.unionByName(more)), "components")
+            found, _ = labels(links.unionByName(more))
 
-    part = known.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    final = classes.join(sized(found), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+    part = known.select("doc_id", "n", "h1", "h2").join(sized(scratch.table(final, "final")), ["h1", "h2"]).select("doc_id", "n", "component_id")
     other = sketches.filter("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return part.unionByName(other).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
