@@ -167,12 +167,15 @@ def train(texts: DataFrame, text_col: str = "text", filter_bits: int = 1 << 29,
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
     words = scratch.table(rows.mapInArrow(_count_words, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {bytes(r.token): r.c for r in words.orderBy(F.desc("c"), "token").limit(head_words).collect()}
+    frequent = words.orderBy(F.desc("c"), "token").limit(head_words).toArrow()  # head_words rows
+    head = dict(zip(frequent.column("token").to_pylist(), frequent.column("c").to_pylist(), strict=True))
+    del frequent
     ngrams = rows.mapInArrow(_count_pairs, "segment int, h long, c long").unionByName(words.mapInArrow(_hash_words, "segment int, h long, c long"))
     size = filter_bits // 64 // SEGMENTS
     counted = ngrams.repartition("segment").groupBy("segment", "h").agg(F.sum("c").alias("c")).select("h", "c")
+    segments = scratch.table(counted.mapInArrow(lambda b: _build(b, size), "segment int, bits binary"), "segments")
     bits = np.zeros(size * SEGMENTS, dtype=np.uint64)
-    for r in counted.mapInArrow(lambda b: _build(b, size), "segment int, bits binary").toLocalIterator():  # filter_bits in all
+    for r in segments.toLocalIterator():  # filter_bits in all
         bits[r.segment * size : (r.segment + 1) * size] |= np.frombuffer(r.bits, dtype=np.uint64)
     return Filter(bits, total, distinct, head, pair_weight), words
 
