@@ -173,8 +173,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col)) & (F.octet_length(text_col) <= sample_bytes))
     narrow = rows.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
-    first = Window.partitionBy("l").orderBy("h", "i")
-    picked = {(r.i, r.l) for r in narrow.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).select("i", "l").collect()}
+    # Only hashes that can be among the first reach the window: four times the sample is to be expected, whatever the input.
+    sizes = narrow.groupBy(F.col("l").alias("m")).agg(F.count(F.lit(1)).alias("size"))
+    share = F.shiftrightunsigned("h", 1) / float(2**63)
+    few = narrow.join(F.broadcast(sizes), F.col("l") == F.col("m")).filter(share * F.col("size") <= 4 * sample_docs)  # a row a language
+    first = Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 1), "i")
+    picked = {(r.i, r.l) for r in few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).select("i", "l").collect()}
     if not picked:
         return Model({}, order)
     chosen = docs.sparkSession.createDataFrame(sorted(picked, key=str), narrow.select("i", "l").schema)
