@@ -11,12 +11,14 @@ Keys are as long as seven values, so unrelated documents rarely meet, and no
 group is expanded into its pairs:
 
 1. Documents with equal sets are one node from the start.
-2. Every node is paired with one other: the smallest of those that are the
-   smallest of one of its keys' groups. What the full sets confirm is a link.
-3. Nodes that are still in another component than the smallest of a group are
-   paired with that.
+2. Each key's group has a leader, the node that shares the most keys with others;
+   among copies of one original that is the original, to which they are more
+   alike than to each other. Every node is paired with the best of its leaders.
+   What the full sets confirm is a link.
+3. Nodes that are still in another component than the leader of one of their
+   groups are paired with that.
 4. Nodes of one group that are still in different components, none of them the
-   smallest, are paired with each other.
+   leader, are paired with each other.
 
 Pairs within a component need no look, and pairs whose sizes or whose values,
 in four bits each, rule out the similarity are dropped before their sets are
@@ -187,10 +189,19 @@ def near_duplicates(
     classes = scratch.table(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in _BITS]), "classes")
     sized = lambda df: scratch.sized(df, broadcast_rows)
 
-    shared = known.select(F.explode("keys").alias("key"), F.col("h1").alias("h")).groupBy("key").agg(F.min("h").alias("first"), F.max("h").alias("last"))
-    shared = scratch.table(shared.filter("first < last").select(F.col("key").alias("k"), "first"), "keys")
+    shared = known.select(F.explode("keys").alias("key"), F.col("h1").alias("h")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    shared = scratch.table(shared.filter("lo < hi").select(F.col("key").alias("k")), "keys")
     index = known.select(F.col("h1").alias("h"), F.posexplode(F.arrays_zip("keys", "own")).alias("at", "z")).select(F.col("z.keys").alias("key"), "h", (F.col("at") % WIDTH).alias("left_out"), F.col("z.own").alias("value"))
-    group = scratch.table(index.join(sized(shared), F.col("key") == F.col("k")).select("key", "h", "left_out", "value", "first").distinct(), "groups")
+    group = scratch.table(index.join(sized(shared), F.col("key") == F.col("k")).select("key", "h", "left_out", "value").distinct(), "groups")
+    crowd = scratch.table(group.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")), "crowds")
+    # How many keys a node shares, with the digest's low half: a number that orders nodes, all but unique.
+    code = F.shiftleft(F.least("crowd", F.lit(2**30)), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)))
+    met = group.join(sized(crowd), "key").groupBy("h").agg(F.sum("crowd").alias("crowd")).select("h", code.alias("code"))
+    met = scratch.table(met, "met")
+    coded = group.join(sized(met), "h")
+    lead = scratch.table(coded.groupBy("key").agg(F.max("code").alias("top")), "leaders")
+    members = scratch.table(coded.join(sized(lead), "key").filter("code <> top").drop("code"), "members")
+    leader = sized(met.select(F.col("code").alias("top"), F.col("h").alias("first")))
 
     sizes = sized(classes.select(F.col("h1").alias("h"), "n", *_BITS))
     of = lambda x: sizes.select(*[F.col(c).alias(f"{c}{x}") for c in ("h", "n", *_BITS)])
@@ -208,8 +219,10 @@ def near_duplicates(
         by_digest = classes.join(sized(found), F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("h"), F.coalesce("component", "rep").alias("c"))
         return found, sized(scratch.table(by_digest, "labels"))
 
-    members = group.filter("h <> first")
-    one = scratch.table(close(members.groupBy(F.col("h").alias("hb")).agg(F.min("first").alias("ha"))), "one")
+    def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        return pairs.select(F.least(x, y).alias("ha"), F.greatest(x, y).alias("hb")).filter("ha < hb").distinct()
+
+    one = scratch.table(close(ordered(members.groupBy("h").agg(F.max("top").alias("top")).join(leader, "top"), "first", "h")), "one")
     links = confirm(one)
 
     # Rows that repeat an id make its sets one document.
@@ -220,9 +233,9 @@ def near_duplicates(
         links = scratch.table(links.unionByName(sets.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
 
     found, label = labels(links)
-    first_label = label.select(F.col("h").alias("first"), F.col("c").alias("cf"))
-    astray = members.join(label, "h").join(first_label, "first").filter("c <> cf").select(F.col("first").alias("ha"), F.col("h").alias("hb")).distinct()
-    astray = scratch.table(close(astray.join(sized(one), ["ha", "hb"], "left_anti")), "astray")
+    leaders = sized(scratch.table(leader.join(label, F.col("first") == F.col("h")).select("top", "first", F.col("c").alias("cf")), "led"))
+    astray = members.join(label, "h").join(leaders, "top").filter("c <> cf").select("first", "h").distinct()
+    astray = scratch.table(close(ordered(astray, "first", "h").join(sized(one), ["ha", "hb"], "left_anti")), "astray")
     if not astray.isEmpty():
         links = scratch.table(links.unionByName(confirm(astray)), "links")
         found, label = labels(links)
@@ -234,9 +247,7 @@ def near_duplicates(
     # A chunk in which all values agree has eight keys: its pairs are taken from the first.
     once = (F.col("valuea") != F.col("valueb")) | (F.col("left_out") == 0)
     across = side("a").join(side("b"), ["key", "left_out"]).filter((F.col("ca") < F.col("cb")) & once & near)
-    across = across.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct()
-    # The first of a group is the smallest, so the pairs looked at already are in this order too.
-    across = across.join(sized(one), ["ha", "hb"], "left_anti").join(sized(astray), ["ha", "hb"], "left_anti")
+    across = ordered(across, "ha", "hb").join(sized(one), ["ha", "hb"], "left_anti").join(sized(astray), ["ha", "hb"], "left_anti")
     across = scratch.table(across, "across")
     if not across.isEmpty():
         more = confirm(across)
@@ -249,11 +260,11 @@ def near_duplicates(
     return part.unionByName(other).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents that stay, rows and columns as they are: one of each group of near-duplicates.
 
     Rows that share a kept id all stay, as they are one document.
     """
-    marked = near_duplicates(docs, id_col, text_col, shingle, percent)
+    marked = near_duplicates(docs, id_col, text_col, shingle, percent, broadcast_rows)
     gone = scratch.table(marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    return docs.join(scratch.sized(gone, broadcast_rows), docs[id_col].cast("long") == gone["_gone"], "left_anti")
