@@ -114,7 +114,6 @@ def find(
     support: int = 3,
     generalise_at: float = 0.75,
     remove_at: float = 0.9,
-    broadcast_terms: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: ``row, doc_id``, an array of spans for each base kind, and ``hint`` and ``term`` spans.
 
@@ -126,8 +125,8 @@ def find(
     * Null text is empty. Places are code points, end exclusive.
     * Repeated rows and ids are documents of their own; copies add to counts but
       not to the different windows. Empty tables give empty results.
-    * Candidate terms are sent to all tasks up to ``broadcast_terms``, and joined
-      by a shuffle beyond.
+    * Every word's documents are counted, whether or not it is near an entity;
+      counts are combined before the shuffle.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -141,12 +140,10 @@ def find(
     pairs = near.groupBy("entity", "term", "row").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
     pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter((F.col("both") >= support) & (F.col("lo") < F.col("hi")))
     pairs = scratch.table(pairs.select("entity", "term", "both"), "pairs")
-    terms = scratch.table(pairs.select(F.col("term").alias("w")).distinct(), "terms")
     entities = near.join(pairs.select("entity").distinct(), "entity", "left_semi").select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
 
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))
-    asked = F.broadcast(terms) if terms.count() <= broadcast_terms else terms
-    frequency = rows.select(F.explode(words).alias("term")).join(asked, F.col("term") == F.col("w"), "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    frequency = rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     n = base.count()
 
     content = math.log2(max(n, 1)) - F.log2(F.col("with_entity").cast("double"))
