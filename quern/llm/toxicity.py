@@ -29,20 +29,22 @@ def _words(values: list[bytes]) -> list[np.ndarray]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 300) -> np.ndarray:
-    """Logistic regression with an intercept in front, by accelerated gradient steps."""
-    x = np.hstack([np.ones((len(x), 1), dtype=np.float32), x])
-    norm = np.ones(x.shape[1])
+    """Logistic regression with an intercept in front, by accelerated gradient steps in the precision of ``x``."""
+    x = np.hstack([np.ones((len(x), 1), dtype=x.dtype), x])
+    y = y.astype(x.dtype)
+    norm = np.ones(x.shape[1], dtype=x.dtype)
     for _ in range(12):
         norm = x.T @ (x @ norm)
         norm /= np.linalg.norm(norm)
     rate = 1 / (0.25 * float(np.linalg.norm(x @ norm)) ** 2 + ridge)
-    w = ahead = np.zeros(x.shape[1])
+    rate, ridge = x.dtype.type(rate), x.dtype.type(ridge)
+    w = ahead = np.zeros(x.shape[1], dtype=x.dtype)
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
         shrink = ridge * ahead
         shrink[0] = 0
         new = ahead - rate * (x.T @ (p - y) + shrink)
-        w, ahead = new, new + k / (k + 3) * (new - w)
+        w, ahead = new, new + x.dtype.type(k / (k + 3)) * (new - w)
     return w
 
 
