@@ -86,7 +86,7 @@ def interleave(
     weights: dict[str | None, float] | None = None,
     block_rows: int = 64,
     resolution: int = 1000,
-    max_sources: int = 2000,
+    max_sources: int = 500,
 ) -> DataFrame:
     """All rows and columns, with ``mix_slot`` and ``mix_position`` after them.
 
