@@ -113,7 +113,7 @@ def trim_length(qual: Column, correct_prob: float, color: bool = False) -> Colum
     """
     if correct_prob <= 0:
         return F.char_length(qual)
-    budget = math.floor(-math.log(correct_prob) * COST_UNIT)
+    budget = round(-math.log(correct_prob) * COST_UNIT)
     codes = chars(qual)
     if color:
         cost = lambda c, i: F.round(-F.log(1 - phred_error(c) * F.when(i > 0, phred_error(F.element_at(codes, F.greatest(i, F.lit(1)).cast("int")))).otherwise(1.0)) * COST_UNIT).cast("long")

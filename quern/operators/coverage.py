@@ -54,8 +54,8 @@ def depth_stats(runs: DataFrame, catalog: DataFrame, margin: int = 0) -> DataFra
 def mean_coverage(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row: coverage of all references, weighted by their length, and twice that, over which a duplication is collapsed."""
     total = runs.agg(F.sum((F.col("end") - F.col("start")) * F.col("depth")).alias("bases"))
-    size = catalog.agg(F.sum("seq_len").alias("len"))
-    return total.crossJoin(F.broadcast(size)).select((F.col("bases") / F.col("len")).alias("mean"), (2 * F.col("bases") / F.col("len")).alias("dup_threshold"))
+    mean = F.col("bases") / catalog.agg(F.sum("seq_len")).scalar()
+    return total.select(mean.alias("mean"), (2 * mean).alias("dup_threshold"))
 
 
 def _best_segments(score: Column, least: float, spans: Column) -> Column:

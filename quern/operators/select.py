@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern import scratch
+
 
 def best_hits(hits: DataFrame) -> DataFrame:
     """Hits at the smallest edit distance of their read."""
@@ -20,12 +22,7 @@ def maps(hits: DataFrame) -> DataFrame:
 def read_bits(maps: DataFrame) -> DataFrame:
     """Information of each read: log2 of references in use over references it hits."""
     in_use = maps.agg(F.countDistinct("seq_id").alias("n")).select(F.when(F.col("n") == 1, 2).otherwise(F.col("n")).alias("num_seq"))
-    return (
-        maps.groupBy("read_id")
-        .agg(F.count(F.lit(1)).alias("seq_count"))
-        .crossJoin(F.broadcast(in_use))  # one row
-        .select("read_id", "seq_count", F.log2(F.col("num_seq") / F.col("seq_count")).alias("bits"))
-    )
+    return maps.groupBy("read_id").agg(F.count(F.lit(1)).alias("seq_count")).select("read_id", "seq_count", F.log2(in_use.scalar() / F.col("seq_count")).alias("bits"))
 
 
 def ref_bits(maps: DataFrame, catalog: DataFrame, absolute: bool = False) -> DataFrame:
@@ -86,8 +83,8 @@ def separate_strands(hits: DataFrame) -> DataFrame:
 
 def threshold(scored: DataFrame, bit_thresh: float = 0.0, fraction: float = 0.0) -> DataFrame:
     """References of at least the threshold, or the fraction of the best score if that is more."""
-    top = scored.agg(F.max("bits").alias("_top"))
-    return scored.crossJoin(F.broadcast(top)).filter(F.col("bits") >= F.greatest(F.lit(float(bit_thresh)), F.lit(float(fraction)) * F.col("_top"))).drop("_top")
+    top = scored.agg(F.max("bits")).scalar()
+    return scored.filter(F.col("bits") >= F.greatest(F.lit(float(bit_thresh)), F.lit(float(fraction)) * top))
 
 
 def _pick(rows, thresh: float, absolute: bool) -> list[tuple]:  # noqa: ANN001
@@ -196,8 +193,9 @@ def abundance(maps: DataFrame, catalog: DataFrame) -> DataFrame:
 
     rows = maps.join(catalog.select("seq_id", "seq_len"), "seq_id").join(label, F.col("seq_id") == F.col("node")).select("component", "read_id", "seq_id", "map_count", "seq_len")
     found = rows.groupBy("component").applyInPandas(run, f"seq_id {kind}, abundance double")
-    total = found.agg(F.sum("abundance").alias("_all"))
-    return found.crossJoin(F.broadcast(total)).join(catalog.select("seq_id", "seq_len"), "seq_id").select("seq_id", "abundance", (F.col("abundance") / F.col("_all")).alias("rel_ab"), (F.col("abundance") * F.col("seq_len")).alias("rd_cnt"))
+    found = scratch.table(found, "abundance")
+    total = found.agg(F.sum("abundance")).scalar()
+    return found.join(catalog.select("seq_id", "seq_len"), "seq_id").select("seq_id", "abundance", (F.col("abundance") / total).alias("rel_ab"), (F.col("abundance") * F.col("seq_len")).alias("rd_cnt"))
 
 
 def tier_abundance(maps: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -271,16 +269,15 @@ def roll_up(refs: DataFrame, thresh: float = 0.0) -> DataFrame:
     """By parent: means weighted by length, the share of the abundance among parents that pass."""
     mean = lambda c: (F.sum(F.col(c) * F.col("seq_len")) / F.sum("seq_len")).alias(c)
     by_parent = refs.groupBy("parent_id").agg(F.count(F.lit(1)).alias("refs"), F.sum("seq_len").alias("seq_len"), *[mean(c) for c in ("bits", "abundance", "cov") if c in refs.columns]).filter(F.col("bits") > thresh)
-    total = by_parent.agg(F.sum("abundance").alias("_all"))
-    return by_parent.crossJoin(F.broadcast(total)).withColumn("rel_ab", F.col("abundance") / F.col("_all")).drop("_all")
+    return by_parent.withColumn("rel_ab", F.col("abundance") / by_parent.agg(F.sum("abundance")).scalar())
 
 
 def run_stats(hits: DataFrame, selected: DataFrame) -> DataFrame:
     """Reads, reads on selected references, references and selected references."""
     own = hits.join(selected.select("seq_id"), "seq_id", "left_semi")
-    a = hits.agg(F.countDistinct("read_id").alias("reads"), F.countDistinct("seq_id").alias("refs"))
-    b = own.agg(F.countDistinct("read_id").alias("reads_selected"), F.countDistinct("seq_id").alias("refs_selected"))
-    return a.crossJoin(F.broadcast(b))
+    count = lambda df, c: df.agg(F.countDistinct(c)).scalar()
+    both = hits.agg(F.countDistinct("read_id").alias("reads"), F.countDistinct("seq_id").alias("refs"))
+    return both.select("reads", "refs", count(own, "read_id").alias("reads_selected"), count(own, "seq_id").alias("refs_selected"))
 
 
 def matched_reads(reads: DataFrame, hits: DataFrame, selected: DataFrame, invert: bool = False) -> DataFrame:

@@ -31,8 +31,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seqs = A.seqs(spark, sf_dir)
-    return C.shared_kmer_fraction(seqs, seqs.filter("id % 2 = 0"), 8).select("id", F.round("fraction", 9).alias("fraction"))
+    known = A.seqs(spark, sf_dir).join(A.read(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id")), "id")
+    return C.shared_kmer_fraction(A.seqs(spark, sf_dir), known, 8).select("id", F.round("fraction", 9).alias("fraction"))
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +135,7 @@ SELECT a, b, round(r, 6) AS r FROM p WHERE abs(r) >= 0.3""",
     "compose_chunks": f"""WITH {A.SEQS}, k AS (SELECT id, seq, unnest(range(length(seq) // 100)) AS k FROM seqs)
 SELECT id || '.' || k * 100 || '.' || (k + 1) * 100 - 1 AS id, md5(substring(seq, k * 100 + 1, 100)) AS seq_md5 FROM k""",
     "compose_shared_kmers": f"""WITH {A.SEQS}, w AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(seq) - 6), lambda i: seq[i:i+7])) AS kmer FROM seqs WHERE length(seq) >= 8),
-r AS (SELECT DISTINCT kmer FROM w WHERE id % 2 = 0)
+r AS (SELECT DISTINCT kmer FROM w JOIN documents ON id = doc_id WHERE lang = 'en')
 SELECT id, round(CAST(count(r.kmer) AS DOUBLE) / count(*), 9) AS fraction FROM w LEFT JOIN r USING (kmer) GROUP BY id""",
     "taxonomy_training": f"WITH {_TAXA} SELECT t.*, coalesce(t.level - p.level, 0) AS length FROM taxa t LEFT JOIN taxa p ON t.parent = p.taxid",
     "taxonomy_lineage": f"""WITH RECURSIVE {_TAXA},

@@ -12,12 +12,7 @@ from quern.plans import adapters as A
 def flagship_ref_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with at least a tenth of the best score, as a table."""
     scored = select.ref_bits(select.maps(A.hits(spark, sf_dir)), A.catalog(spark, sf_dir))
-    top = scored.agg(F.max("bits").alias("top"))
-    return (
-        scored.crossJoin(F.broadcast(top))  # one row
-        .filter(F.col("bits") >= 0.1 * F.col("top"))
-        .select("seq_id", "descr", "seq_len", "rd_cnt", F.round("bits", 6).alias("bits"))
-    )
+    return select.threshold(scored, fraction=0.1).select("seq_id", "descr", "seq_len", "rd_cnt", F.round("bits", 6).alias("bits"))
 
 
 BITS_SQL = f"""

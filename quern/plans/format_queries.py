@@ -49,7 +49,7 @@ def catalog_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = A.seqs(spark, sf_dir).select(F.col("id").cast("string").alias("name"), "seq")
     parts = A.read(spark, sf_dir, "part")
-    table = parts.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_size").alias("cov"), (F.col("p_size") / 1000.0).alias("rel_ab")).filter("cov % 3 = 0")
+    table = parts.select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") - 25).alias("cov"), (F.col("p_size") / 1000.0).alias("rel_ab"))
     return fasta.select_by_table(own, table, with_abundance=True).select("name", F.md5("seq").alias("seq_md5"))
 
 
@@ -110,7 +110,7 @@ ORACLES = {
     "format_fasta_wrap": f"WITH {A.SEQS} SELECT id, md5(regexp_replace(regexp_replace(seq, '(.{{70}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')) AS text_md5 FROM seqs",
     "format_catalog": f"WITH {A.SEQS} SELECT CAST(id AS VARCHAR) AS seq_id, length(seq) AS seq_len, CAST(id AS VARCHAR) AS parent_id, 'NA' AS descr FROM seqs",
     "format_catalog_file": f"WITH {A.CATALOG} SELECT CAST(seq_id AS VARCHAR) AS seq_id, seq_len, parent_id, descr FROM catalog",
-    "format_select_by_table": f"WITH {A.SEQS} SELECT printf('%d_%.6f', id, p_size / 1000.0 * 100) AS name, md5(seq) AS seq_md5 FROM seqs JOIN part ON id = p_partkey WHERE p_size % 3 = 0 AND p_size > 0",
+    "format_select_by_table": f"WITH {A.SEQS} SELECT printf('%d_%.6f', id, p_size / 1000.0 * 100) AS name, md5(seq) AS seq_md5 FROM seqs JOIN part ON id = p_partkey WHERE p_size > 25",
     "format_attach_reference": f"WITH {A.SEQS} SELECT id AS seq_id, round(CASE WHEN length(seq) > 0 THEN CAST(length(regexp_replace(seq, '[^GC]', '', 'g')) AS DOUBLE) / length(seq) END, 9) AS pct_gc FROM seqs",
     "format_csfasta": """WITH o AS (SELECT o_orderkey || '_' || o_custkey || '_7' AS name, translate(CAST(o_orderkey AS VARCHAR), '456789', '0123..') AS c FROM orders)
 SELECT name, 'TC' AS primer, translate(c, '0123.', 'ACGTN') AS seq, translate(c, '0123.', '!"#$!') AS qual, 'T1' || c AS csfasta FROM o""",

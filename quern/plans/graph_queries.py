@@ -222,8 +222,8 @@ SELECT n1, n2, round(score - score * (0.08 * abs(a.pct_gc - b.pct_gc) + 0.125 *
 SELECT 'nodes' AS what, 'selected' AS state, count(*) AS n FROM nodes
 UNION ALL SELECT 'edges', CASE WHEN score >= 2500 OR (score >= 2100 AND (n1 IN (SELECT id FROM k) OR n2 IN (SELECT id FROM k))) THEN 'selected' ELSE 'removed' END, count(*) FROM links GROUP BY 2""",
     "graph_edit": f"""WITH {A.NODES}, {L2}
-SELECT 'nodes' AS what, CASE WHEN id <= 5 THEN 'removed' ELSE 'selected' END AS state, count(*) AS n FROM nodes GROUP BY 2
-UNION ALL SELECT 'edges', CASE WHEN n1 <= 5 AND n1 > 0 OR n2 <= 5 AND n2 > 0 THEN 'removed' ELSE 'selected' END, count(*) FROM links GROUP BY 2""",
+SELECT 'nodes' AS what, CASE WHEN id BETWEEN 1 AND 5 THEN 'removed' ELSE 'selected' END AS state, count(*) AS n FROM nodes GROUP BY 2
+UNION ALL SELECT 'edges', CASE WHEN n1 BETWEEN 1 AND 5 OR n2 BETWEEN 1 AND 5 THEN 'removed' ELSE 'selected' END, count(*) FROM links GROUP BY 2""",
     "graph_cut_node": f"WITH {A.NODES} SELECT CAST(-7 AS BIGINT) AS id, seq_len - 20 AS seq_len, cov FROM nodes WHERE id = 7",
     "graph_table": f"WITH {A.NODES} SELECT id, seq_len, cov, pct_gc FROM nodes",
 }

@@ -98,7 +98,7 @@ def reject_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COST = f"CASE WHEN c = '!' THEN 1000000000000000 ELSE CAST(round(-ln(1 - pow(10, -(ascii(c) - 33) / 10.0)) * {S.COST_UNIT}) AS BIGINT) END"
-_BUDGET = math.floor(-math.log(0.5) * S.COST_UNIT)
+_BUDGET = round(-math.log(0.5) * S.COST_UNIT)
 
 QUERIES = {
     "reads_quality_sum": quality_sum,

@@ -148,8 +148,8 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPANS = f"""spans AS (SELECT seq_id, pos * 17 + read_id % 13 AS start, pos * 17 + read_id % 13 + {READ_LEN} AS stop FROM hits),
 ins AS (SELECT seq_id, start, stop, seq_len FROM spans JOIN catalog USING (seq_id) WHERE start >= 1 AND stop - 1 <= seq_len),
-ch AS (SELECT seq_id, at, sum(d) AS d FROM (SELECT seq_id, start AS at, 1 AS d FROM ins UNION ALL SELECT seq_id, stop, -1 FROM ins) GROUP BY seq_id, at),
-runs AS (SELECT * FROM (SELECT seq_id, at AS start, lead(at) OVER w AS stop, CAST(sum(d) OVER w AS BIGINT) AS depth FROM ch WINDOW w AS (PARTITION BY seq_id ORDER BY at)) WHERE stop IS NOT NULL)"""
+ch AS (SELECT seq_id, p, sum(d) AS d FROM (SELECT seq_id, start AS p, 1 AS d FROM ins UNION ALL SELECT seq_id, stop, -1 FROM ins) GROUP BY seq_id, p),
+runs AS (SELECT * FROM (SELECT seq_id, p AS start, lead(p) OVER w AS stop, CAST(sum(d) OVER w AS BIGINT) AS depth FROM ch WINDOW w AS (PARTITION BY seq_id ORDER BY p)) WHERE stop IS NOT NULL)"""
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 """Make the repository importable however pytest is started."""
+import os
 import sys
 from pathlib import Path
 
@@ -11,4 +12,5 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from quern.session import local_session
 
-    return local_session(cores=4, partitions=4, memory="4g", spark__default__parallelism="4")
+    cores = int(os.environ.get("TEST_CORES", "4"))
+    return local_session(cores=cores, partitions=4, memory="4g", spark__default__parallelism="4")
