@@ -17,8 +17,8 @@ _CODING = re.compile("(?:(?!TAA|TAG|TGA)...)*")
 
 def trim_ends(seq: str) -> str:
     """From the first ten unambiguous bases to the last ten; as it is if there are none."""
-    m = re.search("[ACGT]{10}(?:.*[ACGT]{10})?", seq, re.DOTALL)
-    return m.group() if m else seq
+    first, last = (re.search("[ACGT]{10}", s) for s in (seq, seq[::-1]))
+    return seq[first.start() : len(seq) - last.start()] if first and last else seq
 
 
 def overlap(left: str, right: str, least: int = 6, slack: int = 0, most: int = 35) -> int:

@@ -103,7 +103,11 @@ def test_spanning_forest_against_kruskal(spark, seed):
 def test_special_tree_is_prim_without_dead_ends():
     nodes = [(1, 900), (2, 100), (3, 100), (4, 100)]
     edges = [(1, 2, 9.0), (1, 3, 8.0), (2, 3, 10.0), (3, 4, 1.0)]
-    assert {(min(a, b), max(a, b)) for a, b, _ in scaffold.special_tree(nodes, edges, {})} == {(1, 2), (2, 3), (3, 4)}
+    tree = lambda inner: {(min(a, b), max(a, b)) for a, b, _ in scaffold.special_tree(nodes, edges, inner)}
+    # From 2 nothing new is reached, as 3 is linked to 1: the better link of the two is left out.
+    assert tree({}) == {(1, 2), (1, 3), (3, 4)}
+    # With bits of its own, 3 counts as new, and the better link is taken.
+    assert tree({3: 1.0}) == {(1, 2), (2, 3), (3, 4)}
 
 
 @pytest.mark.parametrize("seed", range(4))

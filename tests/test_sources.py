@@ -30,7 +30,7 @@ def records(n):
     return [(f"@lib:{k}/1", "ACGT" * (k % 5 + 1), "+", ("@+II" if k % 2 else "+@@I") * (k % 5 + 1)) for k in range(n)]
 
 
-@pytest.mark.parametrize("size", [7, 40, 101, 1 << 20])
+@pytest.mark.parametrize("size", [97, 400, 1 << 20])
 def test_fastq_at_every_split(spark, splits, tmp_path, size):
     want = records(60)
     (tmp_path / "a.fastq").write_text("".join("\n".join(r) + "\n" for r in want))
