@@ -18,7 +18,9 @@ group is expanded into its pairs:
 3. Nodes that are still in another component than the leader of one of their
    groups are paired with that.
 4. Nodes of one group that are still in different components, none of them the
-   leader, are paired with each other.
+   leader, are paired where they can be similar at all: sets of that similarity
+   share one of their rarest shingles, counted among these nodes. Documents that
+   have a passage in common, and too little else, share none and are not paired.
 
 Pairs within a component need no look, and pairs whose sizes or whose values,
 in four bits each, rule out the similarity are dropped before their sets are
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern import scratch
@@ -50,7 +52,7 @@ _MULTIPLIERS = _rng.integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) +
 _SALT, _LEFT_OUT = (_rng.integers(0, 2**63, (CHUNKS, WIDTH), dtype=np.uint64) for _ in range(2))
 
 _BITS = [f"s{k}" for k in range(LONGS)]
-SKETCH = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _BITS) + ", keys array<long>, own array<short>"
+SKETCH = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _BITS) + ", keys array<long>"
 
 
 def most_apart(percent: int) -> int:
@@ -112,7 +114,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             low = np.array(rows, dtype=np.uint64).reshape(-1, VALUES)
             fours = ((low >> np.uint64(16)) & np.uint64(15)).reshape(-1, LONGS, 16)
             packed = (fours << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).astype(np.int64)
-            keys, own = index_keys(low).astype(np.int64), (low & np.uint64(0xFFFF)).astype(np.uint16).view(np.int16)
+            keys = index_keys(low).astype(np.int64)
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * VALUES)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,9 +123,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                     *[pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)],
                     *[pa.array(packed[:, k]) for k in range(LONGS)],
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
-                    pa.ListArray.from_arrays(offsets, pa.array(own.ravel())),
                 ],
-                names=["doc_id", "n", "h1", "h2", *_BITS, "keys", "own"],
+                names=["doc_id", "n", "h1", "h2", *_BITS, "keys"],
             )
 
 
@@ -144,12 +145,17 @@ def _contents(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
                 )
 
 
+def _sets_of(docs: DataFrame, classes: DataFrame, digests: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    """A table ``doc_id, h1, shingles`` of the full sets with the digests ``h``."""
+    nodes = scratch.table(digests.join(classes.select("h1", "h2", "rep"), F.col("h") == F.col("h1")).select(F.col("rep").alias("r"), "h1", "h2"), "nodes")
+    own = docs.join(scratch.sized(nodes, broadcast_rows), F.col("doc_id") == F.col("r")).select("doc_id", "text", "h1", "h2")
+    return scratch.table(own.mapInArrow(lambda b: _contents(b, size), "doc_id long, h1 long, shingles array<long>"), "sets")
+
+
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast_rows: int) -> DataFrame:
     """``a, b``: the documents that stand for the sets of ``pairs``, where the full sets are similar."""
     needed = pairs.select(F.col("ha").alias("h")).unionByName(pairs.select(F.col("hb").alias("h"))).distinct()
-    nodes = scratch.table(needed.join(classes.select("h1", "h2", "rep"), F.col("h") == F.col("h1")).select(F.col("rep").alias("r"), "h1", "h2"), "nodes")
-    own = docs.join(scratch.sized(nodes, broadcast_rows), F.col("doc_id") == F.col("r")).select("doc_id", "text", "h1", "h2")
-    sets = scratch.table(own.mapInArrow(lambda b: _contents(b, size), "doc_id long, h1 long, shingles array<long>"), "sets")
+    sets = _sets_of(docs, classes, needed, size, broadcast_rows)
     left = sets.select(F.col("h1").alias("ha"), F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("h1").alias("hb"), F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -160,6 +166,26 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     return links
 
 
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """``ha, hb``: sets of different components that share one of their rarest shingles.
+
+    Of two similar sets the smaller shares more than 2p / (100 + p) of its shingles
+    and the larger more than p / 100 of its own, so in any common order of the
+    shingles their first ones, as many as they may lack and one, have one in common.
+    The order is by the number of sets that have a shingle.
+    """
+    rows = sets.select(F.col("h1").alias("h"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    known = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("h").orderBy("df", "s"))
+    ranked = rows.join(known, "s").withColumn("place", place)
+    ceil = lambda a, b: F.floor((a * F.col("n") + (b - 1)) / b)
+    first = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - ceil(percent, 100) + 1))
+    first = scratch.table(first.join(labels, "h").select("s", "h", "c", "n", (F.col("place") <= F.col("n") - ceil(2 * percent, 100 + percent) + 1).alias("index")), "rare")
+    x = first.select("s", F.col("h").alias("ha"), F.col("c").alias("ca"), F.col("n").alias("na"))
+    y = first.filter("index").select("s", F.col("h").alias("hb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    return x.join(y, "s").filter((F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")) & (F.col("nb") * 100 >= F.col("na") * percent)).select("ha", "hb")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -189,10 +215,10 @@ def near_duplicates(
     classes = scratch.table(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in _BITS]), "classes")
     sized = lambda df: scratch.sized(df, broadcast_rows)
 
-    shared = known.select(F.explode("keys").alias("key"), F.col("h1").alias("h")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    index = known.select(F.explode("keys").alias("key"), F.col("h1").alias("h"))
+    shared = index.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     shared = scratch.table(shared.filter("lo < hi").select(F.col("key").alias("k")), "keys")
-    index = known.select(F.col("h1").alias("h"), F.posexplode(F.arrays_zip("keys", "own")).alias("at", "z")).select(F.col("z.keys").alias("key"), "h", (F.col("at") % WIDTH).alias("left_out"), F.col("z.own").alias("value"))
-    group = scratch.table(index.join(sized(shared), F.col("key") == F.col("k")).select("key", "h", "left_out", "value").distinct(), "groups")
+    group = scratch.table(index.join(sized(shared), F.col("key") == F.col("k")).select("key", "h").distinct(), "groups")
     crowd = scratch.table(group.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")), "crowds")
     # How many keys a node shares, with the digest's low half: a number that orders nodes, all but unique.
     code = F.shiftleft(F.least("crowd", F.lit(2**30)), 32).bitwiseOR(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -240,14 +266,11 @@ def near_duplicates(
         links = scratch.table(links.unionByName(confirm(astray)), "links")
         found, label = labels(links)
 
-    apart = scratch.table(members.join(label, "h").select("key", "h", "left_out", "value", "c"), "apart")
+    apart = scratch.table(members.join(label, "h").select("key", "h", "c"), "apart")
     mixed = scratch.table(apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    rest = scratch.table(apart.join(sized(mixed), "key", "left_semi").join(sizes, "h").select("key", "h", "left_out", "value", "c", "n", *_BITS), "rest")
-    side = lambda x: rest.select("key", "left_out", *[F.col(c).alias(f"{c}{x}") for c in ("h", "value", "c", "n", *_BITS)])
-    # A chunk in which all values agree has eight keys: its pairs are taken from the first.
-    once = (F.col("valuea") != F.col("valueb")) | (F.col("left_out") == 0)
-    across = side("a").join(side("b"), ["key", "left_out"]).filter((F.col("ca") < F.col("cb")) & once & near)
-    across = ordered(across, "ha", "hb").join(sized(one), ["ha", "hb"], "left_anti").join(sized(astray), ["ha", "hb"], "left_anti")
+    rest = scratch.table(apart.join(sized(mixed), "key", "left_semi").select("h", "c").distinct(), "rest")
+    across = ordered(_rare_pairs(_sets_of(rows, classes, rest.select("h"), shingle, broadcast_rows), rest, percent), "ha", "hb")
+    across = close(across.join(sized(one), ["ha", "hb"], "left_anti").join(sized(astray), ["ha", "hb"], "left_anti"))
     across = scratch.table(across, "across")
     if not across.isEmpty():
         more = confirm(across)
