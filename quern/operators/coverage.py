@@ -194,6 +194,9 @@ def _color_path(counts, ambig_tol: float) -> str:  # noqa: ANN001
     counts = np.asarray(counts, dtype=float).reshape(-1, 4)
     n = len(counts)
     step = np.tensordot(counts, price, axes=(1, 0)) if n else np.zeros((0, 15, 15))
+    weight = counts.sum(axis=1)
+    for k in np.flatnonzero((weight[:-1] == 0) & (weight[1:] > 0)):
+        step[k] += own[None, :] * weight[k + 1]  # a run of colours starts anew here, and so does its first code's cost
     ahead, choice = np.zeros(15), np.zeros((n, 15), dtype=int)
     for k in range(n - 1, -1, -1):
         total = np.round(step[k] + ahead[None, :], 9)
