@@ -5,10 +5,12 @@ n-gram of level q is in the filter q times, once with each of 1..q, so its level
 is read back by probing 1, 2, ... until a probe fails. A filter can only err
 upwards, and errs by a level with the probability of one false positive.
 
-The filter is a fixed number of bits, whatever the corpus: 64-bit words, four
-bits of one word for an entry, in 256 segments by the first byte of the n-gram's
-hash. Each segment is built where its n-grams are aggregated; only finished
-segments come to the driver, which broadcasts them.
+The filter grows with the corpus: 64-bit words, four bits of one word for an
+entry, in segments by the first bits of the n-gram's hash. Each segment is built
+where its n-grams are aggregated, with ``ENTRY_BITS`` for every entry counted, so
+false positives stay at the same rate. A filter of up to ``broadcast_bits`` goes to
+all tasks by way of the driver. Beyond that it stays in its segments: the n-grams
+of every piece of text are sent to them, and the levels found are sent back.
 
 The unigram base score needs exact counts of all words, which no broadcast may
 hold. The most frequent words, a fixed number of them, are sent to the tasks;
@@ -19,11 +21,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,10 @@ from quern.llm import tokens
 
 #: The end of a text, and what stands before its first word: no word is empty.
 END = b""
-SEGMENTS = 256
+#: Segments of the filter, at least; more of them beyond so many tokens in each.
+SEGMENTS, SEGMENT_TOKENS = 256, 1 << 22
+#: Bits of the filter for an entry; about one n-gram in a hundred that was never added is found.
+ENTRY_BITS = 12
 _ODD, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,35 +52,50 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level <= 1, level, np.exp2(level - 0.5)).astype(np.float64)
 
 
-def place(h: np.ndarray, level: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit mask of n-grams at a level; ``words`` a segment, a power of two."""
+def place(h: np.ndarray, level: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit mask of n-grams at a level, in segments of ``words``."""
     x = tokens.mix(h + np.uint64(level * int(_ODD) % 2**64))
-    at = (h >> np.uint64(56)) * np.uint64(words) + (x & np.uint64(words - 1))
+    at = (x & np.uint64(0xFFFFFFFF)) * np.asarray(words, dtype=np.uint64) >> np.uint64(32)
     mask = np.zeros(len(h), dtype=np.uint64)
     for k in range(4):
         mask |= np.uint64(1) << ((x >> np.uint64(36 + 6 * k)) & np.uint64(63))
     return at.astype(np.int64), mask
 
 
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segments, a power of two, by the first bits of the hash."""
+    return (h >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+
+
+def probe(h: np.ndarray, bits: np.ndarray, words: np.ndarray, starts: np.ndarray, highest: int) -> np.ndarray:
+    """Levels of n-grams, by repeated probes up to the highest level stored."""
+    level = np.zeros(len(h), dtype=np.int8)
+    rest = np.arange(len(h))
+    for k in range(1, highest + 1):
+        at, mask = place(h[rest], k, words[rest])
+        rest = rest[(bits[starts[rest] + at] & mask) == mask]
+        if not len(rest):
+            break
+        level[rest] = k
+    return level
+
+
 class Filter:
-    """The finished filter with the corpus totals."""
+    """The finished filter with the corpus totals; ``bits`` is None where it stays in the table ``stored``."""
 
-    def __init__(self, bits: np.ndarray, tokens_seen: int, distinct: int, head: dict[bytes, int], pair_weight: float) -> None:
-        self.bits, self.words = bits, len(bits) // SEGMENTS
+    def __init__(self, bits: np.ndarray | None, words: np.ndarray, highest: int, stored: DataFrame, tokens_seen: int, distinct: int, head: dict[bytes, int], pair_weight: float) -> None:
+        self.bits, self.words, self.highest, self.stored = bits, words, highest, stored
+        self.starts = np.cumsum(words) - words
         self.total, self.distinct, self.head, self.pair_weight = tokens_seen, distinct, head, pair_weight
         self.mass = tokens_seen + 0.5 * (distinct + 1)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"stored": None}
+
     def counts(self, h: np.ndarray) -> np.ndarray:
-        """The counts that the filter holds for n-grams, by repeated probes."""
-        level = np.zeros(len(h), dtype=np.int64)
-        rest = np.arange(len(h))
-        k = 0
-        while len(rest):
-            k += 1
-            at, mask = place(h[rest], k, self.words)
-            rest = rest[(self.bits[at] & mask) == mask]
-            level[rest] = k
-        return level_count(level)
+        """The counts that the filter holds for n-grams."""
+        s = segment_of(h, len(self.words))
+        return level_count(probe(h, self.bits, self.words[s], self.starts[s], self.highest))
 
 
 def _sequence(values: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -110,14 +131,14 @@ def _count_words(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iter
     yield flush()
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _count_pairs(batches: Iterator[pa.RecordBatch], segments: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         for a in range(0, len(h), 500_000):
             own = h[a : a + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array((own >> np.uint64(56)).astype(np.int32)), pa.array(own.astype(np.int64)), pa.array(c[a : a + 500_000].astype(np.int64))], names=["segment", "h", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(segment_of(own, segments).astype(np.int32)), pa.array(own.astype(np.int64)), pa.array(c[a : a + 500_000].astype(np.int64))], names=["segment", "h", "c"])
         held.clear()
 
     for batch in batches:
@@ -129,27 +150,33 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> It
         yield from flush()
 
 
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hash_words(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = np.array([xxhash.xxh64_intdigest(w) for w in batch.column("token").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(56)).astype(np.int32)), pa.array(h.astype(np.int64)), batch.column("c")], names=["segment", "h", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(segment_of(h, segments).astype(np.int32)), pa.array(h.astype(np.int64)), batch.column("c")], names=["segment", "h", "c"])
+
 
+STORED = "segment int, words long, highest int, bits binary"
 
-def _build(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Segments of the filter from whole segments' n-grams."""
-    made: dict[int, np.ndarray] = {}
+
+def _build(batches: Iterator[pa.RecordBatch], segments: int, words: int | None) -> Iterator[pa.RecordBatch]:
+    """Segments of the filter from whole segments' n-grams, each of ``words`` or as its entries need."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
         h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        q = levels(batch.column("c").to_numpy(zero_copy_only=False))
-        for s in np.unique(h >> np.uint64(56)).tolist():
-            own = made.setdefault(s, np.zeros(words, dtype=np.uint64))
-            mine = (h >> np.uint64(56)) == s
-            hs, qs = h[mine], q[mine]
-            for k in range(1, int(qs.max()) + 1):
-                at, mask = place(hs[qs >= k], k, words)
-                np.bitwise_or.at(own, at - s * words, mask)
-    for s, own in made.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["segment", "bits"])
+        q = levels(batch.column("c").to_numpy(zero_copy_only=False)).astype(np.int8)
+        of = segment_of(h, segments)
+        for s in np.unique(of).tolist():
+            held.setdefault(s, []).append((h[of == s], q[of == s]))
+    for s in list(held):
+        h, q = (np.concatenate(x) for x in zip(*held.pop(s), strict=True))
+        size = words or -(-int(q.sum(dtype=np.int64)) * ENTRY_BITS // 64)
+        own = np.zeros(size, dtype=np.uint64)
+        highest = int(q.max())
+        for k in range(1, highest + 1):
+            at, mask = place(h[q >= k], k, size)
+            np.bitwise_or.at(own, at, mask)
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([size], pa.int64()), pa.array([highest], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["segment", "words", "highest", "bits"])
 
 
 def is_held_out(id_col: Column) -> Column:
@@ -157,11 +184,11 @@ def is_held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
-def train(texts: DataFrame, text_col: str = "text", filter_bits: int = 1 << 29, head_words: int = 1 << 18, pair_weight: float = 0.7) -> tuple[Filter, DataFrame]:
+def train(texts: DataFrame, text_col: str = "text", filter_bits: int | None = None, head_words: int = 1 << 18, pair_weight: float = 0.7, broadcast_bits: int = 1 << 29) -> tuple[Filter, DataFrame]:
     """The filter over all words and word pairs of ``texts``, and the table of exact word counts ``token, c``.
 
-    ``filter_bits`` is the size of what is broadcast; more n-grams make more false
-    positives, never a larger filter.
+    The filter has ``ENTRY_BITS`` for every entry counted, unless ``filter_bits``
+    sets its size. One of more than ``broadcast_bits`` stays in its segments.
     """
     spark = texts.sparkSession
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
@@ -170,51 +197,178 @@ def train(texts: DataFrame, text_col: str = "text", filter_bits: int = 1 << 29,
     frequent = words.orderBy(F.desc("c"), "token").limit(head_words).toArrow()  # head_words rows
     head = dict(zip(frequent.column("token").to_pylist(), frequent.column("c").to_pylist(), strict=True))
     del frequent
-    ngrams = rows.mapInArrow(_count_pairs, "segment int, h long, c long").unionByName(words.mapInArrow(_hash_words, "segment int, h long, c long"))
-    size = filter_bits // 64 // SEGMENTS
-    counted = ngrams.repartition("segment").groupBy("segment", "h").agg(F.sum("c").alias("c")).select("h", "c")
-    segments = scratch.table(counted.mapInArrow(lambda b: _build(b, size), "segment int, bits binary"), "segments")
-    bits = np.zeros(size * SEGMENTS, dtype=np.uint64)
-    for r in segments.toLocalIterator():  # filter_bits in all
-        bits[r.segment * size : (r.segment + 1) * size] |= np.frombuffer(r.bits, dtype=np.uint64)
-    return Filter(bits, total, distinct, head, pair_weight), words
+    segments = max(SEGMENTS, 1 << (total // SEGMENT_TOKENS).bit_length())
+    hashed = "segment int, h long, c long"
+    ngrams = rows.mapInArrow(lambda b: _count_pairs(b, segments), hashed).unionByName(words.mapInArrow(lambda b: _hash_words(b, segments), hashed))
+    ngrams = ngrams.repartition("segment") if segments == SEGMENTS else ngrams.repartition(segments, "segment")
+    counted = ngrams.groupBy("segment", "h").agg(F.sum("c").alias("c")).select("h", "c")
+    fixed = filter_bits and max(1, filter_bits // 64 // segments)
+    stored = scratch.table(counted.mapInArrow(lambda b: _build(b, segments, fixed), STORED), "segments")
+    size, highest = stored.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("highest"), F.lit(0))).first()
+    sizes, bits = np.ones(segments, dtype=np.int64), None
+    if size * 64 <= broadcast_bits:
+        for r in stored.select("segment", "words").collect():  # one row a segment, of a filter that is broadcast
+            sizes[r.segment] = r.words
+        starts = np.cumsum(sizes) - sizes
+        bits = np.zeros(sizes.sum(), dtype=np.uint64)
+        for r in stored.select("segment", "bits").toLocalIterator():  # broadcast_bits in all
+            bits[starts[r.segment] : starts[r.segment] + sizes[r.segment]] = np.frombuffer(r.bits, dtype=np.uint64)
+    return Filter(bits, sizes, highest, stored, total, distinct, head, pair_weight), words
 
 
 SCORES = "row long, doc_id long, n_tokens long, known long, base double, score double, token binary, tf long"
 
 
+def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, the words, and the hashes; for each token the number of its word and the hash of its pair."""
+    seq, counts = _sequence(tokens.texts(part))
+    kinds = {w: k for k, w in enumerate(dict.fromkeys(seq))}
+    ids = np.fromiter(map(kinds.__getitem__, seq), dtype=np.int64, count=len(seq))
+    h = np.array([xxhash.xxh64_intdigest(w) for w in kinds], dtype=np.uint64)
+    return counts, kinds, h, ids, _pairs(h[ids])
+
+
+def _score_piece(part: pa.RecordBatch, model: Filter, found: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """For each text its score and the base score of its frequent words; then its other words, counted.
+
+    ``found`` has the counts of the piece's n-grams, where they were looked up before.
+    """
+    names, found = [x.split()[0] for x in SCORES.split(", ")], found or model.counts
+    counts, kinds, h, ids, pairs = _coded(part)
+    starts = np.cumsum(counts) - counts
+    exact = np.array([model.head.get(w, -1) for w in kinds], dtype=np.float64)
+    held = found(h)
+
+    alone = (held + 0.5) / model.mass
+    before = np.concatenate([[kinds[END]], ids[:-1]])
+    context = held[before]
+    share = np.minimum(found(pairs), context) / np.maximum(context, 1)
+    p = np.where(context > 0, model.pair_weight * share + (1 - model.pair_weight) * alone[ids], alone[ids])
+    score = np.add.reduceat(np.log10(p), starts)
+
+    base = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / model.mass), 0.0)
+    own = np.add.reduceat(base[ids], starts)
+    known = np.add.reduceat((exact >= 0)[ids].astype(np.int64), starts)
+    row, doc = part.column("row"), part.column("doc_id")
+    n = len(counts)
+    yield pa.RecordBatch.from_arrays([row, doc, pa.array(counts), pa.array(known), pa.array(own), pa.array(score), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
+
+    rare = np.flatnonzero(exact[ids] < 0)
+    pair, tf = np.unique(np.repeat(np.arange(n), counts)[rare] * len(kinds) + ids[rare], return_counts=True)
+    m = len(pair)
+    spelt = pa.array(list(kinds), pa.binary()).take(pa.array(pair % len(kinds)))
+    yield pa.RecordBatch.from_arrays([row.take(pa.array(pair // len(kinds))), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, spelt, pa.array(tf.astype(np.int64))], names=names)
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterator[pa.RecordBatch]:
-    """For each text its score and the base score of its frequent words; then its other words, counted."""
-    names = [x.split()[0] for x in SCORES.split(", ")]
     for batch in batches:
         for part in tokens.pieces(batch, max_bytes=4 << 20):
-            seq, counts = _sequence(tokens.texts(part))
-            starts = np.cumsum(counts) - counts
-            kinds = {w: k for k, w in enumerate(dict.fromkeys(seq))}
-            ids = np.fromiter(map(kinds.__getitem__, seq), dtype=np.int64, count=len(seq))
-            h = np.array([xxhash.xxh64_intdigest(w) for w in kinds], dtype=np.uint64)
-            exact = np.array([model.head.get(w, -1) for w in kinds], dtype=np.float64)
-            held = model.counts(h)
-
-            alone = (held + 0.5) / model.mass
-            before = np.concatenate([[kinds[END]], ids[:-1]])
-            context = held[before]
-            share = np.minimum(model.counts(_pairs(h[ids])), context) / np.maximum(context, 1)
-            p = np.where(context > 0, model.pair_weight * share + (1 - model.pair_weight) * alone[ids], alone[ids])
-            score = np.add.reduceat(np.log10(p), starts)
-
-            base = np.where(exact >= 0, np.log10((np.maximum(exact, 0) + 0.5) / model.mass), 0.0)
-            own = np.add.reduceat(base[ids], starts)
-            known = np.add.reduceat((exact >= 0)[ids].astype(np.int64), starts)
-            row, doc = part.column("row"), part.column("doc_id")
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays([row, doc, pa.array(counts), pa.array(known), pa.array(own), pa.array(score), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names=names)
-
-            rare = np.flatnonzero(exact[ids] < 0)
-            pair, tf = np.unique(np.repeat(np.arange(n), counts)[rare] * len(kinds) + ids[rare], return_counts=True)
-            m = len(pair)
-            spelt = pa.array(list(kinds), pa.binary()).take(pa.array(pair % len(kinds)))
-            yield pa.RecordBatch.from_arrays([row.take(pa.array(pair // len(kinds))), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, spelt, pa.array(tf.astype(np.int64))], names=names)
+            yield from _score_piece(part, model)
+
+
+#: Rows of the exchange with the segments: the filter's bits (row null), n-grams of a run of rows by its first row, their levels, or a row itself.
+SENT = "piece long, row long, segment int, data binary, doc_id long, text string"
+_LAST = 2**31 - 1
+
+
+def _sent(piece: list[int], row: list[int], segment: list[int], data: list[bytes]) -> pa.RecordBatch:
+    n = len(piece)
+    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(row, pa.int64()), pa.array(segment, pa.int32()), pa.array(data, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names=[x.split()[0] for x in SENT.split(", ")])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the pieces that they are in, named by their first rows."""
+    for batch in batches:
+        for part in tokens.pieces(batch, max_bytes=2 << 20):
+            piece = pa.array(np.full(part.num_rows, part.column("row")[0].as_py(), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([piece, part.column("row"), part.column("doc_id"), part.column("text")], names=["piece", "row", "doc_id", "text"])
+
+
+def _probes(part: pa.RecordBatch) -> np.ndarray:
+    _, _, h, _, pairs = _coded(part)
+    return np.unique(np.concatenate([h, pairs]))
+
+
+def _ask(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each run of rows of one piece, in order, cut by segment."""
+
+    def flush() -> pa.RecordBatch:
+        part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        h = _probes(part)
+        of, at = np.unique(segment_of(h, segments), return_index=True)
+        n = len(of)
+        return _sent([part.column("piece")[0].as_py()] * n, [part.column("row")[0].as_py()] * n, of.tolist(), [x.tobytes() for x in np.split(h, at[1:])])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        piece = batch.column("piece").to_numpy()
+        at = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
+        for a, b in zip(at, at[1:], strict=False):
+            if held and a < b and held[-1].column("piece")[0].as_py() != piece[a]:
+                yield flush()
+                held.clear()
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield flush()
+
+
+def _answer(batches: Iterator[pa.RecordBatch], highest: int) -> Iterator[pa.RecordBatch]:
+    """Levels of the n-grams sent to each segment, whose bits come first; a segment without bits has none."""
+    at, bits = -1, None
+    for batch in batches:
+        piece, row, segment, data = (batch.column(c).to_pylist() for c in ("piece", "row", "segment", "data"))
+        out: list[bytes] = []
+        for p, s, d in zip(row, segment, data, strict=True):
+            if s != at:
+                at, bits = s, None
+            if p is None:
+                bits = np.frombuffer(d, dtype=np.uint64)
+                continue
+            h = np.frombuffer(d, dtype=np.uint64)
+            n = np.full(len(h), 0 if bits is None else len(bits), dtype=np.int64)
+            out.append((np.zeros(len(h), dtype=np.int8) if bits is None else probe(h, bits, n, np.zeros(len(h), dtype=np.int64), highest)).tobytes())
+        asked = [k for k, p in enumerate(row) if p is not None]
+        yield _sent([piece[k] for k in asked], [row[k] for k in asked], [segment[k] for k in asked], out)
+
+
+def _score_runs(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterator[pa.RecordBatch]:
+    """Scores of runs of rows, each after the levels of its n-grams in the order of the segments."""
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        h, level = _probes(part), np.frombuffer(b"".join(answers), dtype=np.int8)
+        yield from _score_piece(part, model, lambda x: level_count(level[np.searchsorted(h, x)]))
+
+    answers: list[bytes] = []
+    rows: list[pa.RecordBatch] = []
+    for batch in batches:
+        own = batch.column("segment").to_numpy() == _LAST
+        at = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+        for a, b in zip(at, at[1:], strict=False):
+            if a < b and own[a]:
+                rows.append(batch.select(["row", "doc_id", "text"]).slice(a, b - a))
+            elif a < b:
+                if rows:
+                    yield from flush()
+                    rows.clear()
+                    answers.clear()
+                answers += batch.column("data").slice(a, b - a).to_pylist()
+    if rows:
+        yield from flush()
+
+
+def _score_by_segments(rows: DataFrame, model: Filter, sent: Broadcast[Filter]) -> DataFrame:
+    """What :func:`_score` makes, with a filter that no task can hold."""
+    segments, highest = len(model.words), model.highest
+    cut = scratch.table(rows.mapInArrow(_cut, "piece long, row long, doc_id long, text string"), "pieces")
+    null = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"))]
+    bits = model.stored.select(F.lit(None).cast("long").alias("piece"), F.lit(None).cast("long").alias("row"), "segment", F.col("bits").alias("data"), *null)
+    asked = cut.mapInArrow(lambda b: _ask(b, segments), SENT).unionByName(bits).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("row"))
+    found = asked.mapInArrow(lambda b: _answer(b, highest), SENT)
+    own = cut.select("piece", "row", F.lit(_LAST).alias("segment"), F.lit(None).cast("binary").alias("data"), "doc_id", "text")
+    together = found.unionByName(own).repartition("piece").sortWithinPartitions("piece", "row", "segment")
+    return together.mapInArrow(lambda b: _score_runs(b, sent.value), SCORES)
 
 
 def score(docs: DataFrame, model: Filter, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +384,8 @@ def score(docs: DataFrame, model: Filter, words: DataFrame, id_col: str = "doc_i
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = scratch.table(rows.mapInArrow(lambda b: _score(b, sent.value), SCORES), "scores")
+    scored = _score_by_segments(rows, model, sent) if model.bits is None else rows.mapInArrow(lambda b: _score(b, sent.value), SCORES)
+    made = scratch.table(scored, "scores")
     whole = made.filter("token IS NULL").select("row", "doc_id", "n_tokens", "known", "base", "score")
     rare = made.filter("token IS NOT NULL").select("row", "token", "tf").join(words, "token", "left")
     chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(model.mass)))

@@ -89,3 +89,31 @@ def test_oddities(spark, odd_docs, no_docs):
     assert L.score(no_docs, empty, table).count() == 0
     rows = L.score(odd_docs, empty, table).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in rows)
+
+
+def test_filter_grows_with_the_entries(spark, docs_small):
+    """Sized by what was counted, with one rate of false positives; explicit sizes stay possible."""
+    model, _ = L.train(docs_small)
+    large = docs_small.selectExpr("doc_id", "concat_ws(' ', transform(split(text, ' '), w -> concat(w, doc_id % 50))) as text")
+    more, _ = L.train(large.unionByName(docs_small.select("doc_id", "text")))
+    assert len(more.bits) > 1.2 * len(model.bits)
+    for m in (model, more):
+        assert 0.001 < L.false_positive_rate(m) < 0.02
+
+
+def test_a_full_filter_is_probed_to_its_highest_level_only(spark, odd_docs):
+    model, table = L.train(odd_docs, filter_bits=1)  # one word a segment
+    model.bits[:] = np.uint64(2**64 - 1)
+    assert (model.counts(np.arange(5, dtype=np.uint64)) == L.level_count(np.array([model.highest]))[0]).all()
+    assert all(math.isfinite(r.score) for r in L.score(odd_docs, model, table).collect())
+
+
+@pytest.mark.parametrize("name", ["docs_small", "odd_docs", "no_docs"])
+def test_segments_score_like_the_broadcast_filter(spark, request, name):
+    docs = request.getfixturevalue(name)
+    seen = docs.filter(~L.is_held_out(docs.doc_id))
+    one, two = (sorted(map(tuple, L.score(docs, *L.train(seen, **k)).collect()), key=str) for k in ({}, {"broadcast_bits": 0}))
+    assert L.train(seen, broadcast_bits=-1)[0].bits is None
+    assert len(one) == len(two) == docs.count()
+    for a, b in zip(one, two, strict=True):
+        assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-9)
