@@ -1,5 +1,6 @@
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,47 @@ def test_a_given_weight_is_met(spark):
     docs = spark.range(9000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as source", "'x' as text")
     rows = mix.interleave(docs, weights={"a": 0.25, "b": 0.75}, block_rows=10).orderBy("mix_position").limit(4000).collect()
     assert abs(sum(r.source == "a" for r in rows) - 1000) <= 10
+
+
+def deviation(blocks, weights, order):
+    """The furthest that any source is from its exact share, at any slot."""
+    w = [Fraction(x) for x in weights]
+    done, fluid, worst = [0] * len(w), [Fraction(0)] * len(w), Fraction(0)
+    for k in order:
+        left = Fraction(1)
+        while left > 0 and (active := [i for i in range(len(w)) if fluid[i] < blocks[i]]):
+            total = sum(w[i] for i in active)
+            step = min(left / total, min((blocks[i] - fluid[i]) / w[i] for i in active))
+            for i in active:
+                fluid[i] += w[i] * step
+            left -= step * total
+        done[k] += 1
+        worst = max(worst, max(abs(a - b) for a, b in zip(done, fluid, strict=True)))
+    return worst
+
+
+def ordered(blocks, weights):
+    source, nth, slot = mix.schedule(np.array(blocks), np.array(weights))
+    assert sorted(slot.tolist()) == list(range(sum(blocks)))
+    order = source[np.argsort(slot)].tolist()
+    for k in range(len(blocks)):
+        assert nth[np.argsort(slot)][np.array(order) == k].tolist() == list(range(blocks[k]))
+    return order
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.floats(0.001, 100)), min_size=1, max_size=8))
+def test_schedule_follows_the_unrounded_weights(sources):
+    blocks, weights = [n for n, _ in sources], [w for _, w in sources]
+    assert deviation(blocks, weights, ordered(blocks, weights)) < 1 + 1e-5
+
+
+def test_no_drift_over_a_long_schedule():
+    """A third of the rows and 19 equal others: weights that parts of 1000 do not meet, and none that is small gets more."""
+    blocks = [20_000] + [2_105] * 19
+    order = np.array(ordered(blocks, [n**0.5 for n in blocks]))
+    share = np.array([n**0.5 for n in blocks]) / sum(n**0.5 for n in blocks)
+    done = np.cumsum(order[:40_000, None] == np.arange(20), axis=0)
+    assert (np.abs(done - share * np.arange(1, 40_001)[:, None]) < 1 + 1e-5).all()
+    order = np.array(ordered([5_000, 5], [0.9998, 0.0002]))
+    assert abs((order[:4_000] == 1).sum() - 0.8) < 1
