@@ -149,7 +149,7 @@ def interleave(
     weights: dict[str | None, float] | None = None,
     block_rows: int = 64,
     resolution: int | None = None,
-    max_sources: int | None = 500,
+    max_sources: int | None = None,
 ) -> DataFrame:
     """All rows and columns, with ``mix_slot`` and ``mix_position`` after them.
 

@@ -129,3 +129,11 @@ def test_no_drift_over_a_long_schedule():
     assert (np.abs(done - share * np.arange(1, 40_001)[:, None]) < 1 + 1e-5).all()
     order = np.array(ordered([5_000, 5], [0.9998, 0.0002]))
     assert abs((order[:4_000] == 1).sum() - 0.8) < 1
+
+
+def test_any_number_of_sources(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('s', id % 700) as source", "'x' as text")
+    rows = mix.interleave(docs, block_rows=2).collect()
+    assert len(rows) == 4000 == len({r.mix_position for r in rows}) and len({r.source for r in rows}) == 700
+    assert {r.mix_slot for r in rows} == set(range(700 * 3))
+    assert len({(r.mix_slot, r.source) for r in rows}) == 700 * 3
