@@ -175,11 +175,12 @@ def merge_profiles(ids: list, counts, lengths: list[int], thresholds: Callable[[
     return [members[i] for i in found]
 
 
-def cluster(seqs: DataFrame, threshold: float = 0.9, secondary: float | None = None, tri: float | None = None, min_len: int = 5000, merge_len: int | None = None, most: int = 20_000) -> DataFrame:
+def cluster(seqs: DataFrame, threshold: float = 0.9, secondary: float | None = None, tri: float | None = None, min_len: int = 5000, merge_len: int | None = None, most: int = 20_000, thresholds: Callable[[int], tuple[float, float, float]] | None = None) -> DataFrame:
     """``cluster_id, id``: sequences of at least ``min_len`` bases clustered by composition.
 
     Counting is distributed; the merge loop, sequential by nature, runs in one task
     over one row of 256 counts a sequence, of which there may be ``most``.
+    ``thresholds``, as in :func:`merge_profiles`, goes before the three fixed ones.
     """
     kind = dict(seqs.dtypes)["id"]
     long_enough = seqs.filter(F.char_length("seq") >= min_len)
@@ -195,7 +196,7 @@ def cluster(seqs: DataFrame, threshold: float = 0.9, secondary: float | None = N
         import pandas as pd
 
         rows = rows.sort_values("id")
-        found = merge_profiles(rows["id"].tolist(), rows[TETRAMERS].to_numpy(), rows["seq_len"].tolist(), lambda _: limits, shorter)
+        found = merge_profiles(rows["id"].tolist(), rows[TETRAMERS].to_numpy(), rows["seq_len"].tolist(), thresholds or (lambda _: limits), shorter)
         return pd.DataFrame([(k, x) for k, c in enumerate(found) for x in c], columns=["cluster_id", "id"])
 
     return rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: run(rows), f"cluster_id int, id {kind}")

@@ -219,6 +219,15 @@ def test_clustering_against_brute_force():
     assert sorted(sorted(m) for m in got) == brute_pnn(range(12), counts, None, 0.8, 0.5)
 
 
+def test_clusters_take_thresholds_by_length(spark):
+    rng = random.Random(4)
+    one, two = ("".join(rng.choices("ACGT", k=k)) for k in (1500, 2500))
+    seqs = spark.createDataFrame([(1, one), (2, one), (3, two), (4, two)], "id long, seq string")
+    strict = lambda n: (0.99,) * 3 if n > 2000 else (2.0,) * 3
+    found = compose.cluster(seqs, threshold=0.99, min_len=1000, thresholds=strict).collect()
+    assert sorted(r.id for r in found) == [3, 4]
+
+
 def test_composition_by_hand(spark):
     rng = random.Random(9)
     long = "".join(rng.choices("ACGT", k=2000))
