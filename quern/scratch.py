@@ -13,20 +13,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Narrow rows that one task writes in a second or so.
 ROWS_A_TASK = 250_000
+#: The largest table that is sent to every task.
+BROADCAST_BYTES = 16 << 20
 
 
 def root(spark: SparkSession) -> str:
     """This application's scratch folder under ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is made
-    and registered with the session once.
+    Where the setting is absent on a local master (tests, a laptop) a temporary
+    folder is made and registered with the session once. On a cluster it is an
+    error: no other machine would see what is written there.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quern-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quern-{sc.applicationId}"
@@ -50,9 +56,20 @@ def table(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(written: DataFrame, most_rows: int) -> DataFrame:
-    """A written table, marked for broadcast if it has at most ``most_rows`` rows; joined by a shuffle beyond."""
-    return F.broadcast(written) if written.count() <= most_rows else written
+def row_bytes(schema: StructType) -> int | None:
+    """Bytes that a row takes in memory, about; None where a column's values have no bound."""
+    fixed = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp"}
+    return 16 + 8 * len(schema) if all(f.dataType.typeName() in fixed for f in schema) else None
+
+
+def sized(written: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``most_rows`` rows and ``most_bytes`` bytes; joined by a shuffle beyond.
+
+    A table with strings, arrays or the like is never sent.
+    """
+    if (width := row_bytes(written.schema)) is None:
+        return written
+    return F.broadcast(written) if written.count() <= min(most_rows, most_bytes // width) else written
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
