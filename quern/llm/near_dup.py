@@ -18,9 +18,11 @@ group is expanded into its pairs:
 3. Nodes that are still in another component than the leader of one of their
    groups are paired with that.
 4. Nodes of one group that are still in different components, none of them the
-   leader, are paired where they can be similar at all: sets of that similarity
-   share one of their rarest shingles, counted among these nodes. Documents that
-   have a passage in common, and too little else, share none and are not paired.
+   leader, are written as their differences from the leader. They differ from it in
+   more than similar sets may, so similar ones share much of their differences:
+   those that share one of the rarest are compared, and confirmed where they meet.
+   What all have in common, be it a passage or the rest of an original, is in no
+   difference, and brings nothing together.
 
 Pairs within a component need no look, and pairs whose sizes or whose values,
 in four bits each, rule out the similarity are dropped before their sets are
@@ -166,24 +168,47 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, p
     return links
 
 
-def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """``ha, hb``: sets of different components that share one of their rarest shingles.
+def _across(groups: DataFrame, sets: DataFrame, percent: int, block: int, broadcast_rows: int) -> DataFrame:
+    """``ha, hb``: the similar sets of different components ``c`` in groups ``hub, h, c``, confirmed.
 
-    Of two similar sets the smaller shares more than 2p / (100 + p) of its shingles
-    and the larger more than p / 100 of its own, so in any common order of the
-    shingles their first ones, as many as they may lack and one, have one in common.
-    The order is by the number of sets that have a shingle.
+    A member is written as its difference ``d`` from the hub, for the difference of
+    two members is that of their ``d``. Members that are no links of the hub lack or
+    have more than two similar sets may differ in, so similar ones share part of
+    their ``d``: of two that may be ``t`` shingles apart, one of the first ``t / 2 + 1``
+    of the smaller ``d`` and of the first ``t + 1`` of the larger, rarest in the group
+    first. What is common to the group is in no ``d``, and hardly ever comes first.
+
+    Two members that meet in a shingle are compared, whole, inside the join. Where
+    many meet, their list is dealt to blocks of ``block`` members.
     """
-    rows = sets.select(F.col("h1").alias("h"), F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    known = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("h").orderBy("df", "s"))
-    ranked = rows.join(known, "s").withColumn("place", place)
-    ceil = lambda a, b: F.floor((a * F.col("n") + (b - 1)) / b)
-    first = ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - ceil(percent, 100) + 1))
-    first = scratch.table(first.join(labels, "h").select("s", "h", "c", "n", (F.col("place") <= F.col("n") - ceil(2 * percent, 100 + percent) + 1).alias("index")), "rare")
-    x = first.select("s", F.col("h").alias("ha"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    y = first.filter("index").select("s", F.col("h").alias("hb"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    return x.join(y, "s").filter((F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")) & (F.col("nb") * 100 >= F.col("na") * percent)).select("ha", "hb")
+    own = groups.join(sets.select(F.col("h1").alias("h"), F.col("shingles").alias("sa")), "h")
+    own = own.join(sets.select(F.col("h1").alias("hub"), F.col("shingles").alias("sl")), "hub")
+    unlike = F.concat(F.array_except("sa", "sl"), F.array_except("sl", "sa"))
+    rows = scratch.table(own.select("hub", "h", "c", F.size("sa").alias("n"), F.size(unlike).alias("m"), unlike.alias("d")), "apart")
+
+    items = rows.select("hub", "h", "c", "n", "m", F.explode("d").alias("s"))
+    known = items.groupBy(F.col("hub").alias("k"), F.col("s").alias("ks")).agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    place = F.row_number().over(Window.partitionBy("hub", "h").orderBy("df", "s"))
+    t = F.floor(F.col("n") * (100 - percent) / percent)
+    ranked = items.join(known, (F.col("hub") == F.col("k")) & (F.col("s") == F.col("ks"))).withColumn("place", place)
+    first = ranked.filter((F.col("place") <= t + 1) & (F.col("lo") < F.col("hi")))
+    first = scratch.table(first.select("hub", "s", "h", "c", "n", "m", "place", (F.col("place") <= F.floor(t / 2) + 1).alias("index")), "first")
+    lists = first.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("index").alias("any"))
+    lists = lists.filter("lo < hi AND any").select(F.col("hub").alias("k"), F.col("s").alias("ks"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    met = first.join(scratch.sized(scratch.table(lists, "lists"), broadcast_rows), (F.col("hub") == F.col("k")) & (F.col("s") == F.col("ks"))).drop("k", "ks")
+    met = met.join(rows.select(F.col("hub").alias("k"), F.col("h").alias("kh"), "d"), (F.col("hub") == F.col("k")) & (F.col("h") == F.col("kh")))
+    met = scratch.table(met.select("hub", "s", "h", "c", "n", "m", "d", "place", "index", "blocks"), "meet")
+
+    of = lambda x: [F.col(k).alias(f"{k}{x}") for k in ("h", "c", "n", "m", "d", "place")]
+    x = met.select("hub", "s", F.pmod(F.xxhash64("h"), "blocks").alias("block"), *of("a"))
+    y = met.filter("index").select("hub", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), *of("b"))
+    # How many shingles of d two similar sets share at least.
+    least = (F.col("ma") + F.col("mb")) / 2 - (F.col("na") + F.col("nb")) * (100 - percent) / (2 * (100 + percent)) - 1e-6
+    first_of = (F.col("placea") <= F.col("ma") - least + 1) & (F.col("placeb") <= F.col("mb") - least + 1)
+    once = (F.col("ca") != F.col("cb")) & ((F.col("mb") < F.col("ma")) | (F.col("mb") == F.col("ma")) & (F.col("hb") < F.col("ha")))
+    shared = (F.col("na") + F.col("nb") - F.col("ma") - F.col("mb")) / 2 + F.size(F.array_intersect("da", "db"))
+    similar = shared * 100 >= percent * (F.col("na") + F.col("nb") - shared)
+    return scratch.table(x.join(y, ["hub", "s", "block"]).filter(once & first_of & similar).select("ha", "hb").distinct(), "across")
 
 
 def near_duplicates(
@@ -193,6 +218,7 @@ def near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     broadcast_rows: int = 1_000_000,
+    block: int = 1024,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -266,16 +292,15 @@ def near_duplicates(
         links = scratch.table(links.unionByName(confirm(astray)), "links")
         found, label = labels(links)
 
-    apart = scratch.table(members.join(label, "h").select("key", "h", "c"), "apart")
+    apart = scratch.table(members.join(label, "h").join(leader, "top").select("key", F.col("first").alias("hub"), "h", "c"), "members")
     mixed = scratch.table(apart.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    rest = scratch.table(apart.join(sized(mixed), "key", "left_semi").select("h", "c").distinct(), "rest")
-    across = ordered(_rare_pairs(_sets_of(rows, classes, rest.select("h"), shingle, broadcast_rows), rest, percent), "ha", "hb")
-    across = close(across.join(sized(one), ["ha", "hb"], "left_anti").join(sized(astray), ["ha", "hb"], "left_anti"))
-    across = scratch.table(across, "across")
-    if not across.isEmpty():
-        more = confirm(across)
-        if not more.isEmpty():
-            found, _ = labels(links.unionByName(more))
+    rest = scratch.table(apart.join(sized(mixed), "key", "left_semi").select("hub", "h", "c").distinct(), "rest")
+    if not rest.isEmpty():
+        needed = rest.select("h").unionByName(rest.select(F.col("hub").alias("h"))).distinct()
+        across = _across(rest, _sets_of(rows, classes, needed, shingle, broadcast_rows), percent, block, broadcast_rows)
+        if not across.isEmpty():
+            stand = lambda x, to: sized(classes.select(F.col("h1").alias(x), F.col("rep").alias(to)))
+            found, _ = labels(links.unionByName(across.join(stand("ha", "a"), "ha").join(stand("hb", "b"), "hb").select("a", "b")))
 
     final = classes.join(sized(found), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     part = known.select("doc_id", "n", "h1", "h2").join(sized(scratch.table(final, "final")), ["h1", "h2"]).select("doc_id", "n", "component_id")

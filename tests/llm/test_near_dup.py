@@ -137,3 +137,22 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 400)] + [(1, k) for k in range(2, 60)] + [(70, 70)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(100, 401), 100), **dict.fromkeys(range(1, 60), 1), 70: 70}
+
+
+@pytest.mark.parametrize(("size", "block"), [(2, 4), (5, 1024)])
+def test_a_crowd_about_the_threshold(spark, size, block):
+    """Copies of one text, about half of them just too far from it, with few kinds of changes, some in common."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 240):
+        words = base.copy()
+        if i % 3 == 0:
+            words[: 6 + i % 5] = ["x"] * (6 + i % 5)
+        for _ in range(rng.randrange(2, 14) * 2 // size):
+            words[rng.randrange(len(words))] = rng.choice(["the", "of", "and"])
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(frame(spark, rows), shingle=size, block=block, broadcast_rows=0 if block == 4 else 1_000_000).collect()}
+    want = brute(rows, size)
+    assert got == want
+    assert len(set(want.values())) > 20
