@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,45 +90,86 @@ def gc_fraction(seq: Column) -> Column:
     return F.when(known > 0, F.char_length(F.regexp_replace(seq, "[^GC]", "")) / known)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dinucleotide_entropy(seq: Column) -> Column:
     """Bits per dinucleotide of a read: counts of pairs without N, out of its length less the pairs with N.
 
-    The sum is divided by the read's length, so N lowers it.
+    The sum is divided by the read's length, so N lowers it. Two unlike bases
+    cannot overlap themselves, so their pairs are what replacing them removes; a
+    base's pairs with itself are its occurrences that no other character precedes.
     """
-    n = F.char_length(seq)
-    counts = [F.size(F.split(seq, f"{a}(?={b})", -1)) - 1 for a in "ACGT" for b in "ACGT"]
-    clean = sum(counts[1:], counts[0])
-    left = (n - (F.greatest(n - 1, F.lit(0)) - clean)).cast("double")
-    bits = [F.when(c > 0, c * F.log2(left / c)).otherwise(0.0) for c in counts]
-    return F.when(n > 0, sum(bits[1:], bits[0]) / n)
+    lost = lambda s, what: (F.char_length(s) - F.char_length(F.replace(s, F.lit(what), F.lit("")))).cast("long")
+    unlike = [(a, b) for b in "ACGT" for a in "ACGTN" if a != b]
+
+    def seen(s: Column) -> Column:
+        return F.array(*[lost(s, a + b) / 2 for a, b in unlike], *[lost(s, b) - F.when(F.startswith(s, F.lit(b)), 1).otherwise(0) for b in "ACGT"])
 
+    def pairs(n: Column) -> Column:
+        at = {p: F.element_at(n, k + 1) for k, p in enumerate(unlike)}
+        same = [F.element_at(n, len(unlike) + 1 + k) - sum(at[a, b] for a in "ACGTN" if a != b) for k, b in enumerate("ACGT")]
+        return F.array(*same, *[c for (a, _), c in at.items() if a != "N"])
 
-def error_cost(quality: Column) -> Column:
-    """-ln(1 - error) in whole units; a quality of nothing costs more than any threshold."""
-    error = phred_error(quality)
-    return F.when(error < 1, F.round(-F.log(1 - error) * COST_UNIT)).otherwise(1e15).cast("long")
+    def bits(counts: Column, n: Column) -> Column:
+        clean = F.aggregate(counts, F.lit(0.0), lambda t, c: t + c)
+        left = n - (F.greatest(n - 1, F.lit(0)) - clean)
+        return let(left, lambda w: F.aggregate(counts, F.lit(0.0), lambda t, c: t + F.when(c > 0, c * F.log2(w / c)).otherwise(0.0))) / n
+
+    whole = F.regexp_replace(seq, "[^ACGT]", "N")
+    found = let(let(whole, seen), pairs)
+    return F.when(F.char_length(seq) > 0, let(found, lambda c: bits(c, F.char_length(seq))))
+
+
+def error_costs(budget: int) -> np.ndarray:
+    """-ln(1 - error) of each quality code in whole units, and of each that follows another, by both their errors.
+
+    Row 0 is a code alone, row 1 + k one that follows code k. What costs more than the
+    budget, as a quality of nothing does, costs one more than it.
+    """
+    error = np.array([10.0 ** (-(c - 33) / 10.0) for c in range(256)])
+    wrong = np.vstack([error, error[:, None] * error[None, :]])
+    cost = np.full(wrong.shape, float(budget + 1))
+    some = wrong < 1
+    cost[some] = np.minimum(np.rint(-np.log(1 - wrong[some]) * COST_UNIT), budget + 1)
+    return cost.astype(np.int64)
+
+
+def prefix_within(quals: list[str | None], budget: int, color: bool) -> list[int | None]:
+    """How many codes of each string cost no more than the budget together; None for None."""
+    costs = error_costs(budget)
+    given = [q or "" for q in quals]
+    codes = np.minimum(np.frombuffer("".join(given).encode("utf-32-le"), dtype=np.uint32), 255)
+    n = np.array([len(q) for q in given], dtype=np.int64)
+    ends = np.cumsum(n)
+    starts = ends - n
+    row = np.zeros(len(codes), dtype=np.int64)
+    if color and len(codes):
+        row[1:] = codes[:-1] + 1
+        row[starts[n > 0]] = 0
+    total = np.concatenate([[0], np.cumsum(costs[row, codes])])
+    kept = np.searchsorted(total, total[starts] + budget, side="right") - 1 - starts
+    return [None if q is None else int(k) for q, k in zip(quals, np.minimum(kept, n), strict=True)]
 
 
 def trim_length(qual: Column, correct_prob: float, color: bool = False) -> Column:
     """The longest prefix that is free of error with at least ``correct_prob``; 0 disables.
 
-    In colour space a base is wrong only if its colour and the one before are.
+    In colour space a base is wrong only if its colour and the one before are. The
+    sums run over a batch of reads at once; a fold over every quality of a read as
+    SQL expressions took ten times as long.
     """
     if correct_prob <= 0:
         return F.char_length(qual)
     budget = round(-math.log(correct_prob) * COST_UNIT)
-    codes = chars(qual)
-    if color:
-        cost = lambda c, i: F.round(-F.log(1 - phred_error(c) * F.when(i > 0, phred_error(F.element_at(codes, F.greatest(i, F.lit(1)).cast("int")))).otherwise(1.0)) * COST_UNIT).cast("long")
-        costs = F.transform(codes, lambda c, i: F.coalesce(F.when(phred_error(c) * F.when(i > 0, phred_error(F.element_at(codes, F.greatest(i, F.lit(1)).cast("int")))).otherwise(1.0) < 1, cost(c, i)), F.lit(10**15)))
-    else:
-        costs = F.transform(codes, error_cost)
-    state = F.struct(F.lit(0).cast("long").alias("cost"), F.lit(0).alias("n"))
-    return F.aggregate(
-        costs,
-        state,
-        lambda acc, c: F.struct((acc["cost"] + c).alias("cost"), (acc["n"] + F.when(acc["cost"] + c <= budget, 1).otherwise(0)).alias("n")),
-    )["n"]
+
+    @F.pandas_udf("int")
+    def within(quals: pd.Series) -> pd.Series:
+        return pd.Series(prefix_within(quals.tolist(), budget, color), dtype="Int32")
+
+    return within(qual)
 
 
 def kmers(seq: Column, k: int) -> Column:

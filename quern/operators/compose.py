@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +35,27 @@ def z_scores(counts: DataFrame) -> DataFrame:
 
     Expected is front * back / centre, of the front and back trinucleotides and the
     centre dinucleotide; the variance is expected * (centre - front) * (centre -
-    back) / centre squared. Without a variance the score is nothing.
+    back) / centre squared. Without a variance the score is nothing. A sequence's
+    counts, 256 at most, are gathered once.
     """
-    wanted = counts.select("id").distinct().select("id", F.explode(F.array(*[F.lit(t) for t in TETRAMERS])).alias("kmer"))
-    part = lambda a, n, name: counts.groupBy("id", F.substring("kmer", a, n).alias(name)).agg(F.sum("n").alias(f"n_{name}"))
-    rows = wanted.join(counts, ["id", "kmer"], "left").fillna(0, ["n"])
-    rows = rows.withColumn("front", F.substring("kmer", 1, 3)).withColumn("back", F.substring("kmer", 2, 3)).withColumn("centre", F.substring("kmer", 2, 2))
-    for name, a, n in (("front", 1, 3), ("back", 2, 3), ("centre", 2, 2)):
-        rows = rows.join(part(a, n, name), ["id", name], "left")
-    f, b, d = (F.coalesce(F.col(f"n_{x}"), F.lit(0)).cast("double") for x in ("front", "back", "centre"))
-    expected = f * b / d
-    var = expected * (d - f) * (d - b) / (d * d)
-    z = F.when((d > 0) & (var > 0), (F.col("n") - expected) / F.sqrt(var)).otherwise(0.0)
-    return rows.select("id", "kmer", z.alias("z"))
+    kind = counts.schema["id"].dataType.simpleString()
+    rows = counts.groupBy("id").agg(F.collect_list(F.struct("kmer", "n")).alias("c")).select("id", "c.kmer", "c.n")
+    return rows.mapInArrow(_scored, f"id {kind}, kmer string, z double")
+
+
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Profiles of sequences that come as lists of their tetranucleotides and counts."""
+    order = pa.array(TETRAMERS)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            names, n = part.column("kmer"), part.column("n")
+            where = pc.index_in(names.flatten(), order).to_numpy(zero_copy_only=False)
+            owner = pc.list_parent_indices(names).to_numpy(zero_copy_only=False)
+            dense = np.zeros((part.num_rows, len(order)))
+            dense[owner, where] = n.flatten().to_numpy(zero_copy_only=False)
+            ids = part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), len(order))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(TETRAMERS * part.num_rows), pa.array(_z_matrix(dense).ravel())], names=["id", "kmer", "z"])
 
 
 def z_table(z: DataFrame) -> DataFrame:
@@ -58,7 +69,6 @@ def profile_pairs(z: DataFrame, block: int = 64) -> DataFrame:
     All pairs are the operator. Profiles are gathered into blocks, and each pair of
     blocks is one matrix product; a task holds two blocks, whatever their number.
     """
-    import numpy as np
 
     kind = dict(z.dtypes)["id"]
     rows = z.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kmer", "z"))), lambda x: x["z"]).alias("v"))
@@ -98,7 +108,6 @@ def chunk_sequences(seqs: DataFrame, size: int) -> DataFrame:
 
 def _z_matrix(counts):  # noqa: ANN001, ANN202
     """Z profiles of rows of 256 counts."""
-    import numpy as np
 
     t = np.asarray(counts, dtype=float).reshape(-1, 4, 4, 4, 4)
     front, back, centre = t.sum(axis=4, keepdims=True), t.sum(axis=1, keepdims=True), t.sum(axis=(1, 4), keepdims=True)
@@ -110,7 +119,6 @@ def _z_matrix(counts):  # noqa: ANN001, ANN202
 
 def _tri_z(counts):  # noqa: ANN001, ANN202
     """The same for trinucleotides out of their dinucleotides and centre bases."""
-    import numpy as np
 
     t = np.asarray(counts, dtype=float).reshape(-1, 4, 4, 4, 4).sum(axis=4)
     front, back, centre = t.sum(axis=3, keepdims=True), t.sum(axis=1, keepdims=True), t.sum(axis=(1, 3), keepdims=True)
@@ -129,7 +137,6 @@ def merge_profiles(ids: list, counts, lengths: list[int], thresholds: Callable[[
     shorter is under ``min_len``; first class goes before second. Clusters of two
     or more come out, the longest first.
     """
-    import numpy as np
 
     counts = np.array(counts, dtype=float).reshape(len(ids), 256)
     members, size = [[x] for x in ids], list(map(float, lengths))

@@ -11,15 +11,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.functions import sequence as S
 
 
 def trim(reads: DataFrame, correct_prob: float = 0.5, fixed_len: int | None = None, color: bool = False) -> DataFrame:
-    """Cut sequence and quality to the longest prefix that is likely right; adds ``trim_len``."""
-    length = S.trim_length(F.col("qual"), correct_prob, color)
+    """Cut sequence and quality to the longest prefix that is likely right; adds ``trim_len``.
+
+    With ``fixed_len`` what is longer is cut to that length, and reads that trimming
+    leaves shorter are dropped.
+    """
+    cut = reads.withColumn("trim_len", S.trim_length(F.col("qual"), correct_prob, color).cast("int"))
     if fixed_len is not None:
-        length = F.least(F.char_length("seq"), F.lit(fixed_len))
-    cut = reads.withColumn("trim_len", length.cast("int"))
+        cut = cut.filter(F.col("trim_len") >= fixed_len).withColumn("trim_len", F.lit(fixed_len))
     return cut.withColumn("seq", F.substring("seq", F.lit(1), F.col("trim_len"))).withColumn("qual", F.substring("qual", F.lit(1), F.col("trim_len")))
 
 
@@ -68,27 +72,36 @@ def _blocks(prefix: Column, length: int, errors: int) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), F.substring(prefix, cuts[k] + 1, cuts[k + 1] - cuts[k]).alias("part")) for k in range(n)])
 
 
+def _two_blocks(p: Column, q: Column, length: int, p_errors: int, q_errors: int) -> Column:
+    """Every block of one prefix with every block of the other."""
+    return F.flatten(
+        F.transform(_blocks(p, length, p_errors), lambda u: F.transform(_blocks(q, length, q_errors), lambda v: F.struct(u["block"].alias("block"), u["part"].alias("part"), v["block"].alias("block2"), v["part"].alias("part2"))))
+    )
+
+
 def duplicate_pairs(pairs: DataFrame, index_len: int = 14, index_err: int = 1, match_err: int = 3) -> DataFrame:
     """``a, b``: pairs that are duplicates by their prefixes, in either role of the mates.
 
     Pairs (``pair_id, seq1, seq2``) are duplicates if one mate's prefixes differ in
     at most ``index_err`` bases and the other's in at most ``match_err``. One of the
-    ``index_err + 1`` blocks of the first must then be equal: an equi-join on blocks.
-    Equal pairs of prefixes are one node, joined by their first pair.
+    ``index_err + 1`` blocks of the first and one of the ``match_err + 1`` blocks of the
+    other must then be equal: an equi-join on two blocks, so that only pairs alike in
+    both mates meet. Equal pairs of prefixes are one node, joined by their first pair.
     """
     cut = lambda c: F.translate(F.rpad(F.substring(c, 1, index_len), index_len, "A"), "N", "A")
-    keyed = pairs.select("pair_id", cut(F.col("seq1")).alias("p1"), cut(F.col("seq2")).alias("p2"))
+    keyed = scratch.table(pairs.select("pair_id", cut(F.col("seq1")).alias("p1"), cut(F.col("seq2")).alias("p2")), "prefixes")
     node = keyed.groupBy("p1", "p2").agg(F.min("pair_id").alias("id"))
     copies = keyed.join(node, ["p1", "p2"]).filter("pair_id <> id").select(F.col("id").alias("a"), F.col("pair_id").alias("b"))
-    node = node.withColumn("x1", S.pack_prefix(F.col("p1"), index_len)).withColumn("x2", S.pack_prefix(F.col("p2"), index_len))
+    node = scratch.table(node.withColumn("x1", S.pack_prefix(F.col("p1"), index_len)).withColumn("x2", S.pack_prefix(F.col("p2"), index_len)), "nodes")
     found = [copies]
     for x, y in (("x1", "x2"), ("x2", "x1")):
-        p = "p1" if x == "x1" else "p2"
-        rows = node.select("id", F.col(x).alias("x"), F.col(y).alias("y"), F.inline(_blocks(F.col(p), index_len, index_err)))
-        left = rows.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "block", "part")
-        right = rows.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), "block", "part")
+        p, q = (F.col(c.replace("x", "p")) for c in (x, y))
+        rows = node.select("id", F.col(x).alias("x"), F.col(y).alias("y"), F.inline(_two_blocks(p, q, index_len, index_err, match_err)))
+        keys = ["block", "part", "block2", "part2"]
+        left = rows.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), *keys)
+        right = rows.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), *keys)
         near = (S.packed_distance(F.col("xa"), F.col("xb")) <= index_err) & (S.packed_distance(F.col("ya"), F.col("yb")) <= match_err)
-        found.append(left.join(right, ["block", "part"]).filter((F.col("a") < F.col("b")) & near).select("a", "b"))
+        found.append(left.join(right, keys).filter((F.col("a") < F.col("b")) & near).select("a", "b"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -20,6 +20,18 @@ def trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.trim(A.reads(spark, sf_dir), 0.5).select("read_id", F.col("trim_len").cast("long").alias("trim_len"), F.md5("seq").alias("seq_md5"))
 
 
+def trim_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.trim(A.reads(spark, sf_dir), 0.5, fixed_len=12).select("read_id", F.col("trim_len").cast("long").alias("trim_len"), "seq", "qual")
+
+
+def trim_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.trim(A.reads(spark, sf_dir), 0.9, color=True).select("read_id", F.col("trim_len").cast("long").alias("trim_len"), F.md5("seq").alias("seq_md5"))
+
+
+def keep_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.split_pairs(R.keep_reads(A.reads(spark, sf_dir), min_len=100, entropy=1.5)).select("read_id", "pair_id", "mate", "part")
+
+
 def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.reads(spark, sf_dir).select("read_id", F.round(S.dinucleotide_entropy(F.col("seq")), 6).alias("bits"))
 
@@ -100,9 +112,21 @@ def reject_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COST = f"CASE WHEN c = '!' THEN 1000000000000000 ELSE CAST(round(-ln(1 - pow(10, -(ascii(c) - 33) / 10.0)) * {S.COST_UNIT}) AS BIGINT) END"
 _BUDGET = round(-math.log(0.5) * S.COST_UNIT)
 
+_TRIMMED = f"""p AS (SELECT read_id, unnest(string_split(qual, '')) AS c, generate_subscripts(string_split(qual, ''), 1) AS i FROM reads),
+s AS (SELECT read_id, sum({_COST}) OVER (PARTITION BY read_id ORDER BY i) AS cum FROM p),
+t AS (SELECT read_id, count(*) AS n FROM s WHERE cum <= {_BUDGET} GROUP BY read_id)"""
+_COLOR_BUDGET = round(-math.log(0.9) * S.COST_UNIT)
+_ENTROPY = f"""p AS (SELECT read_id, length(seq) AS n, unnest(list_transform(range(1, length(seq)), lambda i: seq[i:i+1])) AS d FROM reads),
+c AS (SELECT read_id, n, d, count(*) AS k FROM p GROUP BY read_id, n, d),
+l AS (SELECT read_id, n - coalesce(sum(k) FILTER (contains(d, 'N')), 0) AS l FROM c GROUP BY read_id, n),
+e AS (SELECT read_id, sum(k * log2(CAST(l AS DOUBLE) / k)) AS b FROM c JOIN l USING (read_id) WHERE NOT contains(d, 'N') GROUP BY read_id)"""
+
 QUERIES = {
     "reads_quality_sum": quality_sum,
     "reads_trim": trim,
+    "reads_trim_fixed": trim_fixed,
+    "reads_trim_colors": trim_colors,
+    "reads_keep_entropy": keep_entropy,
     "reads_entropy": entropy,
     "reads_reverse_complement": reverse_complement,
     "reads_pair_split": pair_split,
@@ -121,17 +145,21 @@ QUERIES = {
 
 ORACLES = {
     "reads_quality_sum": f"WITH {A.READS} SELECT read_id, CAST(coalesce(list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)), 0) AS BIGINT) AS qsum FROM reads",
-    "reads_trim": f"""WITH {A.READS},
-p AS (SELECT read_id, unnest(string_split(qual, '')) AS c, generate_subscripts(string_split(qual, ''), 1) AS i FROM reads),
-s AS (SELECT read_id, sum({_COST}) OVER (PARTITION BY read_id ORDER BY i) AS cum FROM p),
-t AS (SELECT read_id, count(*) AS n FROM s WHERE cum <= {_BUDGET} GROUP BY read_id)
+    "reads_trim": f"""WITH {A.READS}, {_TRIMMED}
 SELECT read_id, coalesce(n, 0) AS trim_len, md5(substring(seq, 1, coalesce(n, 0))) AS seq_md5 FROM reads LEFT JOIN t USING (read_id)""",
-    "reads_entropy": f"""WITH {A.READS},
-p AS (SELECT read_id, length(seq) AS n, unnest(list_transform(range(1, length(seq)), lambda i: seq[i:i+1])) AS d FROM reads),
-c AS (SELECT read_id, n, d, count(*) AS k FROM p GROUP BY read_id, n, d),
-l AS (SELECT read_id, n - coalesce(sum(k) FILTER (contains(d, 'N')), 0) AS l FROM c GROUP BY read_id, n),
-e AS (SELECT read_id, sum(k * log2(CAST(l AS DOUBLE) / k)) AS b FROM c JOIN l USING (read_id) WHERE NOT contains(d, 'N') GROUP BY read_id)
+    "reads_entropy": f"""WITH {A.READS}, {_ENTROPY}
 SELECT read_id, round(CASE WHEN length(seq) > 0 THEN coalesce(b, 0) / length(seq) END, 6) AS bits FROM reads LEFT JOIN e USING (read_id)""",
+    "reads_trim_fixed": f"""WITH {A.READS}, {_TRIMMED}
+SELECT read_id, CAST(12 AS BIGINT) AS trim_len, substring(seq, 1, 12) AS seq, substring(qual, 1, 12) AS qual FROM reads JOIN t USING (read_id) WHERE n >= 12""",
+    "reads_trim_colors": f"""WITH {A.READS},
+p AS (SELECT read_id, unnest(string_split(qual, '')) AS c, generate_subscripts(string_split(qual, ''), 1) AS i FROM reads),
+q AS (SELECT read_id, i, pow(10, -(ascii(c) - 33) / 10.0) * coalesce(pow(10, -(ascii(lag(c) OVER (PARTITION BY read_id ORDER BY i)) - 33) / 10.0), 1) AS err FROM p),
+s AS (SELECT read_id, sum(CASE WHEN err < 1 THEN CAST(round(-ln(1 - err) * {S.COST_UNIT}) AS BIGINT) ELSE 1000000000000000 END) OVER (PARTITION BY read_id ORDER BY i) AS cum FROM q),
+t AS (SELECT read_id, count(*) AS n FROM s WHERE cum <= {_COLOR_BUDGET} GROUP BY read_id)
+SELECT read_id, coalesce(n, 0) AS trim_len, md5(substring(seq, 1, coalesce(n, 0))) AS seq_md5 FROM reads LEFT JOIN t USING (read_id)""",
+    "reads_keep_entropy": f"""WITH {A.READS}, {_ENTROPY},
+k AS (SELECT read_id, pair_id, mate FROM reads LEFT JOIN e USING (read_id) WHERE length(seq) >= 100 AND coalesce(b, 0) / length(seq) >= 1.5)
+SELECT read_id, pair_id, mate, CASE WHEN count(*) OVER (PARTITION BY pair_id) >= 2 THEN 'read' || mate ELSE 'single' END AS part FROM k""",
     "reads_reverse_complement": f"""WITH {A.READS}
 SELECT read_id, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS rc_md5,
        round(CASE WHEN length(regexp_replace(seq, '[^ACGT]', '', 'g')) > 0 THEN CAST(length(regexp_replace(seq, '[^GC]', '', 'g')) AS DOUBLE) / length(regexp_replace(seq, '[^ACGT]', '', 'g')) END, 9) AS gc FROM reads""",
