@@ -8,6 +8,7 @@ recomputation of everything before it.
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -43,16 +44,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+def table(df: DataFrame, name: str, most_rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back, cutting its lineage.
 
+    ``codec`` is for columns of text, which a stronger one than the session's makes smaller.
+
     Where at most ``most_rows`` rows are known to come, they are written by as many
     tasks as those need, not by one for each shuffle partition.
     """
     path = folder(df.sparkSession, name)
     if most_rows is not None and (tasks := most_rows // ROWS_A_TASK + 1) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         df = df.coalesce(tasks)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,6 +75,16 @@ def sized(written: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES)
     return F.broadcast(written) if written.count() <= min(most_rows, most_bytes // width) else written
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are tables now.
+
+    Spark does so once the driver has collected what refers to them, which on an
+    idle driver may take half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch folders that no live DataFrame reads any more."""
     for path in paths:
