@@ -120,3 +120,51 @@ def test_query(spark):
         want[r.page_id] = (len(b), d, "revisit" if again else "response", f if again else None)
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op9_warc(spark, sf).collect()}
     assert got == want
+
+
+def record(page, size=2, length=None, kind="response"):
+    body = "x" * size
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Page-ID: {page}\r\nContent-Type: text/html\r\nContent-Length: {size if length is None else length}\r\n\r\n{body}\r\n\r\n"
+
+
+GOOD = "".join(record(k, 30 * k) for k in range(1, 7))
+DAMAGED = {
+    # an archive, the pages that it holds, those that are cut short, and how many bytes the chain reaches
+    "undamaged": (GOOD, [1, 2, 3, 4, 5, 6], [], None),
+    "bad length": (GOOD + record(0, 40, "what") + record(8), [1, 2, 3, 4, 5, 6], [], len(GOOD)),
+    "length without end": (GOOD + record(0, 40, "9" * 30) + record(8), [1, 2, 3, 4, 5, 6], [], len(GOOD)),
+    "line feed behind": (GOOD + "\n", [1, 2, 3, 4, 5, 6], [], len(GOOD)),
+    "words behind": (GOOD + "what is this " * 60, [1, 2, 3, 4, 5, 6], [], len(GOOD)),
+    "cut in a header": (GOOD + record(7)[:40], [1, 2, 3, 4, 5, 6], [], len(GOOD)),
+    "cut in a body": (GOOD + record(7, 900)[:-400], [1, 2, 3, 4, 5, 6, 7], [7], len(GOOD) + len(record(7, 900))),
+    "no page number": (record("seven") + record(2), [None, 2], [], None),
+    "too long a record": (record(1) + record(2, 10, 3000) + GOOD, [1, 2], [2], len(record(1)) + len(record(2, 10, 3000)) + 2990),
+    "no record first": ("junk" + GOOD, [], [], -1),
+}
+
+
+def test_what_the_chain_reaches_stays_at_every_split_size(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    path = scratch.folder(spark, "warc")
+    for name, (text, *_) in DAMAGED.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/case={name.replace(' ', '_')}")
+        # Spark ends its only line with a line feed, which is cut off again.
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        (part,) = [f.getPath() for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/case={name.replace(' ', '_')}")) if f.getPath().getName().startswith("part")]
+        out = fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    try:
+        for size in (97, 300, 1 << 30):
+            small_splits(spark, size)
+            rows = warc.read(spark, path).collect()
+            broken = {r.file: (r.reached, r.bytes) for r in warc.breaks(spark, path).collect()}
+            for name, (text, pages_there, short, reached) in DAMAGED.items():
+                own = [r for r in rows if f"case={name.replace(' ', '_')}/" in r.file]
+                assert sorted(str(r.page_id) for r in own) == sorted(map(str, pages_there)), (name, size)
+                assert [r.page_id for r in own if not r.whole] == short, (name, size)
+                told = [v for f, v in broken.items() if f"case={name.replace(' ', '_')}/" in f]
+                assert told == ([] if reached is None else [(None if reached < 0 else reached, len(text))]), (name, size)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
