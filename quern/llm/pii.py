@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern import scratch
+from quern.llm.columns import let, long_id
 
 #: Kinds in the order in which spans are listed; the last two are terms.
 BASE = ("email", "ip", "card", "phone")
@@ -65,10 +66,13 @@ VALID = {
 }
 
 
-def located(text: Column, pattern: str, window: int = 0) -> Column:
-    """All matches with their places in code points, and ``window`` characters of the text between matches on both sides."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+def located(text: Column, pattern: str, window: int = 0, block: int = 256) -> Column:
+    """All matches with their places in code points, and ``window`` characters of the text between matches on both sides.
+
+    Places are running sums over blocks of matches, then inside each block, as an
+    array that grows by one is copied each time.
+    """
+    at, spans, starts = (F.lit(0).cast("long"), F.array().cast(SPAN), F.array().cast("array<long>"))
 
     def step(acc: Column, m: Column) -> Column:
         start = acc["at"] + F.char_length(m["gap"])
@@ -82,9 +86,31 @@ def located(text: Column, pattern: str, window: int = 0) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    n = F.size(found)
-    zipped = F.transform(found, lambda v, i: F.struct(v.alias("value"), F.element_at(gaps, (i + 1).cast("int")).alias("gap"), F.element_at(gaps, (i + 2).cast("int")).alias("after")))
-    return F.when(n > 0, F.aggregate(zipped, nothing, step)["out"]).otherwise(F.array().cast(SPAN))
+    def placed(matches: Column, first: Column) -> Column:
+        return F.aggregate(matches, F.struct(first.alias("at"), spans.alias("out")), step)["out"]
+
+    def note(acc: Column, own: Column) -> Column:
+        after = F.aggregate(own, acc["at"], lambda n, m: n + F.char_length(m["gap"]) + F.char_length(m["value"]))
+        return F.struct(after.alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+
+    def in_blocks(blocks: Column) -> Column:
+        first = F.aggregate(blocks, F.struct(at.alias("at"), starts.alias("starts")), note)["starts"]
+        return F.flatten(F.zip_with(blocks, first, placed))
+
+    def cut(matches: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / block).cast("int")), lambda k: F.slice(matches, k * block + 1, block))
+
+    def zipped(m: Column) -> Column:
+        piece = lambda i: F.element_at(m["gaps"], i.cast("int"))
+        return F.transform(m["found"], lambda v, i: F.struct(v.alias("value"), piece(i + 1).alias("gap"), piece(i + 2).alias("after")))
+
+    def every(matches: Column) -> Column:
+        return F.when(F.size(matches) > block, let(cut(matches), in_blocks)).otherwise(placed(matches, at))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    matches = let(F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("found")), zipped)
+    some = let(matches, every)
+    return F.when(F.regexp_like(text, F.lit(pattern)), some).otherwise(spans)
 
 
 def base_spans(text: Column, kind: str, window: int = 0) -> Column:
@@ -106,6 +132,11 @@ def _window_terms(window: int) -> Column:
     return F.concat(move(located(left, TERM), before), move(located(right, TERM), after))
 
 
+def _tagged(kind: str) -> Column:
+    """The spans of a kind with the entity, which is the kind with the value."""
+    return F.transform(kind, lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"), s["left"].alias("left"), s["right"].alias("right")))
+
+
 def find(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -114,9 +145,12 @@ def find(
     support: int = 3,
     generalise_at: float = 0.75,
     remove_at: float = 0.9,
+    with_text: bool = False,
 ) -> DataFrame:
     """One row per input row: ``row, doc_id``, an array of spans for each base kind, and ``hint`` and ``term`` spans.
 
+    With ``with_text`` the text follows, null as empty.
+
     A term discloses an entity if it occurs in the entity's window in at least
     ``support`` documents with at least two different windows, and its mutual
     information reaches the given share of the entity's information. Only
@@ -129,10 +163,11 @@ def find(
       counts are combined before the shuffle.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    base = scratch.table(rows.select("row", "doc_id", *[base_spans(F.col("text"), k, window).alias(k) for k in BASE]), "spans")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), long_id(docs, id_col).alias("doc_id"), text.alias("text"))
+    kept = ["text"] if with_text else []
+    base = scratch.table(rows.select("row", "doc_id", *[base_spans(F.col("text"), k, window).alias(k) for k in BASE], *kept), "spans", codec="zstd")
 
-    tagged = [F.transform(k, lambda s, k=k: F.struct(F.xxhash64(F.lit(k), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"), s["left"].alias("left"), s["right"].alias("right"))) for k in BASE]
+    tagged = [_tagged(k) for k in BASE]
     near = base.filter(reduce(lambda a, b: a | b, [F.size(k) > 0 for k in BASE])).select("row", F.explode(F.concat(*tagged)).alias("s"))
     near = near.select("row", F.col("s.entity").alias("entity"), F.xxhash64("s.left", "s.right").alias("place"), F.explode(_window_terms(window)).alias("t")).select("row", "entity", "place", "t.*")
     near = scratch.table(near, "near")
@@ -156,12 +191,21 @@ def find(
     flagged = flagged.groupBy("row").agg(place.alias("told"))
     of = lambda test: F.coalesce(F.transform(F.filter("told", test), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))), F.array().cast("array<struct<start:long,end:long>>"))
     return base.join(flagged, "row", "left").select(
-        "row", "doc_id", *BASE, of(lambda t: t["share"] < remove_at).alias("hint"), of(lambda t: t["share"] >= remove_at).alias("term")
+        "row", "doc_id", *BASE, of(lambda t: t["share"] < remove_at).alias("hint"), of(lambda t: t["share"] >= remove_at).alias("term"), *kept
     )
 
 
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: float) -> DataFrame:
+    """What :func:`find` returns, with the text in which its spans are replaced or removed as ``redacted``."""
+    found = find(docs, id_col, text_col, with_text=True, **settings)
+    return found.withColumn("redacted", redact(F.col("text"), {k: F.col(k) for k in KINDS})).drop("text")
+
+
 def listed(found: DataFrame) -> DataFrame:
-    """``doc_id``, the number of each base kind, the digest of the base spans, and all spans as text."""
+    """``doc_id``, the number of each base kind, the digest of the base spans, and all spans as text.
+
+    After :func:`sanitise` also the length and the digest of the redacted text.
+    """
     lists = {k: span_list(F.col(k), k) for k in KINDS}
     return found.select(
         "doc_id",
@@ -170,20 +214,28 @@ def listed(found: DataFrame) -> DataFrame:
         F.array_join(F.concat(*lists.values()), ",").alias("spans"),
         F.size("hint").cast("long").alias("n_hint"),
         F.size("term").cast("long").alias("n_term"),
+        *([F.char_length("redacted").cast("long").alias("redacted_chars"), F.sha2("redacted", 256).alias("redacted_sha256")] if "redacted" in found.columns else []),
     )
 
 
+def _replaced(spans: Column, kind: str) -> Column:
+    """Spans as start, negative end, and what stands in their place."""
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit("" if kind == "term" else f"[{kind.upper()}]").alias("as")))
+
+
 def redact(text: Column, found: dict[str, Column]) -> Column:
     """The text with base spans and hints replaced by their kind in brackets, and terms removed.
 
-    Of spans that overlap the earlier stays, the longer if they start together.
+    Spans that overlap are replaced as one, by what the earliest stands for, the
+    longest if some start together.
     """
-    spans = F.array_sort(F.concat(*[F.transform(s, lambda x, k=k: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), F.lit("" if k == "term" else f"[{k.upper()}]").alias("as"))) for k, s in found.items()]))
+    spans = F.array_sort(F.concat(*[_replaced(s, k) for k, s in found.items()]))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         clear = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] >= acc["at"], F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.array(clear, s["as"])).alias("out"))).otherwise(acc)
+        return F.when(s["start"] >= acc["at"], F.struct((-s["back"]).alias("at"), F.concat(acc["out"], F.array(clear, s["as"])).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out")))
 
     done = F.aggregate(spans, start, step)
-    return F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
+    rest = F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.char_length(text)))
+    return F.when(F.size(spans) > 0, rest).otherwise(text)

@@ -50,7 +50,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.listed(pii.find(_read(spark, sf_dir, "documents")))
+    return pii.listed(pii.sanitise(_read(spark, sf_dir, "documents")))
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

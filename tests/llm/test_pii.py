@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -138,3 +139,44 @@ def test_oddities(spark, odd_docs, no_docs):
     rows = pii.listed(pii.find(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and all(r.spans == "" for r in rows)
     assert pii.listed(pii.find(no_docs)).count() == 0
+
+
+def test_places_of_very_many_matches(spark):
+    text = "".join(f"{'é' * (k % 7)} 10.{k % 300}.0.{k % 256}, " for k in range(1500))
+    got = spark.createDataFrame([(text,)], "text string").select(pii.base_spans(F.col("text"), "ip", 5).alias("s")).first().s
+    assert [(x.start, x.end) for x in got] == [m.span() for m in re.finditer(BASE["ip"], text) if valid("ip", m.group())]
+    assert len(got) > 1000
+
+
+def test_an_entity_is_its_kind_and_value_wherever_it_stands(spark):
+    """The same disclosure with another entity put first, and for entities of two kinds in one text."""
+    rng = random.Random(3)
+    filler = [f"the weather is fine and the town is quiet today number {k}" for k in range(200)]
+    told = []
+    for k, x in enumerate(("one", "two", "three", "four", "five", "six")):
+        t = f"please write to Ms Kowalska of the office {x} at jk@example.org about the matter {x} or see the Zamosc machine {x} at 10.20.30.40 now"
+        others = " and ".join(f"a{rng.randrange(10**6)}@other{rng.randrange(10**6)}.net" for _ in range(k % 3))
+        told.append(f"{others} {'- ' * 60} {t}" if others else t)
+    docs = told + filler
+    rows = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    want = disclosure(docs)
+    assert want[("email", "jk@example.org"), "kowalska"] == "term" and want[("ip", "10.20.30.40"), "zamosc"] == "term"
+    for i, t in enumerate(told):
+        terms = {t[s.start : s.end].lower() for s in rows[i].term}
+        assert {"kowalska", "zamosc"} <= terms == {w for (_, w), k in want.items() if k == "term"}
+        assert not re.search("kowalska|zamosc|example|10.20", rows[i].redacted.lower())
+        assert "[EMAIL]" in rows[i].redacted and "[IP]" in rows[i].redacted
+    assert all(rows[i].redacted == docs[i] for i in range(len(told), len(docs)))
+
+
+def test_redaction_against_the_spans(spark, docs_small):
+    """The redacted text is the text with its spans cut out, left to right."""
+    texts = {r.doc_id: r.text or "" for r in docs_small.collect()}
+    for r in pii.sanitise(docs_small).collect():
+        spans = sorted((s.start, -s.end, "" if k == "term" else f"[{k.upper()}]") for k in pii.KINDS for s in r[k])
+        at, out = 0, []
+        for a, back, mark in spans:
+            if a >= at:
+                out += [texts[r.doc_id][at:a], mark]
+            at = max(at, -back)
+        assert r.redacted == "".join(out) + texts[r.doc_id][at:]
