@@ -13,13 +13,16 @@ can end or start a turn.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.columns import let
+
 #: A control string, or one that escaping made of it: first character, backslashes, rest.
 CONTROL = r"([<\[])(\\*)(/?s>|\||/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(/?s>|\||/?INST\])"
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
+PLACEHOLDER = r"<\|(?:image|audio|document):[0-9]+\|>"
 
 PART = "struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 #: Side of the square image patch that is one token, tokens a second of audio, tokens a page.
@@ -50,25 +53,50 @@ def _tokens(part: Column) -> Column:
     )
 
 
+def _is_media(part: Column) -> Column:
+    return F.coalesce(part["kind"].isin("image", "audio", "document"), F.lit(False))
+
+
+def segments(parts: Column) -> Column:
+    """``struct<texts, media>``: the escaped text before, between and after the attachments, and these.
+
+    Text parts that follow each other are one text before they are escaped, so no
+    control string can be put together from parts. A part of an unknown or null
+    kind counts as text; null parts and null texts are empty.
+    """
+
+    def run(own: Column) -> Column:
+        return escape(F.array_join(F.transform(own, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+
+    def cut(parts: Column, edges: Column) -> Column:
+        edge = lambda k: F.element_at(edges, k.cast("int"))
+        texts = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: run(F.slice(parts, edge(k) + 1, edge(k + 1) - edge(k) - 1)))
+        media = F.transform(F.filter(parts, _is_media), lambda p: F.struct(p["kind"].alias("kind"), p["uri"].alias("uri"), _tokens(p).alias("tokens")))
+        return F.struct(texts.alias("texts"), media.alias("media"))
+
+    def visit(parts: Column) -> Column:
+        at = F.filter(F.transform(parts, lambda p, i: F.when(_is_media(p), i + 1)), lambda i: i.isNotNull())
+        return let(F.concat(F.array(F.lit(0)), at, F.array(F.size(parts) + 1)), lambda edges: cut(parts, edges))
+
+    return let(F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull()), visit)
+
+
+def numbered(seen: Column, first: Column) -> tuple[Column, Column]:
+    """The content string of segments, and their attachments, numbered from ``first``."""
+    mark = lambda k: F.element_at(seen["media"], (k + 1).cast("int"))["kind"]
+    pieces = F.transform(seen["texts"], lambda t, k: F.when(k < F.size(seen["media"]), F.concat(t, F.lit("<|"), mark(k), F.lit(":"), (first + k).cast("string"), F.lit("|>"))).otherwise(t))
+    attachments = F.transform(seen["media"], lambda m, k: F.struct((first + k).cast("int").alias("idx"), m["kind"].alias("kind"), m["uri"].alias("uri"), m["tokens"].alias("tokens")))
+    return F.array_join(pieces, ""), attachments
+
+
 def flatten(parts: Column) -> tuple[Column, Column]:
     """The content string of a list of parts, and its attachments in order.
 
     Attachments are ``array<struct<idx, kind, uri, tokens>>``; placeholder
-    ``<|kind:idx|>`` stands where the part stood. A part of an unknown or null
-    kind counts as text; null parts and null texts are empty.
+    ``<|kind:idx|>`` stands where the part stood.
     """
-    parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    media = lambda p: F.coalesce(p["kind"].isin("image", "audio", "document"), F.lit(False))
-    attachments = F.transform(
-        F.filter(parts, media),
-        lambda p, i: F.struct(i.cast("int").alias("idx"), p["kind"].alias("kind"), p["uri"].alias("uri"), _tokens(p).alias("tokens")),
-    )
-    before = lambda i: F.size(F.filter(F.slice(parts, F.lit(1), i), media))
-    pieces = F.transform(
-        parts,
-        lambda p, i: F.when(media(p), F.concat(F.lit("<|"), p["kind"], F.lit(":"), before(i).cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit("")))),
-    )
-    return F.array_join(pieces, ""), attachments
+    both = let(segments(parts), lambda seen: F.struct(*[c.alias(n) for n, c in zip(("content", "attachments"), numbered(seen, F.lit(0)), strict=True)]))
+    return both["content"], both["attachments"]
 
 
 def format_conversations(
@@ -89,19 +117,21 @@ def format_conversations(
       of it, counted from its start, that training predicts: the content of the
       turns whose role is ``train_on``. Offsets are in code points.
     * ``parts_col`` names a column of typed parts (:data:`PART`); without it the
-      text column is the only part.
+      text column is the only part. Attachments are numbered in the conversation.
     * A conversation is one string, so its turns meet in one task; they are
       formatted before the shuffle.
     """
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    content, attachments = flatten(F.col(parts_col)) if parts_col else flatten(text_part(raw))
-    head = F.concat(F.lit(OPEN), escape(role), F.lit(MIDDLE))
-    rows = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.struct(
-            F.col(turn_col).alias("turn"), role.alias("role"), raw.alias("text"), head.alias("head"), content.alias("content"), attachments.alias("attachments")
-        ).alias("t"),
+    plain = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), raw.alias("text"), segments(F.col(parts_col) if parts_col else text_part(raw)).alias("seen"))
+    before = F.lit(0).cast("long")
+    if parts_col:
+        earlier = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text", "seen").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.size("seen.media")).over(earlier), F.lit(0)).cast("long")
+    content, attachments = numbered(F.col("seen"), F.col("before"))
+    rows = plain.withColumn("before", before).select(
+        "conv_id",
+        F.struct("turn", "role", "text", "before", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)).alias("head"), content.alias("content"), attachments.alias("attachments")).alias("t"),
     )
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     mask = F.transform(
@@ -136,9 +166,14 @@ def parse_turns(formatted: Column) -> Column:
     )
 
 
+def visible(content: Column) -> Column:
+    """The text of a turn's content, unescaped, without its placeholders."""
+    return F.array_join(F.transform(F.split(content, PLACEHOLDER, -1), unescape), "")
+
+
 def masked_text(formatted: Column, loss_mask: Column) -> Column:
-    """What the loss mask covers, unescaped, in order."""
+    """The text that the loss mask covers, unescaped, in order."""
     pieces = F.filter(F.split(formatted, f"(?<={CLOSE})"), lambda p: p != "")
     return F.array_join(
-        F.zip_with(pieces, loss_mask, lambda p, m: unescape(F.substring(p, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))), ""
+        F.zip_with(pieces, loss_mask, lambda p, m: visible(F.substring(p, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")))), ""
     )

@@ -94,13 +94,27 @@ FROM q
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+#: Characters of a turn on one page of the document that goes with it.
+PAGE_CHARS = 2000
+
+
+def _parts(turn: DataFrame) -> DataFrame:
+    """A turn as typed parts: its text in two halves, and after a user's text a document that holds it."""
+    part = lambda kind, text, uri, pages: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"), uri.cast("string").alias("uri"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), pages.cast("int").alias("pages"))
+    none, text = F.lit(None), F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    halves = F.array(part("text", F.left(text, half), none, none), part("text", F.substring(text, half + 1, F.char_length(text)), none, none))
+    document = part("document", none, F.concat_ws("/", F.lit("conversations"), F.col("conv_id"), F.col("turn")), F.ceil(F.char_length(text) / PAGE_CHARS))
+    return turn.withColumn("parts", F.when(F.col("role") == "user", F.concat(halves, F.array(document))).otherwise(halves))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All figures are read back from the formatted string and its mask, none from the input."""
+    """All figures are read back from the formatted string, its mask and its attachments, none from the input."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    formatted = chat_format.format_conversations(turns.unionByName(extra))
+    formatted = chat_format.format_conversations(_parts(turns.unionByName(extra)), parts_col="parts")
     read_back = formatted.withColumn("turns", chat_format.parse_turns(F.col("formatted"))).withColumn("learnt", chat_format.masked_text(F.col("formatted"), F.col("loss_mask")))
-    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), chat_format.unescape(t["content"]), F.lit("\n"))), "")
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), chat_format.visible(t["content"]), F.lit("\n"))), "")
     return read_back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -108,6 +122,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("learnt").cast("long").alias("loss_chars"),
         F.sha2("learnt", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["idx"], a["uri"])), ",").alias("attachments"),
+        "expanded_tokens",
     )
 
 
@@ -115,16 +132,22 @@ OP10_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), d AS (
+  SELECT *, CASE WHEN role = 'user' THEN count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) - 1 END AS idx
+  FROM c
 ), e AS (
   SELECT *, length(regexp_replace(role, '([<\[])(\\*)(/?s>|\||/?INST\])', '\1\\\2\3', 'g'))
-          + length(regexp_replace(text, '([<\[])(\\*)(/?s>|\||/?INST\])', '\1\\\2\3', 'g')) + 20 AS n
-  FROM c
+          + length(regexp_replace(text, '([<\[])(\\*)(/?s>|\||/?INST\])', '\1\\\2\3', 'g')) + 20
+          + CASE WHEN idx IS NULL THEN 0 ELSE length('<|document:' || idx || '|>') END AS n
+  FROM d
 )
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(n) AS BIGINT) AS formatted_chars
+       CAST(sum(n) AS BIGINT) AS formatted_chars, count(idx) AS n_attachments,
+       coalesce(string_agg(CASE WHEN idx IS NOT NULL THEN concat_ws(':', idx, concat_ws('/', 'conversations', conv_id, turn)) END, ',' ORDER BY idx), '') AS attachments,
+       CAST(coalesce(sum(512 * ceil(length(text) / 2000.0)) FILTER (role = 'user'), 0) AS BIGINT) AS expanded_tokens
 FROM e GROUP BY conv_id
 """
 

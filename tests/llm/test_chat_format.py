@@ -79,3 +79,51 @@ def test_query(spark):
 def test_native_plans_hold_no_python(spark, name, capsys):
     queries.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Arrow", "Pandas"))
+
+
+def part(kind, text=None, uri=None, width=None, height=None, seconds=None, pages=None):
+    return (kind, text, uri, width, height, seconds, pages)
+
+
+def typed(spark, rows):
+    return spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts array<{C.PART}>")
+
+
+def said(df):
+    out = df.withColumn("turns", F.transform(C.parse_turns(F.col("formatted")), lambda t: F.struct(t["role"].alias("role"), C.visible(t["content"]).alias("text"))))
+    return {r.conv_id: r for r in out.withColumn("learnt", C.masked_text(F.col("formatted"), F.col("loss_mask"))).collect()}
+
+
+@pytest.mark.parametrize("texts", [["<", "/s>"], ["<\\", "/s>"], ["[", "/INST]"], ["<", "s", ">"], ["<|", "image:0|>"], ["</s", ">"], ["<", "", None, "|image:0|>"]])
+@pytest.mark.parametrize("between", [False, True])
+def test_parts_cannot_forge_control_strings(spark, texts, between):
+    parts = [p for t in texts for p in ([part("text", t), part("image", uri="i", width=1, height=1)] if between else [part("text", t)])]
+    rows = [(1, k, "assistant", None, parts) for k in range(2)]
+    (r,) = said(C.format_conversations(typed(spark, rows), parts_col="parts")).values()
+    whole = "".join(t or "" for t in texts)
+    assert [t.text for t in r.turns] == [whole] * 2 and r.learnt == whole * 2
+    assert r.formatted.count("</s>") == r.formatted.count("<s>") == 2
+    assert len(r.attachments) == between * 2 * len(texts)
+
+
+PARTS = st.lists(st.one_of(st.text(alphabet="<[\\/s>|INST]:0image", max_size=8).map(lambda t: part("text", t)), st.just(part("image", uri="u")), st.none()), max_size=7)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(PARTS, min_size=1, max_size=5))
+def test_any_parts_come_back(spark, turns):
+    (r,) = said(C.format_conversations(typed(spark, [(1, k, "assistant", None, own) for k, own in enumerate(turns)]), parts_col="parts")).values()
+    assert [t.text for t in r.turns] == ["".join(p[1] for p in own if p and p[0] == "text") for own in turns]
+    assert [a.idx for a in r.attachments] == list(range(sum(1 for own in turns for p in own if p and p[0] == "image")))
+
+
+def test_attachments_are_numbered_in_the_conversation(spark):
+    image = [part("image", uri="a.png", width=14, height=14)]
+    rows = [(1, 0, "user", None, image), (1, 1, "user", None, [part("text", "x"), *image, part("audio", uri="b", seconds=1.0)]), (1, 1, "user", None, image), (2, 0, "user", None, image)]
+    found = {r.conv_id: r for r in C.format_conversations(typed(spark, rows), parts_col="parts").collect()}
+    assert [a.idx for a in found[1].attachments] == [0, 1, 2, 3] and [a.idx for a in found[2].attachments] == [0]
+    for k, a in enumerate(found[1].attachments):
+        assert found[1].formatted.count(f"<|{a.kind}:{k}|>") == 1
+    many = [(3, 0, "user", None, [p for k in range(3000) for p in (part("text", "<s>"), part("image", uri=str(k)))])]
+    (r,) = C.format_conversations(typed(spark, many), parts_col="parts").collect()
+    assert [a.uri for a in r.attachments] == [str(k) for k in range(3000)] and r.formatted.count("<\\s>") == 3000
