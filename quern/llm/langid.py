@@ -13,19 +13,20 @@ every language. Scoring is then one vectorised table look-up per byte.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quern.llm import tokens
+from quern.llm.columns import long_id
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -165,29 +166,46 @@ def is_held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, sample_docs: int = 256, sample_bytes: int = 64 << 10) -> Model:
-    """Fit on at most ``sample_docs`` documents per language, of at most ``sample_bytes`` each.
-
-    These bounds are the only ones, and concern training alone. The sample is
-    the documents with the smallest hash of their id among those not held out.
+def _first_hashes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of each language the ``most`` smallest hashes that a task sees, once each."""
+    least: dict[str, np.ndarray] = {}
+    size: dict[int, int] = {}
+    for batch in batches:
+        lang, h, n = (batch.column(k).to_pylist() for k in range(3))
+        size.update(zip(h, n, strict=True))
+        new: dict[str, list[int]] = {}
+        for x, y in zip(lang, h, strict=True):
+            new.setdefault(x, []).append(y)
+        for x, own in new.items():
+            least[x] = np.unique(np.concatenate([least.get(x, np.zeros(0, dtype=np.int64)), own]))[:most]
+        held = set(np.concatenate(list(least.values())).tolist()) if least else set()
+        size = {k: v for k, v in size.items() if k in held}
+    for x, own in least.items():
+        yield pa.RecordBatch.from_arrays([pa.array([x] * len(own)), pa.array(own), pa.array([size[k] for k in own.tolist()], pa.int64())], names=["l", "h", "n"])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 3, sample_docs: int = 256, sample_bytes: int = 4 << 20) -> Model:
+    """Fit on at most ``sample_docs`` texts per language, and no more after the one that reaches ``sample_bytes`` in all.
+
+    These bounds are the only ones, and concern training alone. The sample is the
+    distinct texts with the smallest hashes among the rows that are not held out and
+    have a text and a language, whatever their ids, lengths or order. Texts that
+    repeat count once. Without such rows the model knows no language.
     """
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(F.col(id_col)) & (F.octet_length(text_col) <= sample_bytes))
-    narrow = rows.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
-    # Only hashes that can be among the first reach the window: four times the sample is to be expected, whatever the input.
-    sizes = narrow.groupBy(F.col("l").alias("m")).agg(F.count(F.lit(1)).alias("size"))
-    share = F.shiftrightunsigned("h", 1) / float(2**63)
-    few = narrow.join(F.broadcast(sizes), F.col("l") == F.col("m")).filter(share * F.col("size") <= 4 * sample_docs)  # a row a language
-    first = Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 1), "i")
-    picked = {(r.i, r.l) for r in few.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_docs).select("i", "l").collect()}
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    rows = docs.filter(lang.isNotNull() & text.isNotNull() & ~is_held_out(F.col(id_col))).select(lang.alias("l"), F.xxhash64(text).alias("h"), text.alias("t"))
+    narrow = rows.select("l", "h", F.octet_length("t").cast("long").alias("n")).mapInArrow(lambda b: _first_hashes(b, sample_docs), "l string, h long, n long")
+    first = Window.partitionBy("l").orderBy("h")
+    few = narrow.groupBy("l", "h").agg(F.min("n").alias("n")).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_docs)
+    few = few.withColumn("before", F.sum("n").over(first) - F.col("n")).filter(F.col("before") < sample_bytes)
+    picked = few.select("l", "h").collect()  # sample_docs rows a language
     if not picked:
         return Model({}, order)
-    chosen = docs.sparkSession.createDataFrame(sorted(picked, key=str), narrow.select("i", "l").schema)
-    own = rows.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    chosen = docs.sparkSession.createDataFrame(picked, "l string, h long")
+    taken = rows.join(F.broadcast(chosen), ["l", "h"], "left_semi").groupBy("l", "h").agg(F.min("t").alias("t"))
     samples: dict[str, list[bytes]] = {}
-    taken = own.join(F.broadcast(chosen), (own.i.eqNullSafe(chosen.i)) & (own.l == chosen.l), "left_semi")  # at most sample_docs rows a language
-    for r in taken.collect():
-        if len(samples.setdefault(r.l, [])) < sample_docs:
-            samples[r.l].append(r.t.encode())
+    for r in taken.collect():  # sample_docs rows a language, and but one beyond sample_bytes
+        samples.setdefault(r.l, []).append(r.t.encode())
     return Model({k: sorted(v) for k, v in samples.items()}, order)
 
 
@@ -196,7 +214,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     * A null text, or one without a letter, is ``und`` with score 0; so is any
       text if the model knows no language. Ties go to the first name.
-    * Whole texts are coded; only id and text are read. Nothing is shuffled.
+    * Whole texts are coded, in pieces of bounded memory; only id and text are
+      read, so other columns may have any names. Nothing is shuffled.
+    * Repeated rows and ids give rows of their own; an empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -209,7 +229,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     names=["doc_id", "lang_pred", "score", "bits_per_byte"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
@@ -218,6 +238,9 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", max_b
 
     Rejected are ``und`` and texts that the best language codes no better than
     one raw byte per byte. A model without languages rejects nothing.
+
+    * Null texts and those without a letter go; repeated rows stay or go together.
+    * Columns keep their names and values; an empty table stays empty.
     """
     if not model.langs:
         return docs

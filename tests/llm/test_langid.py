@@ -80,3 +80,44 @@ def test_oddities(spark, odd_docs, no_docs):
     assert nothing.langs == [] and langid.identify(no_docs, nothing).count() == 0
     assert {r.lang_pred for r in langid.identify(odd_docs, nothing).collect()} == {"und"}
     assert langid.keep_identified(odd_docs, nothing).count() == odd_docs.count()
+
+
+GERMAN = "der hund und die katze laufen über die straße zum haus"
+ENGLISH = "the dog and the cat run over the street to the house"
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_rows_that_share_an_id_are_learnt_from(spark):
+    for i in (1, 7, 8, 9, 10, 11, 12, 13):
+        rows = [(i, f"{GERMAN} {k}", "de") for k in range(600)]
+        model = langid.train(labelled(spark, rows), sample_docs=16)
+        assert model.langs == ([] if zlib.crc32(str(i).encode()) % 3 == 1 else ["de"]), i
+
+
+def test_the_sample_is_the_same_in_any_order_and_bounded(spark):
+    rows = [(k, f"{(GERMAN, ENGLISH)[k % 2]} {k % 90}" * (1 + k % 5), ("de", "en")[k % 2]) for k in range(800)]
+    rows += [(5000 + k, ENGLISH * 4000, "en") for k in range(300)]  # copies of one very long text
+    a = langid.train(labelled(spark, rows).repartition(7), sample_docs=20)
+    b = langid.train(labelled(spark, rows[::-1]).coalesce(1), sample_docs=20)
+    assert a.langs == b.langs == ["de", "en"]
+    assert all((x.keys == y.keys).all() and np.array_equal(x.values, y.values) for x, y in zip(a.costs, b.costs, strict=True))
+    seen = []
+    old, langid.Model = langid.Model, lambda samples, order: seen.append(samples)
+    try:
+        langid.train(labelled(spark, rows), sample_docs=20)
+        langid.train(labelled(spark, rows), sample_bytes=2000)
+    finally:
+        langid.Model = old
+    assert all(len(v) == len(set(v)) == 20 for v in seen[0].values())
+    for v in seen[1].values():
+        assert sum(map(len, v)) - max(map(len, v)) < 2000 <= sum(map(len, v))
+
+
+def test_letters_are_letters(spark):
+    model = langid.Model({"en": [b"the cat"]})
+    texts = ["²", "½", "Ⅷ", "12 _ 34", "x", "é", "文", "ª", "\u0301"]
+    got = model.predict([t.encode() for t in texts])
+    assert [x[0] for x in got] == ["und"] * 4 + ["en"] * 4 + ["und"]
