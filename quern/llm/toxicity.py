@@ -2,9 +2,10 @@
 
 Categories are predicted one after the other. A later model sees the words and
 the probabilities of the categories before it; for training these are predicted
-out of fold, so that it learns from what it will meet, not from a fit. The
-model is fitted on a bounded sample of labelled documents; every document is
-scored over its whole text.
+out of fold, by models whose words, too, were chosen without the fold, so that it
+learns from what it will meet, not from a fit. The model is fitted on a bounded
+sample of labelled documents, of which only the words that some model uses reach
+the driver; every document is scored over its whole text.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.llm import tokens
+from quern.llm.columns import long_id
 from quern.llm.decontaminate import normalise
 
+#: Parts for out-of-fold predictions, words of a model at most, and standard errors that a word's log odds are from none at least.
+FOLDS, MOST_WORDS, LEAST_Z = 5, 512, 3.0
+
 
 def _words(values: list[bytes]) -> list[np.ndarray]:
     """The distinct word hashes of each text."""
@@ -52,6 +59,11 @@ def probability(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
 
+def fold_of(words: np.ndarray, folds: int) -> int:
+    """The fold of a document, by its distinct words: copies share it."""
+    return int(np.bitwise_xor.reduce(words) % np.uint64(folds)) if len(words) else 0
+
+
 def informative(docs: list[np.ndarray], y: np.ndarray, most: int, least_z: float) -> np.ndarray:
     """Words whose log odds between the two classes is many standard errors from none."""
     flat = np.concatenate(docs) if docs else np.zeros(0, dtype=np.uint64)
@@ -65,21 +77,33 @@ def informative(docs: list[np.ndarray], y: np.ndarray, most: int, least_z: float
 
 
 class Chain:
-    """Categories in order, each with its words and its linear model."""
+    """Categories in order, each with its words and its linear model.
+
+    ``fold`` gives the folds of documents whose words are not all in ``docs``.
+    """
 
-    def __init__(self, docs: list[np.ndarray], labels: dict[str, np.ndarray], folds: int = 5, most_words: int = 512, least_z: float = 4.0) -> None:
+    def __init__(self, docs: list[np.ndarray], labels: dict[str, np.ndarray], folds: int = FOLDS, most_words: int = MOST_WORDS, least_z: float = LEAST_Z, fold: np.ndarray | None = None) -> None:
         self.categories = list(labels)
         self.models: list[tuple[np.ndarray, np.ndarray]] = []
-        fold = np.array([int(np.bitwise_xor.reduce(d)) % folds if len(d) else 0 for d in docs], dtype=np.int64)
+        fold = np.array([fold_of(d, folds) for d in docs], dtype=np.int64) if fold is None else fold
         earlier = np.zeros((len(docs), 0))
-        for name, y in labels.items():
-            own = informative(docs, y, most_words, least_z) if len(docs) else np.zeros(0, dtype=np.uint64)
-            x = np.hstack([self.presence(docs, own), earlier]).astype(np.float32)
-            self.models.append((own, fit(x, y) if len(docs) else np.zeros(1 + x.shape[1])))
+
+        def learn(rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            own = [docs[k] for k in rows]
+            words = informative(own, y[rows], most_words, least_z) if own else np.zeros(0, dtype=np.uint64)
+            x = np.hstack([self.presence(own, words), earlier[rows]]).astype(np.float32)
+            return words, fit(x, y[rows]) if own else np.zeros(1 + x.shape[1])
+
+        for y in labels.values():
+            self.models.append(learn(np.arange(len(docs)), y))
             unseen = np.zeros(len(docs))
             for k in np.unique(fold):
-                rest = fold != k
-                unseen[~rest] = probability(fit(x[rest], y[rest]), x[~rest]) if rest.any() else 0.5
+                out, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+                if len(rest):
+                    words, w = learn(rest, y)
+                    unseen[out] = probability(w, np.hstack([self.presence([docs[i] for i in out], words), earlier[out]]).astype(np.float32))
+                else:
+                    unseen[out] = 0.5
             earlier = np.hstack([earlier, unseen[:, None]])
         self.all_words = np.unique(np.concatenate([w for w, _ in self.models] or [np.zeros(0, dtype=np.uint64)]))
 
@@ -112,32 +136,71 @@ class Chain:
         return out
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tokens.pieces(batch):
+            sets = _words(tokens.texts(part))
+            names = [n for n in part.schema.names if n != "text"]
+            made = [pa.array([fold_of(s, FOLDS) for s in sets], pa.int64()), pa.array([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], *made], names=[*names, "fold", "same", "words"])
+
+
+def _candidates(rows: DataFrame, categories: int) -> DataFrame:
+    """``word``: those that any model of the chain may choose, counted over all rows.
+
+    For each category, all rows and all but each fold, twice as many as are chosen
+    there, so that the order of equally telling words is left to the one who chooses.
+    """
+    one = lambda test: F.sum(F.when(test, 1).otherwise(0))
+    cells = [(c, f, v, (F.col(f"y{c}") == v) & (F.col("fold") == f)) for c in range(categories) for f in range(FOLDS) for v in (0, 1)]
+    total = rows.agg(*[one(t).alias(f"n{c}_{f}_{v}") for c, f, v, t in cells]).first()
+    counts = rows.select(*[f"y{c}" for c in range(categories)], "fold", F.explode("words").alias("word")).groupBy("word").agg(*[one(t).alias(f"n{c}_{f}_{v}") for c, f, v, t in cells])
+
+    def odds(c: int, v: int, out: int) -> tuple[Column, Column]:
+        use = [f for f in range(FOLDS) if f != out]
+        have, of = sum((F.col(f"n{c}_{f}_{v}") for f in use), F.lit(0)), sum(total[f"n{c}_{f}_{v}"] or 0 for f in use)
+        return F.log((have + 0.5) / (of - have + 0.5)), have + 0.5
+
+    told = []
+    for c in range(categories):
+        for out in range(-1, FOLDS):
+            (yes, a), (no, b) = odds(c, 1, out), odds(c, 0, out)
+            told.append(F.struct(F.lit(c * (FOLDS + 1) + out).alias("model"), F.abs((yes - no) / F.sqrt(1 / a + 1 / b)).alias("z")))
+    ranked = counts.select("word", F.explode(F.array(*told)).alias("t")).select("word", "t.*").filter(F.col("z") >= LEAST_Z - 1e-6)
+    first = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("z"), "word"))
+    return ranked.withColumn("k", first).filter(F.col("k") <= 2 * MOST_WORDS).select("word").distinct()
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 8000) -> Chain:
     """Fit on at most ``sample_rows`` labelled documents, those with the smallest hash of their id.
 
-    Labels with a null are not used; texts that repeat are learnt from once.
+    * Labels with a null are not used; of labels that share an id the smallest are.
+    * Documents with the same distinct words are learnt from once, that with the
+      smallest id and labels; so rows that repeat an id add nothing beyond the
+      sample but other texts. Whole texts are read, whatever their length.
+    * Other columns, whatever their names, are not read. Without labelled documents
+      the chain knows nothing.
     """
-    whole = labels.select(F.col(id_col).cast("long").alias("i"), *[F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(categories)]).dropna()
-    sample = docs.sparkSession.createDataFrame(whole.orderBy(F.xxhash64("i"), "i", *[f"y{k}" for k in range(len(categories))]).limit(sample_rows).collect(), whole.schema)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tokens.pieces(batch):
-                sets = _words(tokens.texts(part))
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in part.schema.names if n != "text"], pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=[*[n for n in part.schema.names if n != "text"], "words"])
-
-    own = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
-    joined = own.join(F.broadcast(sample), F.col("d") == F.col("i")).select("d", *[f"y{k}" for k in range(len(categories))], normalise(F.col("t")).alias("text"))  # sample_rows rows
-    schema = ", ".join(["d long", *[f"y{k} int" for k in range(len(categories))], "words array<long>"])
-    seen: dict[bytes, tuple] = {}
-    for r in joined.mapInArrow(features, schema).collect():
-        words = np.array(r.words, dtype=np.int64).view(np.uint64)
-        key = words.tobytes()
-        if key not in seen or r.d < seen[key][0]:
-            seen[key] = (r.d, words, [r[f"y{k}"] for k in range(len(categories))])
-    rows = [seen[k] for k in sorted(seen)]
-    y = np.array([r[2] for r in rows], dtype=np.float64).reshape(-1, len(categories))
-    return Chain([r[1] for r in rows], {c: y[:, k] for k, c in enumerate(categories)})
+    ys = [f"y{k}" for k in range(len(categories))]
+    whole = labels.select(long_id(labels, id_col).alias("i"), *[F.col(c).cast("int").alias(y) for c, y in zip(categories, ys, strict=True)]).dropna()
+    first = {}
+    for r in whole.orderBy(F.xxhash64("i"), "i", *ys).limit(sample_rows).collect():  # sample_rows rows
+        first.setdefault(r.i, r)
+    sample = docs.sparkSession.createDataFrame(list(first.values()), whole.schema)
+
+    own = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("t"))
+    joined = own.join(F.broadcast(sample), F.col("d") == F.col("i")).select("d", *ys, normalise(F.col("t")).alias("text"))  # sample_rows rows
+    seen = joined.mapInArrow(_features, ", ".join(["d long", *[f"{y} int" for y in ys], "fold long, same long, words array<long>"]))
+    # One of the rows with the same words, and as many of them as the sample has ids.
+    each = seen.groupBy("same").agg(F.min_by(F.struct("d", *ys, "fold", "words"), F.struct("d", *ys)).alias("r")).select("same", "r.*")
+    rows = scratch.table(each.orderBy(F.xxhash64("d"), "d", "same").limit(sample_rows), "labelled")
+    chosen = np.array([r.word for r in _candidates(rows, len(ys)).collect()], dtype=np.int64)  # 2 * MOST_WORDS for each model
+    used = F.array_intersect("words", F.lit(chosen)) if len(chosen) else F.array().cast("array<long>")
+    found = sorted(rows.select("d", "same", *ys, "fold", used.alias("words")).collect(), key=lambda r: r.same)
+    scratch.drop_table(rows)
+    y = np.array([[r[k] for k in ys] for r in found], dtype=np.float64).reshape(-1, len(categories))
+    sets = [np.sort(np.array(r.words, dtype=np.int64).view(np.uint64)) for r in found]
+    return Chain(sets, {c: y[:, k] for k, c in enumerate(categories)}, fold=np.array([r.fold for r in found], dtype=np.int64))
 
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +208,8 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     Words are lower-case, ASCII punctuation separates them; null text is empty and
     gets the intercepts' probabilities. Without labelled documents every
-    probability is a half and nothing is flagged.
+    probability is a half and nothing is flagged. Repeated rows and ids give rows of
+    their own; other columns are not read; an empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
@@ -156,6 +220,6 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
                 p = sent.value.predict(tokens.texts(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(p[:, k]) for k in range(p.shape[1])]], names=["doc_id", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalise(F.col(text_col)).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), normalise(F.col(text_col)).alias("text"))
     scored = rows.mapInArrow(run, ", ".join(["doc_id long", *[f"{n} double" for n in names]]))
     return scored.withColumn(f"is_{chain.categories[-1]}", F.col(names[-1]) > 0.5)

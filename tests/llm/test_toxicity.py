@@ -74,3 +74,75 @@ def test_oddities(spark, odd_docs, no_docs):
     assert toxicity.predict(odd_docs, chain).count() == odd_docs.count()
     assert toxicity.predict(no_docs, chain).count() == 0
     assert toxicity.predict(no_docs, toxicity.train(no_docs, some)).count() == 0
+
+
+def held_out_figures(spark, sf):
+    """Recall and precision on labels that were not learnt from."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    learnt = labels.filter("doc_id % 2 = 0")
+    rows = {r.doc_id: r.is_toxic for r in toxicity.predict(docs, toxicity.train(docs, learnt)).collect()}
+    unseen = [(rows[r.doc_id], bool(r.toxic)) for r in labels.filter("doc_id % 2 = 1").collect()]
+    hit = sum(a and b for a, b in unseen)
+    return hit / sum(b for _, b in unseen), hit / max(1, sum(a for a, _ in unseen))
+
+
+def test_recall_and_precision_on_held_out_labels(spark):
+    recall, precision = held_out_figures(spark, "/root/testdata/sf0.1")
+    assert recall > 0.75 and precision > 0.95
+
+
+def brute_chain(docs, ys, folds, most, least_z):
+    """The chain over sets of words, one category after the other, with Newton's method."""
+
+    def newton(x, y):
+        x = np.hstack([np.ones((len(x), 1)), x])
+        w, ridge = np.zeros(x.shape[1]), 0.3 * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-x @ w))
+            w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(len(w)), x.T @ (p - y) + ridge @ w)
+        return w
+
+    def learn(rows, y, earlier):
+        score = {}
+        for word in {w for i in rows for w in docs[i]}:
+            a, b = (sum(word in docs[i] for i in rows if y[i] == v) for v in (1, 0))
+            na, nb = (sum(y[i] == v for i in rows) for v in (1, 0))
+            score[word] = abs(np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        words = sorted(w for w in sorted(score, key=lambda w: -score[w])[:most] if score[w] >= least_z)
+        return words, newton(np.array([[w in docs[i] for w in words] + list(earlier[i]) for i in rows], dtype=float), y[rows])
+
+    def ask(model, i, earlier):
+        words, w = model
+        return 1 / (1 + np.exp(-(w[0] + np.array([x in docs[i] for x in words] + list(earlier[i]), dtype=float) @ w[1:])))
+
+    fold = [int(np.bitwise_xor.reduce(np.array(sorted(d), dtype=np.uint64)) % np.uint64(folds)) for d in docs]
+    train, real = [[] for _ in docs], [[] for _ in docs]
+    for y in ys:
+        everything = np.arange(len(docs))
+        model = learn(everything, y, train)
+        unseen = {}
+        for k in set(fold):
+            part = learn(np.array([i for i in everything if fold[i] != k]), y, train)
+            unseen |= {i: ask(part, i, train) for i in everything if fold[i] == k}
+        for i, p in [(i, ask(model, i, real)) for i in everything]:
+            real[i].append(p)
+        for i in everything:
+            train[i].append(unseen[i])
+    return np.array(real)
+
+
+def test_the_chain_against_brute_force(spark):
+    docs, labels, truth = made(spark, n=160)
+    rows = toxicity.predict(docs, toxicity.train(docs, labels)).orderBy("doc_id").collect()
+    sets = [{int(h) for h in toxicity.tokens.hashes(r.text.lower().replace(",", " ").replace("!", " ").replace("#", " ").encode().split())} for r in docs.orderBy("doc_id").collect()]
+    want = brute_chain(sets, [np.array([t[k] for t in truth]) for k in (1, 2)], toxicity.FOLDS, toxicity.MOST_WORDS, toxicity.LEAST_Z)
+    assert np.allclose([[r.p_quality, r.p_toxic] for r in rows], want, atol=0.02)
+
+
+def test_the_sample_is_bounded_and_repeats_add_nothing(spark):
+    docs, labels, _ = made(spark, n=300)
+    once = toxicity.train(docs, labels, sample_rows=200)
+    again = toxicity.train(docs.union(docs).union(docs), labels.union(labels), sample_rows=400)
+    assert [len(w) for w, _ in once.models] == [len(w) for w, _ in again.models]
+    p, q = ([r.p_toxic for r in toxicity.predict(docs, c).orderBy("doc_id").collect()] for c in (once, again))
+    assert np.allclose(p, q, atol=1e-6)
