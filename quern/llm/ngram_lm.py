@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from quern import scratch
 from quern.llm import tokens
+from quern.llm.columns import long_id
 
 #: The end of a text, and what stands before its first word: no word is empty.
 END = b""
@@ -42,6 +43,33 @@ ENTRY_BITS = 12
 _ODD, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bits of an n-gram's hash beyond those that name its segment.
+KEY_BITS, KEY_BYTES = 40, 5
+
+
+def keyed(h: np.ndarray, segments: int) -> np.ndarray:
+    """Hashes cut to the bits that tell n-grams apart: those of the segment and ``KEY_BITS`` more."""
+    low = np.uint64(max(0, 65 - segments.bit_length() - KEY_BITS))
+    return h >> low << low
+
+
+def packed(h: np.ndarray, segments: int) -> bytes:
+    """Cut hashes of one segment in ``KEY_BYTES`` each."""
+    low = np.uint64(max(0, 65 - segments.bit_length() - KEY_BITS))
+    own = (h >> low) & np.uint64(2**KEY_BITS - 1)
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpacked(data: bytes, segment: int, segments: int) -> np.ndarray:
+    """The cut hashes of a segment that :func:`packed` wrote."""
+    low = np.uint64(max(0, 65 - segments.bit_length() - KEY_BITS))
+    own = np.zeros((len(data) // KEY_BYTES, 8), dtype=np.uint8)
+    own[:, :KEY_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEY_BYTES)
+    h = own.view("<u8").ravel() << low
+    first = np.uint64(65 - segments.bit_length())
+    return h | (np.uint64(segment) << first) if segments > 1 else h
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """1 + floor(log2 count)."""
     return np.frexp(counts.astype(np.float64))[1]
@@ -94,6 +122,7 @@ class Filter:
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """The counts that the filter holds for n-grams."""
+        h = keyed(h, len(self.words))
         s = segment_of(h, len(self.words))
         return level_count(probe(h, self.bits, self.words[s], self.starts[s], self.highest))
 
@@ -131,52 +160,72 @@ def _count_words(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iter
     yield flush()
 
 
+#: N-grams of a segment: their packed hashes, in order, and their counts.
+COUNTED = "segment int, keys binary, counts binary"
+
+
+def _by_segment(h: np.ndarray, c: np.ndarray, segments: int) -> pa.RecordBatch:
+    """Distinct cut hashes in order, with their counts, a row a segment."""
+    of, at = np.unique(segment_of(h, segments), return_index=True)
+    keys = [packed(x, segments) for x in np.split(h, at[1:])] if len(h) else []
+    counts = [x.astype("<i8").tobytes() for x in np.split(c, at[1:])] if len(h) else []
+    return pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["segment", "keys", "counts"])
+
+
 def _count_pairs(batches: Iterator[pa.RecordBatch], segments: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush() -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
-        for a in range(0, len(h), 500_000):
-            own = h[a : a + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(own, segments).astype(np.int32)), pa.array(own.astype(np.int64)), pa.array(c[a : a + 500_000].astype(np.int64))], names=["segment", "h", "c"])
         held.clear()
+        return _by_segment(h, c, segments)
 
     for batch in batches:
         for part in tokens.pieces(batch):
-            held.append(_pairs(tokens.hashes(_sequence(tokens.texts(part))[0])))
+            held.append(keyed(_pairs(tokens.hashes(_sequence(tokens.texts(part))[0])), segments))
             if sum(map(len, held)) > most:
-                yield from flush()
+                yield flush()
     if held:
-        yield from flush()
+        yield flush()
 
 
 def _hash_words(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = np.array([xxhash.xxh64_intdigest(w) for w in batch.column("token").to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(segment_of(h, segments).astype(np.int32)), pa.array(h.astype(np.int64)), batch.column("c")], names=["segment", "h", "c"])
+        h = keyed(np.array([xxhash.xxh64_intdigest(w) for w in batch.column("token").to_pylist()], dtype=np.uint64), segments)
+        order = np.argsort(h)
+        yield _by_segment(h[order], batch.column("c").to_numpy(zero_copy_only=False)[order], segments)
 
 
 STORED = "segment int, words long, highest int, bits binary"
 
 
 def _build(batches: Iterator[pa.RecordBatch], segments: int, words: int | None) -> Iterator[pa.RecordBatch]:
-    """Segments of the filter from whole segments' n-grams, each of ``words`` or as its entries need."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        q = levels(batch.column("c").to_numpy(zero_copy_only=False)).astype(np.int8)
-        of = segment_of(h, segments)
-        for s in np.unique(of).tolist():
-            held.setdefault(s, []).append((h[of == s], q[of == s]))
-    for s in list(held):
-        h, q = (np.concatenate(x) for x in zip(*held.pop(s), strict=True))
+    """Segments of the filter from their n-grams, segment after segment, each of ``words`` or as its entries need."""
+
+    def made(s: int, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        h, at = np.unique(np.concatenate([unpacked(k, s, segments) for k in keys]), return_inverse=True)
+        n = np.zeros(len(h), dtype=np.int64)
+        np.add.at(n, at, np.frombuffer(b"".join(counts), dtype="<i8"))
+        q = levels(n).astype(np.int8)
         size = words or -(-int(q.sum(dtype=np.int64)) * ENTRY_BITS // 64)
         own = np.zeros(size, dtype=np.uint64)
         highest = int(q.max())
         for k in range(1, highest + 1):
-            at, mask = place(h[q >= k], k, size)
-            np.bitwise_or.at(own, at, mask)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([size], pa.int64()), pa.array([highest], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["segment", "words", "highest", "bits"])
+            where, mask = place(h[q >= k], k, size)
+            np.bitwise_or.at(own, where, mask)
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([size], pa.int64()), pa.array([highest], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["segment", "words", "highest", "bits"])
+
+    now, keys, counts = None, [], []
+    for batch in batches:
+        for s, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if s != now and keys:
+                yield made(now, keys, counts)
+                keys, counts = [], []
+            now = s
+            keys.append(k)
+            counts.append(c)
+    if keys:
+        yield made(now, keys, counts)
 
 
 def is_held_out(id_col: Column) -> Column:
@@ -198,12 +247,10 @@ def train(texts: DataFrame, text_col: str = "text", filter_bits: int | None = No
     head = dict(zip(frequent.column("token").to_pylist(), frequent.column("c").to_pylist(), strict=True))
     del frequent
     segments = max(SEGMENTS, 1 << (total // SEGMENT_TOKENS).bit_length())
-    hashed = "segment int, h long, c long"
-    ngrams = rows.mapInArrow(lambda b: _count_pairs(b, segments), hashed).unionByName(words.mapInArrow(lambda b: _hash_words(b, segments), hashed))
+    ngrams = rows.mapInArrow(lambda b: _count_pairs(b, segments), COUNTED).unionByName(words.mapInArrow(lambda b: _hash_words(b, segments), COUNTED))
     ngrams = ngrams.repartition("segment") if segments == SEGMENTS else ngrams.repartition(segments, "segment")
-    counted = ngrams.groupBy("segment", "h").agg(F.sum("c").alias("c")).select("h", "c")
     fixed = filter_bits and max(1, filter_bits // 64 // segments)
-    stored = scratch.table(counted.mapInArrow(lambda b: _build(b, segments, fixed), STORED), "segments")
+    stored = scratch.table(ngrams.sortWithinPartitions("segment").mapInArrow(lambda b: _build(b, segments, fixed), STORED), "segments")
     size, highest = stored.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("highest"), F.lit(0))).first()
     sizes, bits = np.ones(segments, dtype=np.int64), None
     if size * 64 <= broadcast_bits:
@@ -284,9 +331,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece, part.column("row"), part.column("doc_id"), part.column("text")], names=["piece", "row", "doc_id", "text"])
 
 
-def _probes(part: pa.RecordBatch) -> np.ndarray:
+def _probes(part: pa.RecordBatch, segments: int) -> np.ndarray:
     _, _, h, _, pairs = _coded(part)
-    return np.unique(np.concatenate([h, pairs]))
+    return np.unique(keyed(np.concatenate([h, pairs]), segments))
 
 
 def _ask(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
@@ -294,10 +341,10 @@ def _ask(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Record
 
     def flush() -> pa.RecordBatch:
         part = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        h = _probes(part)
+        h = _probes(part, segments)
         of, at = np.unique(segment_of(h, segments), return_index=True)
         n = len(of)
-        return _sent([part.column("piece")[0].as_py()] * n, [part.column("row")[0].as_py()] * n, of.tolist(), [x.tobytes() for x in np.split(h, at[1:])])
+        return _sent([part.column("piece")[0].as_py()] * n, [part.column("row")[0].as_py()] * n, of.tolist(), [packed(x, segments) for x in np.split(h, at[1:])])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -313,7 +360,7 @@ def _ask(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Record
         yield flush()
 
 
-def _answer(batches: Iterator[pa.RecordBatch], highest: int) -> Iterator[pa.RecordBatch]:
+def _answer(batches: Iterator[pa.RecordBatch], segments: int, highest: int) -> Iterator[pa.RecordBatch]:
     """Levels of the n-grams sent to each segment, whose bits come first; a segment without bits has none."""
     at, bits = -1, None
     for batch in batches:
@@ -325,7 +372,7 @@ def _answer(batches: Iterator[pa.RecordBatch], highest: int) -> Iterator[pa.Reco
             if p is None:
                 bits = np.frombuffer(d, dtype=np.uint64)
                 continue
-            h = np.frombuffer(d, dtype=np.uint64)
+            h = unpacked(d, s, segments)
             n = np.full(len(h), 0 if bits is None else len(bits), dtype=np.int64)
             out.append((np.zeros(len(h), dtype=np.int8) if bits is None else probe(h, bits, n, np.zeros(len(h), dtype=np.int64), highest)).tobytes())
         asked = [k for k, p in enumerate(row) if p is not None]
@@ -337,8 +384,9 @@ def _score_runs(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterator[pa
 
     def flush() -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        h, level = _probes(part), np.frombuffer(b"".join(answers), dtype=np.int8)
-        yield from _score_piece(part, model, lambda x: level_count(level[np.searchsorted(h, x)]))
+        segments = len(model.words)
+        h, level = _probes(part, segments), np.frombuffer(b"".join(answers), dtype=np.int8)
+        yield from _score_piece(part, model, lambda x: level_count(level[np.searchsorted(h, keyed(x, segments))]))
 
     answers: list[bytes] = []
     rows: list[pa.RecordBatch] = []
@@ -361,11 +409,11 @@ def _score_runs(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterator[pa
 def _score_by_segments(rows: DataFrame, model: Filter, sent: Broadcast[Filter]) -> DataFrame:
     """What :func:`_score` makes, with a filter that no task can hold."""
     segments, highest = len(model.words), model.highest
-    cut = scratch.table(rows.mapInArrow(_cut, "piece long, row long, doc_id long, text string"), "pieces")
+    cut = scratch.table(rows.mapInArrow(_cut, "piece long, row long, doc_id long, text string"), "pieces", codec="zstd")
     null = [F.lit(None).cast(t).alias(n) for n, t in (("doc_id", "long"), ("text", "string"))]
     bits = model.stored.select(F.lit(None).cast("long").alias("piece"), F.lit(None).cast("long").alias("row"), "segment", F.col("bits").alias("data"), *null)
     asked = cut.mapInArrow(lambda b: _ask(b, segments), SENT).unionByName(bits).repartition("segment").sortWithinPartitions("segment", F.asc_nulls_first("row"))
-    found = asked.mapInArrow(lambda b: _answer(b, highest), SENT)
+    found = asked.mapInArrow(lambda b: _answer(b, segments, highest), SENT)
     own = cut.select("piece", "row", F.lit(_LAST).alias("segment"), F.lit(None).cast("binary").alias("data"), "doc_id", "text")
     together = found.unionByName(own).repartition("piece").sortWithinPartitions("piece", "row", "segment")
     return together.mapInArrow(lambda b: _score_runs(b, sent.value), SCORES)
@@ -382,8 +430,9 @@ def score(docs: DataFrame, model: Filter, words: DataFrame, id_col: str = "doc_i
     * Repeated and null ids are rows like any other. With nothing learnt, every
       word is unknown and both scores are those of the empty corpus.
     """
+    scratch.settle(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = _score_by_segments(rows, model, sent) if model.bits is None else rows.mapInArrow(lambda b: _score(b, sent.value), SCORES)
     made = scratch.table(scored, "scores")
     whole = made.filter("token IS NULL").select("row", "doc_id", "n_tokens", "known", "base", "score")
