@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
+from quern.llm.columns import long_id
 
 #: The characters that count as spaces.
 PUNCTUATION = string.punctuation
@@ -86,7 +87,7 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, size: int, threshold: float) -> Iterator[Index]:
-    items = benchmark.select(F.col(id_col).alias("i"), normalise(F.col(text_col)).cast("binary").alias("t"))
+    items = benchmark.select(F.col(id_col).alias("i"), normalise(F.col(text_col)).cast("binary").alias("t")).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for k in range(blocks):
@@ -118,7 +119,7 @@ def find_leaks(
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, item_shingles long, shared long, containment double"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalise(F.col(text_col)).alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), normalise(F.col(text_col)).alias("text"))
     found = None
     for index in _blocks(benchmark, item_id_col, item_text_col, block_bytes, shingle, threshold):
         sent = spark.sparkContext.broadcast(index)
@@ -137,7 +138,15 @@ def find_leaks(
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, threshold: float = 0.8, block_bytes: int = 8 << 20) -> DataFrame:
-    """The documents that contain no item, rows and columns as they are."""
+    """The documents that contain no item, rows and columns as they are.
+
+    * What contains an item is as in :func:`find_leaks`; so null and empty texts, and
+      those without words, stay, and a text of exactly the threshold goes.
+    * Repeated rows stay or go together; ids are not read. Columns keep their names
+      and values, whatever they are called. An empty table stays empty, and without
+      items every document stays.
+    * Whole texts are searched, in pieces of bounded memory.
+    """
     spark, names = docs.sparkSession, docs.columns
     key = "_normal"
     while key in names:

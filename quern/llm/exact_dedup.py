@@ -38,6 +38,7 @@ def mark_duplicates(
       other; a group of null ids only has a null ``keep_id``.
     * Rows that repeat an id count in ``group_size`` and share ``kept``.
     * Other columns, whatever their names, are not read.
+    * Texts of any length are compared whole; an empty table gives none.
 
     The text is shuffled once, combined before; the join back to the rows moves
     only the id and the hashes, and adaptive execution splits a hot group there.
@@ -73,13 +74,16 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows that stay, with all their columns: one per distinct text, that with the smallest id.
 
     Null text counts as empty when compared and comes out as it came in. Rows
-    that share the id as well as the text are ordered by their other orderable
-    columns, so one of them stays and always the same.
+    that share the id as well as the text are ordered by their other columns, those
+    that have no order by their JSON, so one of them stays and always the same.
+    Texts of any length are compared whole; columns keep their names, whatever they
+    are; an empty table stays empty.
     """
     names = docs.columns
     whole = F.struct(*[F.col(f"`{n}`").alias(f"c{k}") for k, n in enumerate(names) if n != text_col], F.col(text_col).isNull().alias("was_null"))
-    plain = [f.name for f in docs.schema if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant", "array", "struct")]
-    order = F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col(text_col).isNull().alias("t"), *[F.col(f"`{n}`").alias(f"o{k}") for k, n in enumerate(plain)])
+    nested = ("map", "variant", "array", "struct")
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) if f.dataType.typeName() in nested else F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col)]
+    order = F.struct(F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i"), F.col(text_col).isNull().alias("t"), *[c.alias(f"o{k}") for k, c in enumerate(plain)])
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = (
         docs.select(text.alias("text"), whole.alias("whole"), order.alias("order"))

@@ -166,7 +166,8 @@ def interleave(
       repeats after as many slots; the bound then holds for the rounded weights,
       anew whenever a source ends.
     * More than ``max_sources`` sources are an error, where it is given.
-    * Columns named like the two new ones are replaced.
+    * Columns named like the two new ones are replaced; others may have any names.
+    * Texts and other columns of any length travel once. An empty table stays empty.
 
     Numbering is in two steps, by ranges of the hash, so a source with a third of
     all rows is spread over as many tasks as the data need.

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from quern import scratch
 from quern.llm import tokens
+from quern.llm.columns import long_id
 from quern.operators.graph import connected_components
 
 CHUNKS, WIDTH = 14, 8
@@ -234,8 +235,10 @@ def near_duplicates(
     * Tables of keys and of documents to confirm are sent to all tasks up to
       ``broadcast_rows``, and joined by a shuffle beyond.
     * ``percent`` below 80 lowers the share of pairs that the index finds.
+    * Ids are whole numbers. Other columns, whatever their names, are not read;
+      texts of any length are read whole; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.table(rows.mapInArrow(lambda b: _sketch(b, shingle), SKETCH), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND n > 0")
     classes = scratch.table(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in _BITS]), "classes")
