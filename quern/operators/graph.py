@@ -276,14 +276,17 @@ def chains(g: Graph) -> DataFrame:
     return at.select("id", F.col("up").alias("chain"), F.col("d").alias("idx"))
 
 
-def slice_chains(g: Graph, thresh: float = 0.5, rounds: int = 20) -> Graph:
+def slice_chains(g: Graph, thresh: float = 0.5) -> Graph:
     """Cuts each chain at its worst edge, again and again, until none is over ``thresh``.
 
+    A round cuts every chain that has such an edge, so there are as many as the
+    most cuts that follow from one another.
+
     An edge is as bad as the share of its bits that the difference between the
     means of GC and coverage before it and after it takes away.
     """
     edges = g.edges
-    for _ in range(rounds):
+    while True:
         h = Graph(g.nodes, edges)
         placed = chains(h).join(g.nodes.select("id", "seq_len", "pct_gc", "cov"), "id")
         by = Window.partitionBy("chain").orderBy("idx")
@@ -367,11 +370,20 @@ def find_sequences(nodes: DataFrame, sequences: list[str]) -> DataFrame:
     return nodes.select("id", F.explode(hit).alias("pattern"))
 
 
-def relink(g: Graph, ids: DataFrame, thresh: float = 0.0, existing: bool = False) -> Graph:
+def relink(g: Graph, ids: DataFrame | None = None, thresh: float = 0.0, existing: bool = False, radius: int = 0, complete: bool = False, ends: bool = False) -> Graph:
     """Brings back removed edges of at least ``thresh`` bits that touch the given nodes, and the nodes at their ends.
 
-    With ``existing`` only edges between selected nodes come back.
+    * ``ids`` of None are all selected nodes; ``ends`` adds the heads and tails of
+      chains to them, or stands for them alone where no ids are given.
+    * ``radius`` widens them by as many steps over selected edges first.
+    * With ``existing`` only edges between selected nodes come back; with ``complete``
+      so do, after that, all edges between nodes that are selected by then.
     """
+    if ends:
+        tips = linear_ends(g).select("id")
+        ids = tips if ids is None else ids.select("id").unionByName(tips)
+    ids = g.live_nodes().select("id") if ids is None else ids
+    ids = neighbourhood(g, ids, radius) if radius else ids
     around = ids.select(F.col("id").alias("k")).distinct()
     touch = g.edges.filter((F.col("state") == REMOVED) & (F.col("bits") >= thresh))
     hit = touch.join(around, F.col("n1") == F.col("k"), "left_semi").unionByName(touch.join(around, F.col("n2") == F.col("k"), "left_semi")).select("n1", "n2").distinct()
@@ -381,9 +393,12 @@ def relink(g: Graph, ids: DataFrame, thresh: float = 0.0, existing: bool = False
     hit = scratch.table(hit, "relinked")
     mark = hit.select(F.col("n1").alias("h1"), F.col("n2").alias("h2"), F.lit(True).alias("back"))
     edges = _where(g.edges.join(mark, (F.col("n1") == F.col("h1")) & (F.col("n2") == F.col("h2")), "left"), F.col("back"), SELECTED).drop("h1", "h2", "back")
-    ends = hit.select(F.col("n1").alias("k")).unionByName(hit.select(F.col("n2").alias("k"))).distinct().withColumn("back", F.lit(True))
-    nodes = _where(g.nodes.join(ends, F.col("id") == F.col("k"), "left"), F.col("back"), SELECTED).drop("k", "back")
-    return replace(g, nodes=nodes, edges=edges, components=None)
+    came = hit.select(F.col("n1").alias("k")).unionByName(hit.select(F.col("n2").alias("k"))).distinct().withColumn("back", F.lit(True))
+    nodes = _where(g.nodes.join(came, F.col("id") == F.col("k"), "left"), F.col("back"), SELECTED).drop("k", "back")
+    back = replace(g, nodes=nodes, edges=edges, components=None)
+    if complete and not existing:
+        back = relink(back, None, thresh, existing=True)
+    return back
 
 
 def edit(g: Graph, add_nodes: DataFrame | None = None, add_edges: DataFrame | None = None, rem_nodes: list | None = None, rem_edges: list[tuple] | None = None) -> Graph:
@@ -456,6 +471,13 @@ def shared_neighbours(edges: DataFrame, thresh: float = 0.0) -> DataFrame:
     return left.join(right, "via").filter("a < b").groupBy("a", "b").agg(F.max_by("via", F.struct(F.least("ba", "bb"), F.col("via"))).alias("via"), F.max(F.least("ba", "bb")).alias("bits"))
 
 
+def states(g: Graph) -> DataFrame:
+    """``what, a, b, state`` of every node and edge; a node has no ``b``."""
+    kind = dict(g.nodes.dtypes)["id"]
+    nodes = g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), "state")
+    return nodes.unionByName(g.edges.select(F.lit("edge").alias("what"), F.col("n1").alias("a"), F.col("n2").alias("b"), "state"))
+
+
 def scaffold_links(g: Graph, scaffolds: DataFrame, thresh: float = 1000.0) -> DataFrame:
     """Links of at least ``thresh`` bits, of any state, between ends of different scaffolds (``scaffold_id, nodes``)."""
     ends = scaffolds.select("scaffold_id", F.explode(F.array(F.struct(F.element_at("nodes", 1).alias("id"), F.lit("head").alias("end")), F.struct(F.element_at("nodes", -1).alias("id"), F.lit("tail").alias("end")))).alias("e")).select("scaffold_id", "e.*").distinct()

@@ -40,10 +40,14 @@ def split_pairs(reads: DataFrame) -> DataFrame:
 
 
 def sample(reads: DataFrame, fraction: float, seed: int = 12345, key: str = "pair_id") -> DataFrame:
-    """A reproducible share of the pairs; mates stay together. Above 1, ``fraction`` is a number of reads."""
+    """A reproducible share of the pairs; mates stay together. Above 1, ``fraction`` is a number of reads.
+
+    A pair stays if the first 32 bits of the MD5 of ``seed:key`` are among that share of all.
+    """
     if fraction > 1:
         fraction = min(1.0, fraction / max(1, reads.count()))
-    return reads.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < round(fraction * 1_000_000))
+    drawn = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit(8)), 16, 10).cast("long")
+    return reads.filter(drawn < round(fraction * 2**32))
 
 
 def interleave_mates(reads: DataFrame, color: bool = False, reverse: bool | None = None) -> DataFrame:

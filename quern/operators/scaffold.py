@@ -17,18 +17,20 @@ from quern.functions import sequence as S
 from quern.operators import graph as G
 
 
-def special_tree(nodes: list[tuple], edges: list[tuple], inner: dict, least: float = 0.02) -> list[tuple]:
+def special_tree(nodes: list[tuple], edges: list[tuple], inner: dict, least: float = 0.02, strong: dict | None = None) -> list[tuple]:
     """The links kept of one component: Prim's order from the longest node, without dead ends' surplus.
 
     A link to a node that is seen but not added is followed only if it beats the
     best link to that node so far. A node from which nothing new is reached, or
-    only nodes whose internal bits are little beside their best link, keeps no
-    other link.
+    only seen nodes whose internal bits are little beside those of their own best
+    link (``strong``, or else the weights), keeps no other link.
     """
     at: dict = {}
     for a, b, w in edges:
         at.setdefault(a, []).append((b, w))
         at.setdefault(b, []).append((a, w))
+    if strong is None:
+        strong = {m: max(w for _, w in links) for m, links in at.items()}
     start = max(nodes, key=lambda n: (n[1], -n[0] if isinstance(n[0], (int, float)) else 0))[0]
     best, added, kept, queue = {}, set(), [], [(0.0, start, None)]
     while queue:
@@ -39,7 +41,7 @@ def special_tree(nodes: list[tuple], edges: list[tuple], inner: dict, least: flo
         if via is not None:
             kept.append((via, n, -w))
         ahead = [(m, x) for m, x in at.get(n, []) if m not in added]
-        fresh = any(m not in best or inner.get(m, 0.0) / best[m] > least for m, _ in ahead)
+        fresh = any(m not in best or inner.get(m, 0.0) > least * strong[m] for m, _ in ahead)
         if not fresh:
             continue
         for m, x in ahead:
@@ -55,14 +57,18 @@ def special_spanning_tree(g: G.Graph) -> G.Graph:
     kind = dict(g.nodes.dtypes)["id"]
     inner = F.col("int_bits") if "int_bits" in g.nodes.columns else F.lit(0.0)
     bits = g.nodes.select("id", inner.cast("double").alias("inner"))
-    n = g.components.join(bits, "id").select("component", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(None).cast("double").alias("w"), F.col("seq_len").cast("double").alias("len"), "inner")
-    e = g.live_edges().join(g.components.select("id", "component"), F.col("n1") == F.col("id")).select("component", F.col("n1").alias("a"), F.col("n2").alias("b"), F.col("score").cast("double").alias("w"), F.lit(None).cast("double").alias("len"), F.lit(None).cast("double").alias("inner"))
+    n = g.components.join(bits, "id").select("component", F.col("id").alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("bits"), F.col("seq_len").cast("double").alias("len"), "inner")
+    e = g.live_edges().join(g.components.select("id", "component"), F.col("n1") == F.col("id")).select("component", F.col("n1").alias("a"), F.col("n2").alias("b"), F.col("score").cast("double").alias("w"), F.col("bits").cast("double").alias("bits"), F.lit(None).cast("double").alias("len"), F.lit(None).cast("double").alias("inner"))
 
     def run(rows):  # noqa: ANN001, ANN202
         import pandas as pd
 
         own, links = rows[rows["w"].isna()], rows[rows["w"].notna()]
-        kept = special_tree(list(zip(own["a"], own["len"], strict=True)), list(zip(links["a"], links["b"], links["w"], strict=True)), dict(zip(own["a"], own["inner"], strict=True)))
+        best: dict = {}
+        for a, b, w, bits in zip(links["a"], links["b"], links["w"], links["bits"], strict=True):
+            best[a], best[b] = max(best.get(a, (w, bits)), (w, bits)), max(best.get(b, (w, bits)), (w, bits))
+        strong = {m: bits for m, (_, bits) in best.items()}
+        kept = special_tree(list(zip(own["a"], own["len"], strict=True)), list(zip(links["a"], links["b"], links["w"], strict=True)), dict(zip(own["a"], own["inner"], strict=True)), strong=strong)
         return pd.DataFrame([(min(a, b), max(a, b)) for a, b, _ in kept], columns=["ka", "kb"])
 
     kept = scratch.table(n.unionByName(e).groupBy("component").applyInPandas(run, f"ka {kind}, kb {kind}").withColumn("kept", F.lit(True)), "tree")

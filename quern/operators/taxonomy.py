@@ -25,11 +25,15 @@ def branch_lengths(taxa: DataFrame) -> DataFrame:
     return taxa.join(up, F.col("parent") == F.col("p"), "left").withColumn("length", F.coalesce(F.col("level") - F.col("up"), F.lit(0))).drop("p", "up")
 
 
-def lineages(taxa: DataFrame, rounds: int = 64) -> DataFrame:
-    """Adds ``path``: the names from the root to the taxon. A round goes one level down, all taxa of it at once."""
+def lineages(taxa: DataFrame) -> DataFrame:
+    """Adds ``path``: the names from the root to the taxon. A round goes one level down, all taxa of it at once.
+
+    It ends when no taxon is left below; one that no root reaches, being in a
+    circle of parents, has no path and is left out.
+    """
     found = scratch.table(taxa.join(taxa.select(F.col("taxid").alias("p")), F.col("parent") == F.col("p"), "left_anti").select("taxid", F.array("name").alias("path")), "lineage")
     frontier = found
-    for _ in range(rounds):
+    while True:
         up = frontier.select(F.col("taxid").alias("p"), F.col("path").alias("above"))
         frontier = scratch.table(taxa.filter("parent <> taxid").join(up, F.col("parent") == F.col("p")).select("taxid", F.concat("above", F.array("name")).alias("path")), "lineage")
         if frontier.isEmpty():

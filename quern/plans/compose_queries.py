@@ -10,6 +10,10 @@ from quern.operators import taxonomy as T
 from quern.plans import adapters as A
 
 
+#: Columns of the table of scores that are looked at.
+Z_COLUMNS = ["AAAA", "ACGT", "CATG", "GGCC", "TTTT"]
+
+
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.kmer_counts(A.seqs(spark, sf_dir), 4)
 
@@ -18,6 +22,19 @@ def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.z_scores(kmer_counts(spark, sf_dir)).select("id", "kmer", F.round("z", 6).alias("z"))
 
 
+def z_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = C.z_table(C.z_scores(kmer_counts(spark, sf_dir)))
+    return z.select("id", *[F.round(k, 6).alias(k) for k in Z_COLUMNS])
+
+
+def threshold_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of suppliers: by a target from the balance and a length, from a table of nine."""
+    grid = [(t, x, t * 0.5 + x * 0.01) for t in (0.9, 0.95, 0.99) for x in (12.0, 14.0, 18.0)]
+    at = C.threshold_table(grid)
+    rows = A.read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 12 / 100 + 0.88).alias("target"), (F.col("s_suppkey") % 9 + 10.5).alias("log_len"))
+    return rows.select("s_suppkey", F.round(F.udf(at, "double")("target", "log_len"), 9).alias("threshold"))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("k", "z")).select("id", F.format_string("%03d", "k").alias("kmer"), F.col("z").cast("double").alias("z"))
 
@@ -74,7 +91,7 @@ def taxon_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def taxon_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _classified(spark, sf_dir)
     trees = [T.roll_up(rows.filter(F.col("sample") == k)) for k in range(3)]
-    return T.merge_trees(trees[0].unionByName(trees[1]).unionByName(trees[2])).select(F.array_join("node", "/").alias("node"), "num", F.round("pop", 4).alias("pop"))
+    return T.merge_trees(trees[0].unionByName(trees[1]).unionByName(trees[2])).select(F.array_join("node", "/").alias("node"), "num", F.round("pop", 4).alias("pop"), "conf", "w_conf")
 
 
 def taxon_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +122,18 @@ w AS (SELECT id, unnest(list_transform(range(1, length(seq) - 2), lambda i: seq[
 f AS (SELECT id, kmer, count(*) AS n FROM w GROUP BY id, kmer),
 k AS (SELECT id, kmer, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM f UNION ALL SELECT id, reverse(translate(kmer, 'ACGT', 'TGCA')), n FROM f) GROUP BY id, kmer)"""
 
+_ZED = f"""{_KMER},
+b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), t AS (SELECT p.c || q.c || r.c || s.c AS kmer FROM b p, b q, b r, b s),
+a AS (SELECT ids.id, t.kmer, coalesce(n, 0) AS n FROM (SELECT DISTINCT id FROM k) ids CROSS JOIN t LEFT JOIN k ON k.id = ids.id AND k.kmer = t.kmer),
+e AS (SELECT id, kmer, n, CAST(sum(n) OVER (PARTITION BY id, kmer[1:3]) AS DOUBLE) AS f, CAST(sum(n) OVER (PARTITION BY id, kmer[2:4]) AS DOUBLE) AS b, CAST(sum(n) OVER (PARTITION BY id, kmer[2:3]) AS DOUBLE) AS d FROM a),
+v AS (SELECT *, CASE WHEN d > 0 THEN f * b / d END AS x, CASE WHEN d > 0 THEN (f * b / d) * (d - f) * (d - b) / (d * d) END AS var FROM e),
+zed AS (SELECT id, kmer, round(CASE WHEN d > 0 AND var > 0 THEN (n - x) / sqrt(var) ELSE 0 END, 6) AS z FROM v)"""
+
 QUERIES = {
     "compose_kmer_counts": kmer_counts,
     "compose_z_scores": z_scores,
+    "compose_z_table": z_table,
+    "compose_threshold_table": threshold_table,
     "compose_profile_pairs": profile_pairs,
     "compose_chunks": chunks,
     "compose_shared_kmers": shared_kmers,
@@ -123,12 +149,10 @@ QUERIES = {
 
 ORACLES = {
     "compose_kmer_counts": f"WITH {_KMER} SELECT * FROM k",
-    "compose_z_scores": f"""WITH {_KMER},
-b AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), t AS (SELECT p.c || q.c || r.c || s.c AS kmer FROM b p, b q, b r, b s),
-a AS (SELECT ids.id, t.kmer, coalesce(n, 0) AS n FROM (SELECT DISTINCT id FROM k) ids CROSS JOIN t LEFT JOIN k ON k.id = ids.id AND k.kmer = t.kmer),
-e AS (SELECT id, kmer, n, CAST(sum(n) OVER (PARTITION BY id, kmer[1:3]) AS DOUBLE) AS f, CAST(sum(n) OVER (PARTITION BY id, kmer[2:4]) AS DOUBLE) AS b, CAST(sum(n) OVER (PARTITION BY id, kmer[2:3]) AS DOUBLE) AS d FROM a),
-v AS (SELECT *, CASE WHEN d > 0 THEN f * b / d END AS x, CASE WHEN d > 0 THEN (f * b / d) * (d - f) * (d - b) / (d * d) END AS var FROM e)
-SELECT id, kmer, round(CASE WHEN d > 0 AND var > 0 THEN (n - x) / sqrt(var) ELSE 0 END, 6) AS z FROM v""",
+    "compose_z_scores": f"WITH {_ZED} SELECT id, kmer, z FROM zed",
+    "compose_z_table": f"WITH {_ZED} SELECT id, {', '.join(f"max(z) FILTER (kmer = '{k}') AS {k}" for k in Z_COLUMNS)} FROM zed GROUP BY id",
+    "compose_threshold_table": """WITH s AS (SELECT s_suppkey, s_suppkey % 12 / 100.0 + 0.88 AS t, s_suppkey % 9 + 10.5 AS x FROM supplier)
+SELECT s_suppkey, round(CAST(least(greatest(t, 0.9), 0.99) * 0.5 + least(greatest(x, 12), 18) * 0.01 AS DOUBLE), 9) AS threshold FROM s""",
     "compose_profile_pairs": """WITH e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS z, generate_subscripts(embedding, 1) AS k FROM embeddings),
 p AS (SELECT a.id AS a, b.id AS b, corr(a.z, b.z) AS r FROM e a JOIN e b ON a.k = b.k AND a.id < b.id GROUP BY a.id, b.id)
 SELECT a, b, round(r, 6) AS r FROM p WHERE abs(r) >= 0.3""",
@@ -141,7 +165,7 @@ SELECT id, round(CAST(count(r.kmer) AS DOUBLE) / count(*), 9) AS fraction FROM w
     "taxonomy_lineage": f"""WITH RECURSIVE {_TAXA},
 l AS (SELECT taxid, name AS path FROM taxa WHERE parent = -1 UNION ALL SELECT t.taxid, l.path || '/' || t.name FROM taxa t JOIN l ON t.parent = l.taxid) SELECT * FROM l""",
     "taxonomy_roll_up": f"WITH {_CLASS} SELECT node, num, round(pop, 4) AS pop, round(conf, 6) AS conf, round(w_conf, 6) AS w_conf FROM t",
-    "taxonomy_merge": f"WITH {_CLASS} SELECT node, num, round(pop, 4) AS pop FROM t",
+    "taxonomy_merge": f"WITH {_CLASS} SELECT node, num, round(pop, 4) AS pop, round(conf, 2) AS conf, round(w_conf, 2) AS w_conf FROM t",
     "taxonomy_cumulative": f"""WITH {_CLASS}
 SELECT node, round(coalesce(sum(pop) OVER w, 0), 4) AS cum, CAST(coalesce(sum(num) OVER w, 0) AS BIGINT) AS cnt FROM t WINDOW w AS (PARTITION BY up ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "taxonomy_keep": f"WITH {_CLASS} SELECT b AS genus, count(*) AS reads FROM reads GROUP BY b HAVING sum(percent) >= 30000",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern import scratch
 from quern.functions import sequence as S
 from quern.plans import adapters as A
-from quern.sources import fasta, fastq, sam
+from quern.sources import fasta, fastq, sam, solid
 
 
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,51 @@ def sam_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sam.read_header(spark, path).select(F.col("seq_id").cast("long").alias("seq_id"), "seq_len", "descr")
 
 
+def _colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of orders: ``name, c``, and whether the order is finished."""
+    o = A.read(spark, sf_dir, "orders")
+    name = F.concat_ws("_", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.lit("7"))
+    return o.select(name.alias("name"), F.translate(F.col("o_orderkey").cast("string"), "456789", "0123..").alias("c"), (F.col("o_orderstatus") == "F").alias("done"))
+
+
+def solid_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library of colour files, the first end of finished orders only, found by its prefix and converted."""
+    prefix = f"{scratch.folder(spark, 'solid')}/lib"
+    for tag, rows in (("F3", _colored(spark, sf_dir)), ("R3", _colored(spark, sf_dir).filter("done"))):
+        name = F.concat("name", F.lit(f"_{tag}"))
+        fasta.write_fasta(rows.select(name.alias("name"), F.concat(F.lit("T1"), "c").alias("seq")), f"{prefix}_{tag}.csfasta")
+        phred = F.array_join(F.transform(S.chars(F.concat(F.lit("0"), "c")), lambda x: F.when(x == ".", "-1").otherwise(x)), " ")
+        fasta.write_fasta(rows.select(name.alias("name"), phred.alias("seq")), f"{prefix}_{tag}.QV.qual")
+    return solid.convert(spark, prefix, "lib").select("read_id", "primer", "prefix", "mate", "seq", "qual", "part")
+
+
+def pseudo_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _colored(spark, sf_dir).select("name", F.concat(F.lit("T1"), "c").alias("seq"), "done")
+    return fasta.pseudo_fasta(own, own.filter("done"))
+
+
+def replace_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.reads(spark, sf_dir).select(F.col("read_id").alias("name"), "seq", "qual")
+    done = fasta.replace_sequences(own, own.select("name", F.translate("seq", "N", "A").alias("seq")))
+    return done.select("name", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5"))
+
+
+def simulated_illumina(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = A.reads(spark, sf_dir).select(F.concat(F.lit("@sim-"), F.col("read_id").cast("string"), F.lit("-x")).alias("header"), "seq", "qual")
+    return solid.simulated_illumina(own).select("header", "plus", F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5"))
+
+
+def simulated_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _colored(spark, sf_dir).select(F.concat(F.lit("@"), "name", F.lit(":rest")).alias("header"), F.concat(F.lit("T1"), "c").alias("seq"), F.concat(F.lit("5"), F.translate("c", ".", "!")).alias("qual"))
+    return solid.simulated_colors(own, "lib")
+
+
 QUERIES = {
+    "format_solid": solid_convert,
+    "format_pseudo_fasta": pseudo_fasta,
+    "format_replace_sequences": replace_sequences,
+    "format_simulated_illumina": simulated_illumina,
+    "format_simulated_colors": simulated_colors,
     "format_fastq": fastq_round_trip,
     "format_fasta": fasta_round_trip,
     "format_fasta_filter": fasta_filter,
@@ -103,7 +147,17 @@ QUERIES = {
     "format_sam_header": sam_header,
 }
 
+_COLORED = """o AS (SELECT o_orderkey || '_' || o_custkey || '_7' AS name, translate(CAST(o_orderkey AS VARCHAR), '456789', '0123..') AS c, o_orderstatus = 'F' AS done FROM orders)"""
+
 ORACLES = {
+    "format_solid": f"""WITH {_COLORED}, k AS (SELECT name AS read_id, 'TC' AS primer, 'lib' AS prefix, translate(c, '0123.', 'ACGTN') AS seq, translate(c, '0123.', '!"#$!') AS qual, done FROM o)
+SELECT * EXCLUDE done, CAST(2 AS INTEGER) AS mate, CASE WHEN done THEN 'read2' ELSE 'single' END AS part FROM k
+UNION ALL SELECT * EXCLUDE done, 1, 'read1' FROM k WHERE done""",
+    "format_pseudo_fasta": f"""WITH {_COLORED} SELECT name, CAST(1 AS INTEGER) AS mate, translate(c, '0123.', 'ACGTN') AS seq FROM o
+UNION ALL SELECT name, 2, reverse(translate(c, '0123.', 'ACGTN')) FROM o WHERE done""",
+    "format_replace_sequences": f"WITH {A.READS} SELECT read_id AS name, md5(replace(seq, 'N', 'A')) AS seq_md5, md5(qual) AS qual_md5 FROM reads",
+    "format_simulated_illumina": f"WITH {A.READS} SELECT '@' || length(seq) || '|sim:' || read_id || '-x/1' AS header, '+' AS plus, md5(seq) AS seq_md5, md5(qual) AS qual_md5 FROM reads",
+    "format_simulated_colors": f"""WITH {_COLORED} SELECT '@TC+' || length(c) || '|lib:' || name AS header, translate(c, '0123.', 'ACGTN') AS seq, '+' AS plus, replace(c, '.', '!') AS qual FROM o""",
     "format_fastq": f"WITH {A.READS} SELECT CAST(length(seq) AS INTEGER) AS trim_len, 'lib' AS prefix, CAST(read_id AS VARCHAR) AS read_id, CAST(mate AS INTEGER) AS mate, md5(seq) AS seq_md5, md5(qual) AS qual_md5 FROM reads",
     "format_fasta": f"WITH {A.SEQS} SELECT 'c' || id AS name, 'contig' AS descr, md5(seq) AS seq_md5 FROM seqs WHERE seq <> ''",
     "format_fasta_filter": f"WITH {A.SEQS} SELECT id AS name FROM seqs WHERE length(seq) BETWEEN 300 AND 5000 AND NOT regexp_matches(seq, '(?i)((ttttt|aaaaa|ccccc|ggggg)[acgtn]{{0,2}}){{4}}')",

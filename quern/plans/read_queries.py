@@ -93,6 +93,10 @@ def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), S.decode_colors(digits, F.lit("T")).alias("seq"))
 
 
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.read(spark, sf_dir, "documents").select("doc_id", F.md5(S.clean_bases(F.col("text"))).alias("seq_md5"))
+
+
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.sources.fastq import parse_header
 
@@ -140,6 +144,7 @@ QUERIES = {
     "reads_colors": colors,
     "reads_decode_colors": decode,
     "reads_headers": headers,
+    "reads_clean_bases": clean,
     "reads_reject_rate": reject_rate,
 }
 
@@ -182,11 +187,13 @@ e AS (SELECT x.pair_id AS a, y.pair_id AS b FROM p x JOIN p y ON x.pair_id <> y.
 r AS (SELECT pair_id AS node, pair_id AS seen FROM p UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
 c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
 SELECT pair_id FROM (SELECT pair_id, row_number() OVER (PARTITION BY component ORDER BY q DESC, pair_id) AS k FROM p JOIN c ON pair_id = node) WHERE k = 1""",
+    "reads_sample": f"WITH {A.READS} SELECT pair_id, mate FROM reads WHERE CAST('0x' || left(md5('12345:' || pair_id), 8) AS BIGINT) < {round(0.1 * 2**32)}",
     "reads_synchronise": f"""WITH {A.READS}
 SELECT read_id, CASE WHEN length(seq) > 800 AND length(seq) < 2000 THEN 'pair' WHEN length(seq) > 800 THEN 'single1' ELSE 'single2' END AS part FROM reads""",
     "reads_diff": f"WITH {A.READS} SELECT read_id, length(regexp_replace(seq, '[^N]', '', 'g')) AS changed FROM reads WHERE contains(seq, 'N')",
     "reads_colors": """WITH c AS (SELECT o_orderkey AS read_id, translate(CAST(o_orderkey AS VARCHAR), '456789', '0123..') || '.0123' AS c FROM orders)
 SELECT read_id, translate(c, '0123.', 'ACGTN') AS letters, c AS colors FROM c""",
+    "reads_clean_bases": "SELECT doc_id, md5(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ACGT]', 'N', 'g')) AS seq_md5 FROM documents",
     "reads_headers": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'T2' END AS primer, CAST(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey END AS INTEGER) AS trim_len,
   'lib' AS prefix, CAST(c_custkey AS VARCHAR) AS read_id, CAST(CASE c_custkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS INTEGER) AS mate FROM customer""",
     "reads_reject_rate": f"""WITH {A.READS}

@@ -114,7 +114,7 @@ def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.remap(A.hits(spark, sf_dir), _selected(spark, sf_dir), second_chance=True)
-    return found.groupBy("second_chance").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("read_id").alias("reads"))
+    return found.select("read_id", "seq_id", "pos", "ed", "strand", "mate", "tier", "second_chance")
 
 
 def roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,8 +288,8 @@ y AS (SELECT seq_id, sum(share) / max(seq_len) AS more FROM x GROUP BY seq_id)
 SELECT seq_id, round(coalesce(ab, 0) + coalesce(more, 0), 9) AS abundance FROM u FULL JOIN y USING (seq_id)""",
     "select_remap": f"""WITH {SEL}, t AS (SELECT *, ed - min(ed) OVER (PARTITION BY read_id) AS tier FROM hits),
 o AS (SELECT * FROM t WHERE tier <= 1 AND seq_id IN (SELECT seq_id FROM sel)),
-z AS (SELECT read_id, false AS second_chance FROM o WHERE tier = 0 UNION ALL SELECT read_id, true FROM o WHERE tier = 1 AND read_id NOT IN (SELECT read_id FROM o WHERE tier = 0))
-SELECT second_chance, count(*) AS hits, count(DISTINCT read_id) AS reads FROM z GROUP BY second_chance""",
+z AS (SELECT *, false AS second_chance FROM o WHERE tier = 0 UNION ALL SELECT *, true FROM o WHERE tier = 1 AND read_id NOT IN (SELECT read_id FROM o WHERE tier = 0))
+SELECT read_id, seq_id, pos, ed, strand, mate, tier, second_chance FROM z""",
     "select_roll_up": f"""WITH {SEL},
 p AS (SELECT parent_id, count(*) AS refs, CAST(sum(seq_len) AS BIGINT) AS seq_len, sum(bits * seq_len) / sum(seq_len) AS bits,
   sum((CAST(rd_cnt AS DOUBLE) / seq_len) * seq_len) / sum(seq_len) AS abundance FROM scored JOIN catalog USING (seq_id) GROUP BY parent_id HAVING sum(bits * seq_len) > 0)
@@ -307,6 +307,9 @@ SELECT seq_id, round(CAST(s AS DOUBLE) / size, 6) AS adj_cov, round(sqrt(greates
   CASE WHEN n < size THEN 0 ELSE lo END AS adj_cov_min, coalesce(hi, 0) AS adj_cov_max, round(1 - CAST(covered AS DOUBLE) / seq_len, 9) AS pct_uncov FROM g""",
     "coverage_mean": f"""WITH {A.HITS}, {A.CATALOG}, {SPANS}, m AS (SELECT CAST(sum((stop - start) * depth) AS DOUBLE) / (SELECT sum(seq_len) FROM catalog) AS m FROM runs)
 SELECT round(m, 9) AS mean, round(2 * m, 9) AS dup_threshold FROM m""",
+    "coverage_end_peaks": f"""WITH {A.HITS}, {A.CATALOG}, {SPANS},
+a AS (SELECT *, max(depth) OVER (PARTITION BY seq_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 75 FOLLOWING) AS ahead, max(depth) OVER (PARTITION BY seq_id ORDER BY stop DESC RANGE BETWEEN CURRENT ROW AND 75 FOLLOWING) AS behind FROM runs)
+SELECT seq_id, arg_min(depth, start) FILTER (depth >= ahead) AS front_peak, arg_max(depth, stop) FILTER (depth >= behind) AS back_peak FROM a GROUP BY seq_id""",
     "coverage_islands": f"WITH {A.HITS}, {A.CATALOG}, {SPANS} SELECT seq_id, start, stop FROM runs WHERE depth = 0 AND stop - start >= 60",
     "coverage_problem_report": f"""WITH {A.HITS}, {A.CATALOG}, {SPANS},
 k AS (SELECT *, CASE WHEN depth >= 3 AND coalesce(lag(depth) OVER w, 0) >= 3 THEN 0 ELSE 1 END AS new FROM runs WINDOW w AS (PARTITION BY seq_id ORDER BY start)),

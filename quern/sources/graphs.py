@@ -44,6 +44,7 @@ def _frame(spark: SparkSession, rows: list[dict], empty: str) -> DataFrame:
         for k, v in r.items():
             kind = "boolean" if isinstance(v, bool) else "double" if isinstance(v, int | float) else "string"
             kinds[k] = kind if kinds.get(k, kind) == kind else "string"
+    kinds |= {k: "string" for k in kinds if k in ("id", "n1", "n2")}  # nodes are keys of an object, so edges name them by text
     kinds |= {k: "long" for k in kinds if k in ("seq_len", "num", "p1", "p2") and kinds[k] == "double"}
     schema = ", ".join(f"`{k}` {v}" for k, v in kinds.items())
     cast = {"long": int, "double": float, "boolean": bool, "string": lambda v: v if isinstance(v, str) else json.dumps(v)}
@@ -99,18 +100,33 @@ def sequences(g: Graph, abundance: bool = False, scaff: bool = False, no_merge_s
     return live.select((abundance_name(name, F.col("rel_ab")) if abundance else name).alias("name"), "seq")
 
 
+def dot_lines(g: Graph, detail: bool = False, arrowtype: str = "normal", pen_scale: float = 0.0, colored_edges: bool = False) -> DataFrame:
+    """The selected graph as graphviz text, ``part, a, b, line``; in that order the lines are the drawing."""
+    spark = g.nodes.sparkSession
+    text = lambda c: F.col(c).cast("string")
+    label = F.concat(text("id"), F.lit("\\n"), text("seq_len")) if detail else text("id")
+    nodes = g.live_nodes().select(F.lit(1).alias("part"), text("id").alias("a"), F.lit("").alias("b"), F.concat(F.lit('  "'), text("id"), F.lit('" [label="'), label, F.lit('"];')).alias("line"))
+    style = []
+    if pen_scale:
+        style.append(F.format_string("penwidth=%.2f", F.greatest(F.lit(1.0), F.col("bits") * pen_scale)))
+    if colored_edges:
+        color = F.when(F.col("dir") == "FB", "black").when(F.col("dir") == "FF", "blue").when(F.col("dir") == "BB", "red").otherwise("gray")
+        style.append(F.concat(F.lit("color="), color))
+    ending = F.concat(F.lit(" ["), F.concat_ws(", ", *style), F.lit("];")) if style else F.lit(";")
+    edges = g.live_edges().select(F.lit(2).alias("part"), text("n1").alias("a"), text("n2").alias("b"), F.concat(F.lit('  "'), text("n1"), F.lit('" -> "'), text("n2"), F.lit('"'), ending).alias("line"))
+    frame = [(0, "", "", "digraph seq {"), (0, "", "1", f"  edge [arrowhead={arrowtype}];"), (3, "", "", "}")]
+    return spark.createDataFrame(frame, "part int, a string, b string, line string").unionByName(nodes).unionByName(edges)
+
+
+def write_dot(g: Graph, path: str, **options) -> None:  # noqa: ANN003
+    """The drawing as one file: sorted in tasks, written in order by one."""
+    dot_lines(g, **options).orderBy("part", "a", "b").select("line").coalesce(1).write.text(path)
+
+
 def dot(g: Graph, detail: bool = False, arrowtype: str = "normal", pen_scale: float = 0.0, colored_edges: bool = False) -> str:
-    """The selected graph as graphviz text; a drawing is one string, so its rows are collected."""
-    out = ["digraph seq {", f"  edge [arrowhead={arrowtype}];"]
-    for r in g.live_nodes().orderBy("id").toLocalIterator():
-        label = f"{r.id}\\n{r.seq_len}" if detail else str(r.id)
-        out.append(f'  "{r.id}" [label="{label}"];')
-    for r in g.live_edges().orderBy("n1", "n2").toLocalIterator():
-        style = [f"penwidth={max(1.0, r.bits * pen_scale):.2f}"] if pen_scale else []
-        if colored_edges:
-            style.append("color=" + {"FB": "black", "FF": "blue", "BB": "red"}.get(r.dir or "", "gray"))
-        out.append(f'  "{r.n1}" -> "{r.n2}"' + (f" [{', '.join(style)}]" if style else "") + ";")
-    return "\n".join([*out, "}"])
+    """The drawing as one string, for graphs that fit one machine."""
+    rows = dot_lines(g, detail, arrowtype, pen_scale, colored_edges).orderBy("part", "a", "b")
+    return "\n".join(r.line for r in rows.toLocalIterator())
 
 
 def output_name(template: str, taken: set[str], tag: str = "") -> str:

@@ -351,3 +351,65 @@ def test_color_path_against_enumeration():
         got = [IUPAC_BITS[c] for c in coverage._color_path(counts, 0.2)]
         best = min(cost(p, counts) for p in itertools.product(range(1, 16), repeat=3))
         assert cost(got, counts) == pytest.approx(best)
+
+
+def test_new_territory_is_by_a_nodes_own_best_link():
+    """3 is seen by a weak link before; its inner bits count beside its best link, not beside that."""
+    nodes = [(1, 900), (2, 100), (3, 100), (4, 100)]
+    edges = [(1, 2, 900.0), (1, 3, 10.0), (2, 3, 20.0), (3, 4, 800.0)]
+    tree = lambda inner, strong=None: {(min(a, b), max(a, b)) for a, b, _ in scaffold.special_tree(nodes, edges, inner, strong=strong)}
+    assert tree({3: 1.0}) == {(1, 2), (1, 3), (3, 4)}  # 1 / 800 is little, though 1 / 10 is not
+    assert tree({3: 17.0}) == {(1, 2), (2, 3), (3, 4)}
+    assert tree({3: 1.0}, {2: 900.0, 3: 20.0, 4: 800.0, 1: 900.0}) == {(1, 2), (2, 3), (3, 4)}  # bits differ from scores
+
+
+def test_fixed_length_caps_what_the_quality_leaves(spark):
+    df = spark.createDataFrame([(1, "ACGTAC", "!!!!!!"), (2, "ACGTAC", "IIIIII"), (3, "ACGTAC", "III!!!"), (4, "ACG", "III")], "read_id long, seq string, qual string")
+    got = {r.read_id: (r.trim_len, r.seq, r.qual) for r in reads.trim(df, 0.5, fixed_len=4).collect()}
+    assert got == {2: (4, "ACGT", "IIII")}
+    got = {r.read_id: r.trim_len for r in reads.trim(df, 0.0, fixed_len=3).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 3}
+
+
+def test_duplicate_pairs_with_two_index_errors(spark):
+    rng = random.Random(8)
+    own = ["".join(rng.choices("ACGT", k=14)) for _ in range(12)]
+
+    def change(s, n):
+        where = set(rng.sample(range(14), n))
+        return "".join(rng.choice("ACGT") if k in where else c for k, c in enumerate(s))
+
+    pairs = [(k, change(rng.choice(own), rng.randrange(4)), change(rng.choice(own), rng.randrange(5))) for k in range(250)]
+    far = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    for index, match in ((1, 3), (2, 3), (0, 2)):
+        want = {(a, b) for (a, p, q), (b, r, s) in itertools.combinations(pairs, 2) if far(p, r) <= index and far(q, s) <= match or far(q, s) <= index and far(p, r) <= match}
+        found = reads.duplicate_pairs(spark.createDataFrame(pairs, "pair_id long, seq1 string, seq2 string"), 14, index, match).collect()
+        up = {k: k for k, *_ in pairs}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        groups = []
+        for links in ([(r.a, r.b) for r in found], want):
+            up = {k: k for k, *_ in pairs}
+            for a, b in links:
+                x, y = sorted((root(a, up), root(b, up)))
+                up[y] = x
+            groups.append({k: root(k, up) for k in up})
+        assert groups[0] == groups[1]
+        assert {(r.a, r.b) for r in found} <= want
+
+
+def test_chains_are_cut_until_none_is_bad(spark):
+    n = 9
+    nodes = spark.createDataFrame([(k, 100, 0.9 if k % 2 else 0.1, float(10 ** (k % 3))) for k in range(n)], "id long, seq_len long, pct_gc double, cov double")
+    edges = spark.createDataFrame([(k, k + 1, "FB", 10.0, 10.0) for k in range(n - 1)], "n1 long, n2 long, dir string, bits double, score double")
+    assert G.slice_chains(G.new_graph(nodes, edges), 0.01).live_edges().count() == 0
+
+
+def test_deep_lineages(spark):
+    taxa = spark.createDataFrame([(k, f"t{k}", k - 1) for k in range(70)] + [(200, "x", 201), (201, "y", 200)], "taxid long, name string, parent long")
+    got = {r.taxid: r.path for r in taxonomy.lineages(taxa).collect()}
+    assert got[69] == [f"t{k}" for k in range(70)] and 200 not in got
