@@ -11,6 +11,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,40 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """The tables written in one block of work."""
+
+    def __init__(self) -> None:
+        self.made: dict[str, SparkSession] = {}
+        self.last: str | None = None
+        self.kept: list[str] = []
+
+    def keep(self, written: DataFrame) -> DataFrame:
+        """The table that was written last, which stays after the block."""
+        self.kept.append(self.last)
+        return written
+
+
+_open: list[Scope] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Deletes the tables written in a block when it ends, but those that it keeps, which the block around it then owns."""
+    own = Scope()
+    _open.append(own)
+    try:
+        yield own
+    finally:
+        _open.remove(own)
+        for path, spark in own.made.items():
+            if path not in own.kept:
+                drop(spark, path)
+            elif _open:
+                _open[-1].made[path] = spark
+                _open[-1].last = path
+
+
 def table(df: DataFrame, name: str, most_rows: int | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back, cutting its lineage.
 
@@ -55,6 +90,8 @@ def table(df: DataFrame, name: str, most_rows: int | None = None, codec: str | N
     path = folder(df.sparkSession, name)
     if most_rows is not None and (tasks := most_rows // ROWS_A_TASK + 1) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         df = df.coalesce(tasks)
+    if _open:
+        _open[-1].made[path], _open[-1].last = df.sparkSession, path
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
