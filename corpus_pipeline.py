@@ -48,11 +48,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each one's result is a table that the next one reads."""
+    """The stages over ``documents``; each one's result is a table that the next one reads, and only the last one's stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch.scope() as made:
+        for name, stage in STAGES:
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        return made.keep(docs)
 
 
 #: Language identification has no SQL form; run() is tested against a brute-force version.

@@ -237,7 +237,14 @@ def near_duplicates(
     * ``percent`` below 80 lowers the share of pairs that the index finds.
     * Ids are whole numbers. Other columns, whatever their names, are not read;
       texts of any length are read whole; an empty table gives no rows.
+
+    The result is a table; the tables that it was made of are deleted.
     """
+    with scratch.scope() as made:
+        return made.keep(scratch.table(_found(docs, id_col, text_col, shingle, percent, broadcast_rows, block), "near"))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, broadcast_rows: int, block: int) -> DataFrame:
     rows = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = scratch.table(rows.mapInArrow(lambda b: _sketch(b, shingle), SKETCH), "sketches")
     known = sketches.filter("doc_id IS NOT NULL AND n > 0")
