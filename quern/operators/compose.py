@@ -63,21 +63,19 @@ def z_table(z: DataFrame) -> DataFrame:
     return z.groupBy("id").pivot("kmer", TETRAMERS).agg(F.max("z"))
 
 
-def profile_pairs(z: DataFrame, block: int = 64) -> DataFrame:
+def profile_pairs(z: DataFrame, block: int = 64, least: float | None = None) -> DataFrame:
     """``a, b, r``: Pearson correlation of all pairs of profiles, in blocks.
 
     All pairs are the operator. Profiles are gathered into blocks, and each pair of
     blocks is one matrix product; a task holds two blocks, whatever their number.
+    With ``least`` only pairs whose correlation has at least that size leave a task.
     """
-
     kind = dict(z.dtypes)["id"]
     rows = z.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kmer", "z"))), lambda x: x["z"]).alias("v"))
     n = max(1, -(-rows.count() // block))
     blocks = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    plan = blocks.sparkSession.createDataFrame(pairs, "i int, j int")
-    left = blocks.join(F.broadcast(plan), F.col("blk") == F.col("i")).select("i", "j", "id", "v", F.lit(0).alias("side"))
-    right = blocks.join(F.broadcast(plan.filter("i <> j")), F.col("blk") == F.col("j")).select("i", "j", "id", "v", F.lit(1).alias("side"))
+    left = blocks.select(F.col("blk").alias("i"), F.explode(F.sequence(F.col("blk"), F.lit(n - 1))).alias("j"), "id", "v", F.lit(0).alias("side"))
+    right = blocks.filter("blk > 0").select(F.explode(F.sequence(F.lit(0), F.col("blk") - 1)).alias("i"), F.col("blk").alias("j"), "id", "v", F.lit(1).alias("side"))
 
     def correlate(rows):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -92,8 +90,10 @@ def profile_pairs(z: DataFrame, block: int = 64) -> DataFrame:
         a, x = part(0)
         b, y = part(1) if (rows["side"] == 1).any() else (a, x)
         r = x @ y.T
-        inner = b is a
-        out = [(min(p, q), max(p, q), float(r[k, m])) for k, p in enumerate(a) for m, q in enumerate(b) if not inner or k < m]
+        wanted = np.triu(np.ones(r.shape, dtype=bool), 1) if b is a else np.ones(r.shape, dtype=bool)
+        if least is not None:
+            wanted &= np.abs(r) >= least
+        out = [(min(a[k], b[m]), max(a[k], b[m]), float(r[k, m])) for k, m in zip(*np.nonzero(wanted), strict=True)]
         return pd.DataFrame(out, columns=["a", "b", "r"])
 
     return left.unionByName(right).groupBy("i", "j").applyInPandas(correlate, f"a {kind}, b {kind}, r double")

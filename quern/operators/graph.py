@@ -91,8 +91,7 @@ def components(g: Graph, sortby: str = "nodes") -> Graph:
     label = connected_components(g.live_edges(), "n1", "n2")
     found = live.select("id", "seq_len").join(label, F.col("id") == F.col("node"), "left").select("id", "seq_len", F.coalesce("component", "id").alias("component"))
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.sum("seq_len").alias("sequence"))
-    order = Window.orderBy(F.desc("sequence" if sortby == "sequences" else "nodes"), "component")
-    ranked = sizes.withColumn("ccnum", F.row_number().over(order))
+    ranked = scratch.numbered(sizes, "ccnum", F.desc("sequence" if sortby == "sequences" else "nodes"), F.asc("component"))
     return replace(g, components=found.join(ranked, "component").select("id", "seq_len", "component", "ccnum", "nodes", "sequence"), scaffolds=None)
 
 

@@ -40,7 +40,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.profile_pairs(_vectors(spark, sf_dir)).filter(F.abs("r") >= 0.3).select("a", "b", F.round("r", 6).alias("r"))
+    return C.profile_pairs(_vectors(spark, sf_dir), least=0.3).select("a", "b", F.round("r", 6).alias("r"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

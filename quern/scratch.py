@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -96,6 +96,20 @@ def table(df: DataFrame, name: str, most_rows: int | None = None, codec: str | N
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their place in an order, from 1, as ``name``.
+
+    They are sorted in ranges by as many tasks as the data need; only the ranges'
+    sizes meet in one.
+    """
+    place = F.monotonically_increasing_id()
+    part = F.shiftright(place, 33)
+    ranges = table(df.orderBy(*order).select("*", part.alias("_part"), (place - F.shiftleft(part, 33)).alias("_at")), name)
+    sizes = ranges.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    first = sizes.select("_of", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return ranges.join(first, F.col("_part") == F.col("_of")).withColumn(name, (F.col("_first") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_of", "_first")
+
+
 def row_bytes(schema: StructType) -> int | None:
     """Bytes that a row takes in memory, about; None where a column's values have no bound."""
     fixed = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp"}

@@ -33,3 +33,13 @@ def test_tables_are_sent_by_bytes(spark):
     few = scratch.table(spark.range(1000).selectExpr("id", "id as b"), "few")
     assert sent(scratch.sized(few, 10**6)) and not sent(scratch.sized(few, 999)) and not sent(scratch.sized(few, 10**6, 1000 * 32 - 1))
     assert not sent(scratch.sized(scratch.table(spark.range(3).selectExpr("cast(id as string) s"), "text"), 10**6))
+
+
+def test_rows_are_numbered_in_order(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).selectExpr("id", "id % 7 as k").repartition(9)
+    got = scratch.numbered(rows, "n", F.desc("k"), F.asc("id")).orderBy("n").collect()
+    assert [(r.k, r.id) for r in got] == sorted(((k % 7, k) for k in range(5000)), key=lambda x: (-x[0], x[1]))
+    assert [r.n for r in got] == list(range(1, 5001))
+    assert scratch.numbered(rows.filter("id < 0"), "n", F.asc("id")).count() == 0
