@@ -20,6 +20,22 @@ def depth_runs(spans: DataFrame, seq: str = "seq_id", start: str = "start", end:
     return runs.filter("end IS NOT NULL")
 
 
+def insert_runs(pairs: DataFrame) -> DataFrame:
+    """Runs of equal physical coverage by pairs: ``seq_id, start, end`` (excluded), ``depth``, ``mean_insert``.
+
+    A pair ``seq_id, start, end`` covers all bases between its outer ends; the mean
+    is of the lengths of those that cover a base, null where none does. One pass
+    over differences of counts and of lengths.
+    """
+    length = (F.col("end") - F.col("start")).cast("long")
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).cast("long").alias("d"), length.alias("x")), F.struct(F.col("end").alias("at"), F.lit(-1).cast("long").alias("d"), (-length).alias("x")))
+    change = pairs.select("seq_id", F.inline(ends)).groupBy("seq_id", "at").agg(F.sum("d").alias("d"), F.sum("x").alias("x"))
+    by = Window.partitionBy("seq_id").orderBy("at")
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    runs = change.select("seq_id", F.col("at").alias("start"), F.lead("at").over(by).alias("end"), F.sum("d").over(upto).alias("depth"), F.sum("x").over(upto).alias("_x"))
+    return runs.filter("end IS NOT NULL").withColumn("mean_insert", F.when(F.col("depth") > 0, F.col("_x") / F.col("depth"))).drop("_x")
+
+
 def inside(spans: DataFrame, catalog: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """Spans that lie on their reference whole."""
     return spans.join(catalog.select("seq_id", "seq_len"), "seq_id").filter((F.col(start) >= 1) & (F.col(end) - 1 <= F.col("seq_len")))

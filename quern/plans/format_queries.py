@@ -82,6 +82,16 @@ def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("read_key").cast("long").alias("read_id"), F.col("seq_id").cast("long").alias("seq_id"), F.col("pos").cast("long").alias("pos"), F.col("ed").cast("long").alias("ed"))
 
 
+def legacy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = A.hits(spark, sf_dir)
+    line = F.concat_ws("\t", F.col("seq_id").cast("string"), (F.col("pos") * F.col("strand")).cast("string"), F.col("ed").cast("string"))
+    own = hits.groupBy("read_id").agg(F.sort_array(F.collect_list(line)).alias("h"))
+    head = F.concat(F.lit(">TA+50|lib:"), F.col("read_id").cast("string"), F.lit("/1 "), F.size("h").cast("string"))
+    path = scratch.folder(spark, "legacy")
+    own.select(F.concat_ws("\n", head, F.array_join("h", "\n")).alias("value")).write.text(path)
+    return sam.read_legacy_hits(spark, path).select("read_key", "seq_id", "pos", "ed", "read_len")
+
+
 def sam_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = A.catalog(spark, sf_dir)
     path = scratch.folder(spark, "header")
@@ -144,6 +154,7 @@ QUERIES = {
     "format_attach_reference": attach,
     "format_csfasta": csfasta,
     "format_sam": sam_round_trip,
+    "format_legacy_hits": legacy_round_trip,
     "format_sam_header": sam_header,
 }
 
@@ -169,5 +180,6 @@ UNION ALL SELECT name, 2, reverse(translate(c, '0123.', 'ACGTN')) FROM o WHERE d
     "format_csfasta": """WITH o AS (SELECT o_orderkey || '_' || o_custkey || '_7' AS name, translate(CAST(o_orderkey AS VARCHAR), '456789', '0123..') AS c FROM orders)
 SELECT name, 'TC' AS primer, translate(c, '0123.', 'ACGTN') AS seq, translate(c, '0123.', '!"#$!') AS qual, 'T1' || c AS csfasta FROM o""",
     "format_sam": f"WITH {A.HITS} SELECT read_id, seq_id, pos * strand AS pos, ed FROM hits",
+    "format_legacy_hits": f"WITH {A.HITS} SELECT 'lib:' || read_id AS read_key, CAST(seq_id AS VARCHAR) AS seq_id, CAST(pos * strand AS INTEGER) AS pos, CAST(ed AS INTEGER) AS ed, 50 AS read_len FROM hits",
     "format_sam_header": f"WITH {A.CATALOG} SELECT seq_id, seq_len, descr FROM catalog",
 }

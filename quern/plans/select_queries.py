@@ -156,6 +156,12 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.depth_runs(C.inside(_spans(spark, sf_dir), A.catalog(spark, sf_dir)))
 
 
+def insert_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("pos") * 17 + F.col("read_id") % 13
+    pairs = A.hits(spark, sf_dir).select("seq_id", start.cast("long").alias("start"), (start + 40 + F.col("read_id") % 200).cast("long").alias("end"))
+    return C.insert_runs(pairs).select("seq_id", "start", F.col("end").alias("stop"), "depth", F.round("mean_insert", 6).alias("mean_insert"))
+
+
 def depth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select("seq_id", "start", F.col("end").alias("stop"), "depth")
 
@@ -237,6 +243,7 @@ QUERIES = {
     "select_matched_reads": matched,
     "select_unmatched_reads": unmatched,
     "coverage_depth_runs": depth_runs,
+    "coverage_insert_runs": insert_runs,
     "coverage_depth_stats": depth_stats,
     "coverage_mean": mean_coverage,
     "coverage_duplications": duplications,
@@ -300,6 +307,10 @@ SELECT (SELECT count(DISTINCT read_id) FROM hits) AS reads, (SELECT count(DISTIN
     "select_matched_reads": f"WITH {SEL} SELECT o_orderkey AS pair_id FROM orders WHERE o_orderkey IN (SELECT read_id FROM hits WHERE seq_id IN (SELECT seq_id FROM sel))",
     "select_unmatched_reads": f"WITH {SEL} SELECT o_orderkey AS pair_id FROM orders WHERE o_orderkey NOT IN (SELECT read_id FROM hits WHERE seq_id IN (SELECT seq_id FROM sel))",
     "coverage_depth_runs": f"WITH {A.HITS}, {A.CATALOG}, {SPANS} SELECT * FROM runs",
+    "coverage_insert_runs": f"""WITH {A.HITS}, s AS (SELECT seq_id, pos * 17 + read_id % 13 AS a, pos * 17 + read_id % 13 + 40 + read_id % 200 AS b FROM hits),
+c AS (SELECT seq_id, p, sum(d) AS d, sum(x) AS x FROM (SELECT seq_id, a AS p, 1 AS d, b - a AS x FROM s UNION ALL SELECT seq_id, b, -1, a - b FROM s) GROUP BY seq_id, p),
+r AS (SELECT seq_id, p AS start, lead(p) OVER w AS stop, CAST(sum(d) OVER w AS BIGINT) AS depth, sum(x) OVER w AS x FROM c WINDOW w AS (PARTITION BY seq_id ORDER BY p))
+SELECT seq_id, start, stop, depth, round(CASE WHEN depth > 0 THEN CAST(x AS DOUBLE) / depth END, 6) AS mean_insert FROM r WHERE stop IS NOT NULL""",
     "coverage_depth_stats": f"""WITH {A.HITS}, {A.CATALOG}, {SPANS},
 c AS (SELECT seq_id, seq_len, depth, greatest(least(stop, seq_len - 49 + 1) - greatest(start, 50), 0) AS n, greatest(least(stop, seq_len + 1) - greatest(start, 1), 0) AS w FROM runs JOIN catalog USING (seq_id) WHERE seq_len > 98),
 g AS (SELECT seq_id, seq_len, seq_len - 98 AS size, sum(n) AS n, sum(n * depth) AS s, sum(n * depth * depth) AS q, min(depth) FILTER (n > 0) AS lo, max(depth) FILTER (n > 0) AS hi, sum(w) FILTER (depth > 0) AS covered FROM c GROUP BY seq_id, seq_len)

@@ -41,6 +41,27 @@ def read_hits(spark: SparkSession, paths: str | list[str], reverse: bool = False
     return found.withColumn("ed", F.lit(0)) if all_equal else found
 
 
+def read_legacy_hits(spark: SparkSession, paths: str | list[str], default_len: int | None = None, reverse: bool = False, all_equal: bool = False) -> DataFrame:
+    """Hits of the older alignment listing, with the columns of :func:`read_hits`; the catalog comes from elsewhere.
+
+    A read is a line ``>name hits``, where the name may start with its primer and
+    ``+``, then its length and ``|``; without one the length is ``default_len``. A line
+    ``reference, position, distance`` (tab-separated, the position signed by strand)
+    follows for each hit.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", "^>", "").alias("text"), F.col("_metadata.file_path").alias("file"))
+    head = F.substring_index("text", "\n", 1)
+    name = F.regexp_replace(F.substring_index(head, " ", 1), r"^..\+", "")
+    size = F.substring_index(name, "|", 1).cast("int")
+    bad = F.raise_error(F.concat(F.lit("no length in the name of a read: "), name)).cast("int")
+    length = F.when(F.contains(name, F.lit("|")), F.when(F.coalesce(size > 0, F.lit(False)), size).otherwise(bad)).otherwise(F.lit(default_len).cast("int"))
+    mate = F.when(read_order_tag(F.col("file")) == "2~", 2).otherwise(1)
+    line = F.explode(F.filter(F.slice(F.split("text", "\n"), F.lit(2), F.size(F.split("text", "\n"))), lambda x: x != ""))
+    found = rows.filter(F.trim("text") != "").select(F.regexp_replace(F.regexp_replace(name, r"^[^|]*\|", ""), "/[12]$", "").alias("read_key"), mate.alias("mate"), length.alias("read_len"), line.alias("line")).withColumn("f", F.split("line", "\t"))
+    distance = F.lit(0) if all_equal else F.element_at("f", 3).cast("int")
+    return found.select("read_key", "mate", F.element_at("f", 1).alias("seq_id"), (F.element_at("f", 2).cast("int") * (-1 if reverse else 1)).alias("pos"), distance.alias("ed"), "read_len")
+
+
 def read_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The catalog that ``@SQ`` lines make; a reference with two lengths is an error."""
     rows = _lines(spark, paths).filter(F.startswith("value", F.lit("@SQ")))
