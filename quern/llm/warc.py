@@ -236,7 +236,7 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool, flush: int = 4 <
 
     for (file, split, base, entry), chunks in _runs(batches, 4):
         at, want, start, end, record = base, entry, 0, -1, []
-        piece = lambda offset, upto, raw: (file, offset, *[None] * (_OWN - 2), upto, at, raw)  # noqa: E731, B023
+        piece = lambda offset, upto, raw: (file, offset, *[None] * (_OWN - 2), upto, at if offset is None else offset, raw)  # noqa: E731, B023
         for k, chunk in enumerate(chunks):
             mark = at - len(MAGIC)
             if k == 0 and split == 0:
