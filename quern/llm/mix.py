@@ -68,9 +68,10 @@ def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -
     while left := {k: n - done[k] for k, n in blocks.items() if n > done[k]}:
         parts, q = shares({k: weights[k] for k in left}, resolution)
         slots = period(parts, q)
-        whole = min(n // parts[k] for k, n in left.items())
+        # Whole periods while none ends in them, then up to the slot in which the first does.
+        whole = min((n - 1) // parts[k] for k, n in left.items())
         rest = {k: n - whole * parts[k] for k, n in left.items()}
-        cut = min(slots[k][rest[k] - 1] + 1 if rest[k] else 0 for k in left if rest[k] < parts[k])
+        cut = min(slots[k][rest[k] - 1] + 1 for k in left if rest[k] <= parts[k])
         for k in left:
             n = whole * parts[k] + sum(s < cut for s in slots[k])
             if n:

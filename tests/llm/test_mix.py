@@ -2,7 +2,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quern.llm import mix
@@ -50,6 +50,7 @@ def expand(plan):
 
 
 @settings(max_examples=40, deadline=None)
+@example({"a": (1, 0.25), "b": (1, 0.25), "c": (28, 6.0)})
 @given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(1, 60), st.floats(0.1, 9)), min_size=1))
 def test_phases_against_brute_force(sources):
     blocks, weights = {k: v[0] for k, v in sources.items()}, {k: v[1] for k, v in sources.items()}
