@@ -152,7 +152,9 @@ def _sets_of(docs: DataFrame, classes: DataFrame, digests: DataFrame, size: int,
     """A table ``doc_id, h1, shingles`` of the full sets with the digests ``h``."""
     nodes = scratch.table(digests.join(classes.select("h1", "h2", "rep"), F.col("h") == F.col("h1")).select(F.col("rep").alias("r"), "h1", "h2"), "nodes")
     own = docs.join(scratch.sized(nodes, broadcast_rows), F.col("doc_id") == F.col("r")).select("doc_id", "text", "h1", "h2")
-    return scratch.table(own.mapInArrow(lambda b: _contents(b, size), "doc_id long, h1 long, shingles array<long>"), "sets")
+    sets = scratch.table(own.mapInArrow(lambda b: _contents(b, size), "doc_id long, h1 long, shingles array<long>"), "sets")
+    # A row that repeats, id and text, gives its set again.
+    return scratch.table(sets.dropDuplicates(["h1"]), "sets") if sets.count() > nodes.count() else sets
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int, broadcast_rows: int) -> DataFrame:
