@@ -17,13 +17,18 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(29)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold at most ``max_bytes``, or one row."""
+def pieces(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts hold at most ``max_bytes``, or one row.
+
+    The words of a piece take some twenty times its bytes, and a task holds one piece
+    at a time. What Arrow keeps of a batch is given back after its last piece.
+    """
     lengths = np.asarray([0 if x is None else x for x in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
     group = (np.cumsum(lengths) - lengths) // max_bytes if len(lengths) else lengths
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):
         yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
