@@ -11,6 +11,8 @@ where its n-grams are aggregated, with ``ENTRY_BITS`` for every entry counted, s
 false positives stay at the same rate. A filter of up to ``broadcast_bits`` goes to
 all tasks by way of the driver. Beyond that it stays in its segments: the n-grams
 of every piece of text are sent to them, and the levels found are sent back.
+Where the texts to score hold those to learn from, :func:`train_and_score` sends
+their n-grams once, both to fill the segments and to be looked up in them.
 
 The unigram base score needs exact counts of all words, which no broadcast may
 hold. The most frequent words, a fixed number of them, are sent to the tasks;
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,8 @@ ENTRY_BITS = 12
 _ODD, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
+#: N-grams that are placed in a segment at once.
+AT_ONCE = 1 << 18
 #: Bits of an n-gram's hash beyond those that name its segment.
 KEY_BITS, KEY_BYTES = 40, 5
 
@@ -70,6 +74,19 @@ def unpacked(data: bytes, segment: int, segments: int) -> np.ndarray:
     return h | (np.uint64(segment) << first) if segments > 1 else h
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and the place among them of each."""
+    order = np.argsort(h)
+    own = h[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    rank = np.cumsum(new)
+    rank -= 1
+    at = np.empty(len(h), dtype=np.int64)
+    at[order] = rank
+    return own[new], at
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """1 + floor(log2 count)."""
     return np.frexp(counts.astype(np.float64))[1]
@@ -196,6 +213,20 @@ def _hash_words(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa
         yield _by_segment(h[order], batch.column("c").to_numpy(zero_copy_only=False)[order], segments)
 
 
+def _filled(h: np.ndarray, counts: np.ndarray, words: int | None = None) -> tuple[np.ndarray, int]:
+    """A segment of the filter, of ``words`` or as its entries need, and the highest level in it."""
+    q = levels(counts).astype(np.int8)
+    size = words or -(-int(q.sum(dtype=np.int64)) * ENTRY_BITS // 64)
+    own = np.zeros(size, dtype=np.uint64)
+    highest = int(q.max(initial=0))
+    for a in range(0, len(h), AT_ONCE):
+        some, level = h[a : a + AT_ONCE], q[a : a + AT_ONCE]
+        for k in range(1, int(level.max()) + 1):
+            where, mask = place(some[level >= k], k, size)
+            np.bitwise_or.at(own, where, mask)
+    return own, highest
+
+
 STORED = "segment int, words long, highest int, bits binary"
 
 
@@ -203,17 +234,9 @@ def _build(batches: Iterator[pa.RecordBatch], segments: int, words: int | None)
     """Segments of the filter from their n-grams, segment after segment, each of ``words`` or as its entries need."""
 
     def made(s: int, keys: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
-        h, at = np.unique(np.concatenate([unpacked(k, s, segments) for k in keys]), return_inverse=True)
-        n = np.zeros(len(h), dtype=np.int64)
-        np.add.at(n, at, np.frombuffer(b"".join(counts), dtype="<i8"))
-        q = levels(n).astype(np.int8)
-        size = words or -(-int(q.sum(dtype=np.int64)) * ENTRY_BITS // 64)
-        own = np.zeros(size, dtype=np.uint64)
-        highest = int(q.max())
-        for k in range(1, highest + 1):
-            where, mask = place(h[q >= k], k, size)
-            np.bitwise_or.at(own, where, mask)
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([size], pa.int64()), pa.array([highest], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["segment", "words", "highest", "bits"])
+        h, at = distinct(np.concatenate([unpacked(k, s, segments) for k in keys]))
+        own, highest = _filled(h, np.bincount(at, weights=np.frombuffer(b"".join(counts), dtype="<i8")), words)
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([highest], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["segment", "words", "highest", "bits"])
 
     now, keys, counts = None, [], []
     for batch in batches:
@@ -233,20 +256,29 @@ def is_held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
 
 
+def _learn_words(rows: DataFrame, head_words: int) -> tuple[DataFrame, int, int, int, dict[bytes, int]]:
+    """Table of exact word counts, tokens, distinct tokens, the highest count, and the frequent words."""
+    words = scratch.table(rows.mapInArrow(_count_words, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
+    total, kinds, most = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max("c"), F.lit(0))).first()
+    frequent = words.orderBy(F.desc("c"), "token").limit(head_words).toArrow()  # head_words rows
+    head = dict(zip(frequent.column("token").to_pylist(), frequent.column("c").to_pylist(), strict=True))
+    return words, total, kinds, most, head
+
+
+def segments_for(total: int) -> int:
+    """Segments of the filter, a power of two, for so many tokens sent to them."""
+    return max(SEGMENTS, 1 << (total // SEGMENT_TOKENS).bit_length())
+
+
 def train(texts: DataFrame, text_col: str = "text", filter_bits: int | None = None, head_words: int = 1 << 18, pair_weight: float = 0.7, broadcast_bits: int = 1 << 29) -> tuple[Filter, DataFrame]:
     """The filter over all words and word pairs of ``texts``, and the table of exact word counts ``token, c``.
 
     The filter has ``ENTRY_BITS`` for every entry counted, unless ``filter_bits``
     sets its size. One of more than ``broadcast_bits`` stays in its segments.
     """
-    spark = texts.sparkSession
     rows = texts.select(F.col(text_col).cast("string").alias("text"))
-    words = scratch.table(rows.mapInArrow(_count_words, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = words.orderBy(F.desc("c"), "token").limit(head_words).toArrow()  # head_words rows
-    head = dict(zip(frequent.column("token").to_pylist(), frequent.column("c").to_pylist(), strict=True))
-    del frequent
-    segments = max(SEGMENTS, 1 << (total // SEGMENT_TOKENS).bit_length())
+    words, total, kinds, _, head = _learn_words(rows, head_words)
+    segments = segments_for(total)
     ngrams = rows.mapInArrow(lambda b: _count_pairs(b, segments), COUNTED).unionByName(words.mapInArrow(lambda b: _hash_words(b, segments), COUNTED))
     ngrams = ngrams.repartition("segment") if segments == SEGMENTS else ngrams.repartition(segments, "segment")
     fixed = filter_bits and max(1, filter_bits // 64 // segments)
@@ -260,36 +292,38 @@ def train(texts: DataFrame, text_col: str = "text", filter_bits: int | None = No
         bits = np.zeros(sizes.sum(), dtype=np.uint64)
         for r in stored.select("segment", "bits").toLocalIterator():  # broadcast_bits in all
             bits[starts[r.segment] : starts[r.segment] + sizes[r.segment]] = np.frombuffer(r.bits, dtype=np.uint64)
-    return Filter(bits, sizes, highest, stored, total, distinct, head, pair_weight), words
+    return Filter(bits, sizes, highest, stored, total, kinds, head, pair_weight), words
 
 
 SCORES = "row long, doc_id long, n_tokens long, known long, base double, score double, token binary, tf long"
 
 
-def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each text, the words, and the hashes; for each token the number of its word and the hash of its pair."""
     seq, counts = _sequence(tokens.texts(part))
-    kinds = {w: k for k, w in enumerate(dict.fromkeys(seq))}
-    ids = np.fromiter(map(kinds.__getitem__, seq), dtype=np.int64, count=len(seq))
-    h = np.array([xxhash.xxh64_intdigest(w) for w in kinds], dtype=np.uint64)
+    coded = pa.array(seq, pa.binary()).dictionary_encode()
+    kinds, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, kinds.to_pylist()), dtype=np.uint64, count=len(kinds))
     return counts, kinds, h, ids, _pairs(h[ids])
 
 
-def _score_piece(part: pa.RecordBatch, model: Filter, found: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+def _score_piece(part: pa.RecordBatch, model: Filter, level: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """For each text its score and the base score of its frequent words; then its other words, counted.
 
-    ``found`` has the counts of the piece's n-grams, where they were looked up before.
+    ``level`` has the levels of the piece's distinct n-grams in order, where they were looked up before.
     """
-    names, found = [x.split()[0] for x in SCORES.split(", ")], found or model.counts
+    names = [x.split()[0] for x in SCORES.split(", ")]
     counts, kinds, h, ids, pairs = _coded(part)
     starts = np.cumsum(counts) - counts
-    exact = np.array([model.head.get(w, -1) for w in kinds], dtype=np.float64)
-    held = found(h)
+    exact = np.fromiter((model.head.get(w, -1) for w in kinds.to_pylist()), dtype=np.float64, count=len(kinds))
+    both = np.concatenate([h, pairs])
+    held = model.counts(both) if level is None else level_count(np.arange(128))[level[distinct(keyed(both, len(model.words)))[1]]]
+    held, of_pairs = held[: len(h)], held[len(h) :]
 
     alone = (held + 0.5) / model.mass
-    before = np.concatenate([[kinds[END]], ids[:-1]])
+    before = np.concatenate([ids[-1:], ids[:-1]])  # the last token is an end
     context = held[before]
-    share = np.minimum(found(pairs), context) / np.maximum(context, 1)
+    share = np.minimum(of_pairs, context) / np.maximum(context, 1)
     p = np.where(context > 0, model.pair_weight * share + (1 - model.pair_weight) * alone[ids], alone[ids])
     score = np.add.reduceat(np.log10(p), starts)
 
@@ -303,7 +337,7 @@ def _score_piece(part: pa.RecordBatch, model: Filter, found: Callable[[np.ndarra
     rare = np.flatnonzero(exact[ids] < 0)
     pair, tf = np.unique(np.repeat(np.arange(n), counts)[rare] * len(kinds) + ids[rare], return_counts=True)
     m = len(pair)
-    spelt = pa.array(list(kinds), pa.binary()).take(pa.array(pair % len(kinds)))
+    spelt = kinds.take(pa.array(pair % len(kinds)))
     yield pa.RecordBatch.from_arrays([row.take(pa.array(pair // len(kinds))), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, spelt, pa.array(tf.astype(np.int64))], names=names)
 
 
@@ -333,7 +367,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _probes(part: pa.RecordBatch, segments: int) -> np.ndarray:
     _, _, h, _, pairs = _coded(part)
-    return np.unique(keyed(np.concatenate([h, pairs]), segments))
+    return distinct(keyed(np.concatenate([h, pairs]), segments))[0]
 
 
 def _ask(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
@@ -384,9 +418,7 @@ def _score_runs(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterator[pa
 
     def flush() -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        segments = len(model.words)
-        h, level = _probes(part, segments), np.frombuffer(b"".join(answers), dtype=np.int8)
-        yield from _score_piece(part, model, lambda x: level_count(level[np.searchsorted(h, keyed(x, segments))]))
+        yield from _score_piece(part, model, np.frombuffer(b"".join(answers), dtype=np.int8))
 
     answers: list[bytes] = []
     rows: list[pa.RecordBatch] = []
@@ -419,6 +451,23 @@ def _score_by_segments(rows: DataFrame, model: Filter, sent: Broadcast[Filter])
     return together.mapInArrow(lambda b: _score_runs(b, sent.value), SCORES)
 
 
+def _with_rare_words(scored: DataFrame, model: Filter, words: DataFrame) -> DataFrame:
+    """The columns of :func:`score`, with the exact counts of the words that are not in the head."""
+    made = scratch.table(scored, "scores")
+    whole = made.filter("token IS NULL").select("row", "doc_id", "n_tokens", "known", "base", "score")
+    rare = made.filter("token IS NOT NULL").select("row", "token", "tf").join(words, "token", "left")
+    chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(model.mass)))
+    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * chance).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
+    return whole.join(rare, "row", "left").select(
+        "doc_id",
+        "n_tokens",
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        "score",
+    )
+
+
 def score(docs: DataFrame, model: Filter, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
@@ -434,19 +483,116 @@ def score(docs: DataFrame, model: Filter, words: DataFrame, id_col: str = "doc_i
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), long_id(docs, id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = _score_by_segments(rows, model, sent) if model.bits is None else rows.mapInArrow(lambda b: _score(b, sent.value), SCORES)
-    made = scratch.table(scored, "scores")
-    whole = made.filter("token IS NULL").select("row", "doc_id", "n_tokens", "known", "base", "score")
-    rare = made.filter("token IS NOT NULL").select("row", "token", "tf").join(words, "token", "left")
-    chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(model.mass)))
-    rare = rare.groupBy("row").agg(F.sum(F.col("tf") * chance).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    return whole.join(rare, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    return _with_rare_words(scored, model, words)
+
+
+#: Rows of the joint pass: the texts of a piece (segment ``_LAST``), its n-grams of a segment with how often the learnt texts have them, or their levels.
+JOINT = "piece long, segment int, n int, data binary, counts binary"
+
+
+def _joint(piece: list[int], segment: list[int], n: list[int], data: list[bytes], counts: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(segment, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], names=[x.split()[0] for x in JOINT.split(", ")])
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _opened(data: bytes, n: int, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, codec="zstd"), dtype=dtype)
+
+
+def _pack_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces named by their first rows, each as one compressed Arrow stream, with its number of tokens."""
+    for batch in batches:
+        for part in tokens.pieces(batch, max_bytes=4 << 20):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
+            n = sum(len(v.split()) + 1 for v in tokens.texts(part))
+            yield _joint([part.column("row")[0].as_py()], [_LAST], [n], [sink.getvalue().to_pybytes()], [None])
+
+
+def _unpack_piece(data: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data.as_buffer()).read_next_batch()
+
+
+def _offer(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each piece, in order, cut by segment."""
+    for batch in batches:
+        for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data"), strict=True):
+            part = _unpack_piece(data)
+            counts, kinds, h, ids, pairs = _coded(part)
+            learnt = np.repeat(part.column("learn").to_numpy(zero_copy_only=False), counts).astype(np.float64)
+            keys, at = distinct(keyed(np.concatenate([h, pairs]), segments))
+            n = np.bincount(at, weights=np.concatenate([np.bincount(ids, weights=learnt, minlength=len(kinds)), learnt])).astype("<u4")
+            of, cut = np.unique(segment_of(keys, segments), return_index=True)
+            own = np.split(keys, cut[1:])
+            yield _joint([piece] * len(of), of.tolist(), list(map(len, own)), [packed(x, segments) for x in own], list(map(_squeezed, np.split(n, cut[1:]))))
+
+
+def _learn_and_answer(batches: Iterator[pa.RecordBatch], segments: int, highest: int) -> Iterator[pa.RecordBatch]:
+    """Levels of the n-grams of each piece, segment after segment, by the filter's segment that all of them fill."""
+
+    def made(s: int, piece: list[int], n: list[int], data: list[bytes], counts: list[bytes]) -> pa.RecordBatch:
+        h, at = distinct(np.concatenate([unpacked(x, s, segments) for x in data]))
+        c = np.bincount(at, weights=np.concatenate([_opened(x, k, "<u4") for x, k in zip(counts, n, strict=True)]))
+        learnt = c > 0
+        bits, _ = _filled(h[learnt], c[learnt])
+        del c, learnt
+        level = np.zeros(len(h), dtype=np.int8)
+        for a in range(0, len(h) if len(bits) else 0, AT_ONCE):
+            some = h[a : a + AT_ONCE]
+            level[a : a + AT_ONCE] = probe(some, bits, np.full(len(some), len(bits)), np.zeros(len(some), dtype=np.int64), highest)
+        return _joint(piece, [s] * len(piece), n, list(map(_squeezed, np.split(level[at], np.cumsum(n)[:-1]))), [None] * len(piece))
+
+    now, held = None, []
+    for batch in batches:
+        for s, *row in zip(*(batch.column(c).to_pylist() for c in ("segment", "piece", "n", "data", "counts")), strict=True):
+            if s != now and held:
+                yield made(now, *map(list, zip(*held, strict=True)))
+                held.clear()
+            now = s
+            held.append(row)
+    if held:
+        yield made(now, *map(list, zip(*held, strict=True)))
+
+
+def _score_pieces(batches: Iterator[pa.RecordBatch], model: Filter) -> Iterator[pa.RecordBatch]:
+    """Scores of pieces, each after the levels of its n-grams in the order of the segments."""
+    answers: list[np.ndarray] = []
+    for batch in batches:
+        for segment, n, data in zip(batch.column("segment").to_pylist(), batch.column("n").to_pylist(), batch.column("data"), strict=True):
+            if segment != _LAST:
+                answers.append(_opened(data.as_buffer(), n, "i1"))
+                continue
+            yield from _score_piece(_unpack_piece(data), model, np.concatenate(answers))
+            answers.clear()
+
+
+def train_and_score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", head_words: int = 1 << 18, pair_weight: float = 0.7) -> DataFrame:
+    """What :func:`score` returns for ``docs`` by the model that :func:`train` makes of those where ``learn`` holds.
+
+    The n-grams of every piece of text are sent to the filter's segments once: there
+    they fill the segment, and are then looked up in it. No part of the filter is
+    stored, sent or broadcast, whatever its size.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), long_id(docs, id_col).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).cast("string").alias("text"))
+    words, total, kinds, most, head = _learn_words(rows.filter("learn").select("text"), head_words)
+    highest = int(levels(np.array([most]))[0])  # no pair is more frequent than its words
+    scratch.settle(spark)
+    texts = scratch.table(rows.mapInArrow(_pack_pieces, JOINT), "pieces")
+    segments = segments_for(texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    sent = spark.sparkContext.broadcast(model := Filter(None, np.ones(segments, dtype=np.int64), highest, None, total, kinds, head, pair_weight))
+    offered = texts.mapInArrow(lambda b: _offer(b, segments), JOINT)
+    offered = offered.repartition("segment") if segments == SEGMENTS else offered.repartition(segments, "segment")
+    found = offered.sortWithinPartitions("segment").mapInArrow(lambda b: _learn_and_answer(b, segments, highest), JOINT)
+    together = found.unionByName(texts).repartition("piece").sortWithinPartitions("piece", "segment")
+    scored = _with_rare_words(together.mapInArrow(lambda b: _score_pieces(b, sent.value), SCORES), model, words)
+    scratch.drop_table(texts)
+    scratch.settle(spark)
+    return scored
 
 
 def false_positive_rate(model: Filter, probes: int = 100_000) -> float:

@@ -55,8 +55,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model, words = ngram_lm.train(docs.filter(~ngram_lm.is_held_out(F.col("doc_id"))))
-    scored = ngram_lm.score(docs, model, words)
+    scored = ngram_lm.train_and_score(docs, ~ngram_lm.is_held_out(F.col("doc_id")))
     return scored.select("doc_id", ngram_lm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

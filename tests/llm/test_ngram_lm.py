@@ -117,3 +117,43 @@ def test_segments_score_like_the_broadcast_filter(spark, request, name):
     assert len(one) == len(two) == docs.count()
     for a, b in zip(one, two, strict=True):
         assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["docs_small", "odd_docs", "no_docs"])
+def test_one_exchange_scores_like_train_and_score(spark, request, name):
+    docs = request.getfixturevalue(name)
+    learn = ~L.is_held_out(docs.doc_id)
+    want, got = (sorted(map(tuple, x.collect()), key=str) for x in (L.score(docs, *L.train(docs.filter(learn))), L.train_and_score(docs, learn)))
+    assert len(want) == len(got) == docs.count()
+    for a, b in zip(want, got, strict=True):
+        assert a[:4] == b[:4] and np.allclose(a[4:], b[4:], rtol=1e-9)
+
+
+def test_one_exchange_with_more_segments(spark, docs_small, monkeypatch):
+    """Beyond the least number of segments, which all tokens sent decide, not those learnt alone."""
+    learn = ~L.is_held_out(docs_small.doc_id)
+    monkeypatch.setattr(L, "SEGMENT_TOKENS", 170)
+    model, table = L.train(docs_small.filter(learn))
+    assert len(model.words) == 2 * L.SEGMENTS
+    want, got = (sorted(map(tuple, x.collect())) for x in (L.score(docs_small, model, table), L.train_and_score(docs_small, learn)))
+    assert [a[:4] for a in want] == [a[:4] for a in got] and np.allclose([a[4:] for a in want], [a[4:] for a in got], rtol=1e-9)
+    sent, own = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or own(value))
+    L.train_and_score(docs_small, L.F.lit(False))
+    assert [len(x.words) for x in sent if isinstance(x, L.Filter)] == [2 * L.SEGMENTS]
+
+
+def test_nothing_learnt_in_one_exchange(spark, odd_docs):
+    rows = L.train_and_score(odd_docs, L.F.lit(False)).collect()
+    assert len(rows) == odd_docs.count()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in rows)
+
+
+def test_the_query_neither_collects_nor_broadcasts_its_filter(spark, monkeypatch):
+    """The filter's segments are filled and read in one exchange at every size, so the cost a GB does not jump where a broadcast ends."""
+    monkeypatch.setattr(L, "train", None)
+    monkeypatch.setattr(L, "_by_segment", None)
+    sent, own = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or own(value))
+    assert queries.op5_lm_score(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert all(model.bits is None and model.stored is None for model in sent if isinstance(model, L.Filter))
