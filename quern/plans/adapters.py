@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import scratch
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,10 +87,17 @@ SEQS = """seqs AS (
 
 
 def links(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
-    """Edges: parts that share orders, with their number as score."""
-    own = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    """Edges: parts that share orders, with their number as score.
+
+    Lines and pairs of parts are dealt out by the number of lines; few pairs occur
+    twice, so they are counted only where they meet.
+    """
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = line.count()
+    own = scratch.dealt(line, lines, "l_orderkey").distinct()
     a, b = own.withColumnRenamed("l_partkey", "n1"), own.withColumnRenamed("l_partkey", "n2")
-    rows = a.join(b, "l_orderkey").filter("n1 < n2").groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("num")).filter(F.col("num") >= least)
+    pairs = scratch.dealt(a.join(b, "l_orderkey").filter("n1 < n2").select("n1", "n2"), 2 * lines, "n1", "n2")
+    rows = pairs.groupBy("n1", "n2").agg(F.count(F.lit(1)).alias("num")).filter(F.col("num") >= least)
     score = F.col("num") * 1000 + (F.col("n1") * 31 + F.col("n2") * 17) % 997
     return rows.select("n1", "n2", F.lit("FB").alias("dir"), "num", score.cast("double").alias("bits"), score.cast("double").alias("score"))
 

@@ -11,10 +11,12 @@ import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Narrow rows that one task writes in a second or so.
@@ -110,6 +112,48 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return ranges.join(first, F.col("_part") == F.col("_of")).withColumn(name, (F.col("_first") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_of", "_first")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by its keys to as many tasks as about ``rows`` rows need.
+
+    What adaptive execution merges into as many tasks as there are cores gives each
+    of them more memory to hold as the input grows; a number that is given stays.
+    """
+    return df.repartition(max(rows // ROWS_A_TASK + 1, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def by_group(df: DataFrame, key: str, run: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """What ``run`` makes of the rows of each value of ``key``.
+
+    Rows are sorted by the key in each task and taken as a stream, so a task holds
+    one group at a time, and many small groups cost no more than their rows.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, out = [], None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row[key] != at:
+                    out.extend(run(held))
+                    held = []
+                    if len(out) >= 10_000:
+                        yield from flush()
+                held.append(row)
+                at = row[key]
+        if held:
+            out.extend(run(held))
+        yield from flush()
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names, types = arrow.names, arrow.types
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(stream, schema)
+
+
 def row_bytes(schema: StructType) -> int | None:
     """Bytes that a row takes in memory, about; None where a column's values have no bound."""
     fixed = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp"}
