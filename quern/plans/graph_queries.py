@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.functions import sequence as S
 from quern.operators import graph as G
 from quern.operators import scaffold as C
@@ -16,7 +17,8 @@ PATTERNS = ["ACCATTAG", "GATTACA", "TTAACC", "CCCGGG"]
 
 
 def _graph(spark: SparkSession, sf_dir: str, least: int = 2) -> G.Graph:
-    return G.new_graph(A.nodes(spark, sf_dir), A.links(spark, sf_dir, least))
+    """Parts and their links; the links are a table, since most operators read them more than once."""
+    return G.new_graph(A.nodes(spark, sf_dir), scratch.table(A.links(spark, sf_dir, least), "links"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +172,6 @@ def dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern import scratch
     from quern.sources import graphs
 
     path = scratch.folder(spark, "graph")

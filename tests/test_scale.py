@@ -12,3 +12,30 @@ def test_links_are_dealt_out_by_the_number_of_lines(spark, monkeypatch):
     assert A.links(spark, SF).rdd.getNumPartitions() >= 2 * lines // 500
 
 
+def test_groups_are_taken_as_a_stream(spark):
+    rows = [(k % 700, k, None if k % 3 else float(k)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "key long, a long, b double").repartition(7)
+    sizes = scratch.by_group(df, "key", lambda own: [(own[0]["key"], len(own), sum(r["b"] or 0.0 for r in own))], "key long, n long, total double")
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    want = {}
+    for key, _, b in rows:
+        n, t = want.get(key, (0, 0.0))
+        want[key] = n + 1, t + (b or 0.0)
+    assert {r.key: (r.n, r.total) for r in sizes.collect()} == want
+
+
+def test_special_tree_takes_components_together_and_leaves_nodes_alone(spark, monkeypatch):
+    from quern.operators import graph as G
+    from quern.operators import scaffold
+
+    # 300 triangles and 900 nodes alone; of a triangle's links the two from its longest node stay.
+    nodes = [(i, 100 + (i % 3 == 0), 1.0, 0.5) for i in range(1800)]
+    links = [(i + a, i + b, "FB", 1, 10.0 + a + b, 10.0 + a + b) for i in range(0, 900, 3) for a, b in ((0, 1), (0, 2), (1, 2))]
+    g = G.new_graph(spark.createDataFrame(nodes, "id long, seq_len long, cov double, pct_gc double"), spark.createDataFrame(links, "n1 long, n2 long, dir string, num long, bits double, score double"))
+    grouped, by_group = [], scratch.by_group
+    monkeypatch.setattr(scratch, "by_group", lambda df, *a: grouped.append(df.count()) or by_group(df, *a))
+    kept = {(r.n1, r.n2) for r in scaffold.special_spanning_tree(g).live_edges().collect()}
+    assert kept == {(i + a, i + b) for i in range(0, 900, 3) for a, b in ((0, 1), (0, 2))}
+    # Nodes and links of the triangles: a node alone is no group.
+    assert grouped == [900 + 900]
