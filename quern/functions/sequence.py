@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values of a column hold at most about ``most`` bytes, or one row."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(lengths) - lengths) // most
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(lengths)), strict=True):
+        yield batch.slice(int(a), int(b - a))
+
+
 def phred_error(quality: Column) -> Column:
     """Error probability of a quality character."""
     return F.pow(F.lit(10.0), -(F.ascii(quality) - 33) / 10.0)

@@ -11,23 +11,73 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.functions import sequence as S
 
 TETRAMERS = ["".join(p) for p in itertools.product("ACGT", repeat=4)]
 
 
+#: Most windows that a task holds at a time, and the longest ones whose codes fit a number with that of their sequence.
+WINDOWS, LONGEST = 1 << 20, 24
+
+
 def kmer_counts(seqs: DataFrame, k: int = 4, both_strands: bool = True) -> DataFrame:
     """``id, kmer, n``: windows of ``k`` bases without N, on both strands.
 
-    Windows are counted on the forward strand first; the other strand's counts
-    are those of the reverse complements.
+    Windows are counted within each sequence, piece by piece; only the counts are
+    dealt out, by ``id`` and by their number, to add up sequences of one id. The
+    other strand's counts are those of the reverse complements.
     """
-    rows = seqs.select("id", F.explode(S.kmers(F.col("seq"), k)).alias("kmer"))
-    one = rows.filter(~F.rlike("kmer", F.lit("[^ACGT]"))).groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    if not both_strands:
-        return one
-    other = one.select("id", S.reverse_complement(F.col("kmer")).alias("kmer"), "n")
-    return one.unionByName(other).groupBy("id", "kmer").agg(F.sum("n").alias("n"))
+    kind = seqs.schema["id"].dataType.simpleString()
+    if k <= LONGEST:
+        found = seqs.select("id", "seq").filter("seq IS NOT NULL").mapInArrow(lambda batches: _counted(batches, k, both_strands), f"id {kind}, kmer string, n long")
+    else:
+        found = seqs.select("id", F.explode(S.kmers(F.col("seq"), k)).alias("kmer"), F.lit(1).cast("long").alias("n")).filter(~F.rlike("kmer", F.lit("[^ACGT]")))
+        found = found.unionByName(found.select("id", S.reverse_complement(F.col("kmer")).alias("kmer"), "n")) if both_strands else found
+    found = scratch.table(found, "windows")
+    return scratch.dealt(found, found.count(), "id").groupBy("id", "kmer").agg(F.sum("n").alias("n"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int, both_strands: bool) -> Iterator[pa.RecordBatch]:
+    """Each sequence's windows and their numbers."""
+    letter = np.full(256, 4, dtype=np.uint8)
+    letter[np.frombuffer(b"ACGT", dtype=np.uint8)] = np.arange(4)
+    for batch in batches:
+        for part in S.pieces(batch, "seq", WINDOWS):
+            own = [x.encode() for x in part.column("seq").to_pylist()]
+            codes, ends = letter[np.frombuffer(b"".join(own), dtype=np.uint8)], np.cumsum([len(x) for x in own])
+            for first in range(0, len(codes) - k + 1, WINDOWS):
+                some = codes[first : first + WINDOWS + k - 1]
+                owner = np.searchsorted(ends, np.arange(first, first + len(some)), side="right")
+                windows = len(some) - k + 1
+                key, good = owner[:windows].copy(), owner[:windows] == owner[k - 1 :]
+                for j in range(k):
+                    code = some[j : j + windows]
+                    good &= code < 4
+                    key = key << 2 | (code & 3)
+                yield from _summed(part.column("id"), key[good], k, both_strands)
+
+
+def _summed(ids: pa.Array, key: np.ndarray, k: int, both_strands: bool) -> Iterator[pa.RecordBatch]:
+    """Windows as numbers, that of their sequence before their bases, with how often they occur."""
+    key, n = np.unique(key, return_counts=True)
+    if both_strands:
+        turned = key >> 2 * k
+        for j in range(k):
+            turned = turned << 2 | 3 - (key >> 2 * j & 3)
+        key, at = np.unique(np.concatenate([key, turned]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n, n]), minlength=len(key)).astype(np.int64)
+    bases = np.frombuffer(b"ACGT", dtype=np.uint8)
+    for at in range(0, len(key), 100_000):
+        some = key[at : at + 100_000]
+        text = np.stack([bases[some >> 2 * (k - 1 - j) & 3] for j in range(k)], axis=1)
+        kmer = pa.StringArray.from_buffers(len(some), pa.py_buffer(np.arange(0, len(some) * k + 1, k, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(some >> 2 * k)), kmer, pa.array(n[at : at + 100_000])], names=["id", "kmer", "n"])
+
+
+def _gathered(counts: DataFrame) -> DataFrame:
+    """A sequence's counts, 256 at most, in one row."""
+    return counts.groupBy("id").agg(F.collect_list(F.struct("kmer", "n")).alias("c")).select("id", "c.kmer", "c.n")
 
 
 def z_scores(counts: DataFrame) -> DataFrame:
@@ -39,28 +89,39 @@ def z_scores(counts: DataFrame) -> DataFrame:
     counts, 256 at most, are gathered once.
     """
     kind = counts.schema["id"].dataType.simpleString()
-    rows = counts.groupBy("id").agg(F.collect_list(F.struct("kmer", "n")).alias("c")).select("id", "c.kmer", "c.n")
-    return rows.mapInArrow(_scored, f"id {kind}, kmer string, z double")
+    return _gathered(counts).mapInArrow(_scored, f"id {kind}, kmer string, z double")
+
+
+def _dense(part: pa.RecordBatch) -> np.ndarray:
+    """A row of 256 counts for each list of tetranucleotides and counts."""
+    names = part.column("kmer")
+    where = pc.index_in(names.flatten(), pa.array(TETRAMERS)).to_numpy(zero_copy_only=False)
+    dense = np.zeros((part.num_rows, len(TETRAMERS)))
+    dense[pc.list_parent_indices(names).to_numpy(zero_copy_only=False), where] = part.column("n").flatten().to_numpy(zero_copy_only=False)
+    return dense
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Profiles of sequences that come as lists of their tetranucleotides and counts."""
-    order = pa.array(TETRAMERS)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            names, n = part.column("kmer"), part.column("n")
-            where = pc.index_in(names.flatten(), order).to_numpy(zero_copy_only=False)
-            owner = pc.list_parent_indices(names).to_numpy(zero_copy_only=False)
-            dense = np.zeros((part.num_rows, len(order)))
-            dense[owner, where] = n.flatten().to_numpy(zero_copy_only=False)
-            ids = part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), len(order))))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(TETRAMERS * part.num_rows), pa.array(_z_matrix(dense).ravel())], names=["id", "kmer", "z"])
-
-
-def z_table(z: DataFrame) -> DataFrame:
-    """One row per sequence, a column per tetranucleotide."""
-    return z.groupBy("id").pivot("kmer", TETRAMERS).agg(F.max("z"))
+            ids = part.column("id").take(pa.array(np.repeat(np.arange(part.num_rows), len(TETRAMERS))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(TETRAMERS * part.num_rows), pa.array(_z_matrix(_dense(part)).ravel())], names=["id", "kmer", "z"])
+
+
+def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, one row a sequence."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(z) for z in _z_matrix(_dense(part)).T]], names=["id", *TETRAMERS])
+
+
+def z_table(counts: DataFrame) -> DataFrame:
+    """The scores of :func:`z_scores`, one row per sequence, a column per tetranucleotide."""
+    kind = counts.schema["id"].dataType.simpleString()
+    return _gathered(counts).mapInArrow(_laid_out, f"id {kind}, " + ", ".join(f"{k} double" for k in TETRAMERS))
 
 
 def profile_pairs(z: DataFrame, block: int = 64, least: float | None = None) -> DataFrame:

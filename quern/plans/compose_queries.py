@@ -23,7 +23,7 @@ def z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def z_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    z = C.z_table(C.z_scores(kmer_counts(spark, sf_dir)))
+    z = C.z_table(kmer_counts(spark, sf_dir))
     return z.select("id", *[F.round(k, 6).alias(k) for k in Z_COLUMNS])
 
 

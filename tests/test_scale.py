@@ -1,8 +1,13 @@
 """What a task holds follows a fixed number of rows, not the input."""
 
+import random
+from collections import Counter
+
 import duckdb
+import pyarrow as pa
 
 from quern import scratch
+from quern.operators import compose
 from quern.plans import adapters as A
 from quern.plans import registry
 from tests.test_queries import SF
@@ -65,3 +70,39 @@ def test_a_reference_at_just_half_the_best_score_is_taken_as_in_sql(spark, tmp_p
         want = con.execute(registry.ORACLES[name])
         columns = [d[0] for d in want.description]
         assert sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).select(columns).collect()) == sorted(want.fetchall())
+
+
+def brute_counts(seq, k, both):
+    turned = str.maketrans("ACGT", "TGCA")
+    own = [seq[i : i + k] for i in range(len(seq) - k + 1)]
+    own = [w for w in own if set(w) <= set("ACGT")]
+    return Counter(own + [w.translate(turned)[::-1] for w in own] * both)
+
+
+def test_windows_are_counted_across_pieces_and_rows_of_one_id(spark, monkeypatch):
+    rng = random.Random(2)
+    monkeypatch.setattr(compose, "WINDOWS", 50)
+    rows = [(i % 7, "".join(rng.choices("ACGTNé", [9, 9, 9, 9, 1, 1], k=rng.choice([0, 2, 3, 4, 5, 30, 70, 400])))) for i in range(60)] + [(9, None)]
+    for k, both in ((4, True), (3, False), (24, True), (25, True)):
+        want = {}
+        for i, s in rows:
+            for w, n in brute_counts(s or "", k, both).items():
+                want[i, w] = want.get((i, w), 0) + n
+        assert {(r.id, r.kmer): r.n for r in compose.kmer_counts(spark.createDataFrame(rows, "id long, seq string"), k, both).collect()} == want
+        # In small pieces, here: the workers do not see the patched size.
+        if k <= 24:
+            here = Counter()
+            for part in compose._counted(iter([pa.RecordBatch.from_pylist([{"id": i, "seq": s} for i, s in rows if s is not None])]), k, both):
+                for r in part.to_pylist():
+                    here[r["id"], r["kmer"]] += r["n"]
+            assert here == want
+
+
+def test_counts_and_profiles_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 1000)
+    counts = compose.kmer_counts(A.seqs(spark, SF))
+    parts = counts.count() // 1000
+    assert parts > 8
+    # Adaptive execution would merge them into as many tasks as there are cores.
+    for df in (counts, compose.z_scores(counts), compose.z_table(counts)):
+        assert df.rdd.getNumPartitions() >= parts
