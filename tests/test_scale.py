@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pytest
 
 from quern import scratch
 from quern.operators import compose
@@ -106,3 +108,17 @@ def test_counts_and_profiles_are_dealt_out_by_their_number(spark, monkeypatch):
     # Adaptive execution would merge them into as many tasks as there are cores.
     for df in (counts, compose.z_scores(counts), compose.z_table(counts)):
         assert df.rdd.getNumPartitions() >= parts
+
+
+def test_pairs_of_blocks_come_once_where_a_block_is_empty(spark):
+    rng = random.Random(3)
+    z = spark.createDataFrame([(f"s{i}", f"{k:02}", rng.random()) for i in range(23) for k in range(8)], "id string, kmer string, z double")
+    rows = {}
+    for r in z.collect():
+        rows.setdefault(r.id, {})[r.kmer] = r.z
+    v = {i: np.array([x[k] for k in sorted(x)]) for i, x in rows.items()}
+    want = {(a, b): np.corrcoef(v[a], v[b])[0, 1] for a in v for b in v if a < b}
+    for block in (1, 5, None):
+        got = compose.profile_pairs(z, block=block).collect()
+        assert len(got) == len(want) and all(r.r == pytest.approx(want[r.a, r.b]) for r in got)
+        assert len(compose.profile_pairs(z, block=block, least=0.5).collect()) == sum(abs(r) >= 0.5 for r in want.values())
