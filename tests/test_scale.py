@@ -1,6 +1,7 @@
 """What a task holds follows a fixed number of rows, not the input."""
 
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -122,3 +123,14 @@ def test_pairs_of_blocks_come_once_where_a_block_is_empty(spark):
         got = compose.profile_pairs(z, block=block).collect()
         assert len(got) == len(want) and all(r.r == pytest.approx(want[r.a, r.b]) for r in got)
         assert len(compose.profile_pairs(z, block=block, least=0.5).collect()) == sum(abs(r) >= 0.5 for r in want.values())
+
+
+def test_thousands_of_profiles_are_merged_in_seconds():
+    rng = np.random.default_rng(7)
+    base = [rng.gamma(0.5, 40, 256) for _ in range(50)]
+    counts = np.array([rng.poisson(base[k % 50]) for k in range(2500)])
+    began = time.process_time()
+    found = compose.merge_profiles(list(range(2500)), counts, [5000] * 2500, lambda _: (0.8, 0.8, 0.8))
+    # Pair after pair in Python took minutes.
+    assert time.process_time() - began < 60
+    assert sorted(sorted(c) for c in found) == [list(range(k, 2500, 50)) for k in range(50)]
