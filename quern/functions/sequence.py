@@ -148,9 +148,29 @@ def error_costs(budget: int) -> np.ndarray:
     return cost.astype(np.int64)
 
 
+#: Codes whose sums are held at a time, or those of one read.
+CODES = 1 << 18
+
+
 def prefix_within(quals: list[str | None], budget: int, color: bool) -> list[int | None]:
-    """How many codes of each string cost no more than the budget together; None for None."""
+    """How many codes of each string cost no more than the budget together; None for None.
+
+    A code takes some forty bytes on the way, so strings are taken a few at a time.
+    """
     costs = error_costs(budget)
+    out: list[int | None] = []
+    some: list[str | None] = []
+    held = 0
+    for q in quals:
+        if some and held + len(q or "") > CODES:
+            out += _prefix_within(some, costs, budget, color)
+            some, held = [], 0
+        some.append(q)
+        held += len(q or "")
+    return out + _prefix_within(some, costs, budget, color) if some else out
+
+
+def _prefix_within(quals: list[str | None], costs: np.ndarray, budget: int, color: bool) -> list[int | None]:
     given = [q or "" for q in quals]
     codes = np.minimum(np.frombuffer("".join(given).encode("utf-32-le"), dtype=np.uint32), 255)
     n = np.array([len(q) for q in given], dtype=np.int64)

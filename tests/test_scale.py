@@ -1,7 +1,9 @@
 """What a task holds follows a fixed number of rows, not the input."""
 
+import math
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -10,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from quern import scratch
+from quern.functions import sequence as S
 from quern.operators import compose
 from quern.plans import adapters as A
 from quern.plans import registry
@@ -134,3 +137,27 @@ def test_thousands_of_profiles_are_merged_in_seconds():
     # Pair after pair in Python took minutes.
     assert time.process_time() - began < 60
     assert sorted(sorted(c) for c in found) == [list(range(k, 2500, 50)) for k in range(50)]
+
+
+@pytest.mark.parametrize("color", [False, True])
+def test_trimming_holds_the_sums_of_a_few_reads(color):
+    rng = random.Random(6)
+    quals = ["".join(rng.choices("I5!?@", [200, 20, 1, 5, 5], k=rng.choice([0, 1, 500, 4000]))) for _ in range(3000)] + [None, "", "I" * 600_000]
+    budget = round(-math.log(0.5) * S.COST_UNIT)
+    tracemalloc.start()
+    tracemalloc.reset_peak()
+    found = S.prefix_within(quals, budget, color)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    costs = S.error_costs(budget)
+    for q, kept in [*zip(quals, found, strict=True)][::50] + [*zip(quals, found, strict=True)][-3:]:
+        if q is None:
+            assert kept is None
+            continue
+        total, want = 0, 0
+        for k, c in enumerate(q):
+            total += int(costs[ord(q[k - 1]) + 1 if color and k else 0, ord(c)])
+            if total > budget:
+                break
+            want = k + 1
+        assert kept == want
